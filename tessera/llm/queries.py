@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op3_bpe
 from tessera.llm.media import op7_media
 from tessera.llm.sharding import op5_sharding
 from tessera.llm.token_counts import op6_token_counts
 from tessera.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
