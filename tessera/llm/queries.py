@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op3_bpe
 from tessera.llm.media import op7_media
+from tessera.llm.pii import op9_pii
 from tessera.llm.sharding import op5_sharding
 from tessera.llm.token_counts import op6_token_counts
 from tessera.llm.token_files import op4_token_files
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_media": op7_media,
+    "op9_pii": op9_pii,
 }
 
 #: None of these can be written in DuckDB's SQL (it has no crc32, tokenizer,
