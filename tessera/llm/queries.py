@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.bpe import op3_bpe
+from tessera.llm.decontamination import op2_decontamination
 from tessera.llm.media import op7_media
 from tessera.llm.pii import op9_pii
 from tessera.llm.sharding import op5_sharding
@@ -10,6 +11,7 @@ from tessera.llm.token_counts import op6_token_counts
 from tessera.llm.token_files import op4_token_files
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,
     "op5_sharding": op5_sharding,
