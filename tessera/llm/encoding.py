@@ -1,9 +1,12 @@
-"""Encoding of whole texts with a public tokenizer, by remembered chunks.
+"""Encoding of whole texts with a public tokenizer, by remembered pieces.
 
 A tokenizer that drops white space treats the pieces between it independently,
-so a worker asks the tokenizers library only for pieces that it has not seen
-lately and joins the stored bytes of the rest.  The memory is bounded by
-``limit`` pieces; when it is full it starts anew.
+so a worker asks the tokenizers library only for pieces that it has not met
+lately and joins the stored bytes of the rest.  New pieces of Latin-1
+characters are normalised and cut by the tokenizer's own rules here and only
+their words go to the library's model, which skips its costly per-text set-up;
+all others take the library's whole way.  The memory is bounded by ``limit``
+pieces; when it is full it starts anew.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ from __future__ import annotations
 import functools
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -21,11 +23,50 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: str.split() also splits at these, which are not white space to the tokenizer.
 NOT_WHITE = re.compile("[\x1c-\x1f]")
 
+# The word pattern of the word-level tokenizer, its classes within Latin-1 (in lower case).
+LETTER, NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+
+
+class Remembered(dict):
+    """Pieces and their bytes; one that is not there is noted and gives None.
+
+    When it has ``limit`` pieces it becomes the older half, from which pieces
+    still in use come back.
+    """
+
+    def __init__(self, limit: int):
+        self.asked: list[str] = []
+        self.older: dict[str, bytes] = {}
+        self.limit = limit
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if (found := self.older.get(piece)) is not None:
+            self[piece] = found
+            return found
+        self.asked.append(piece)
+        return None
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
 
 class PieceEncoder:
     """ids of texts as little-endian unsigned bytes, ``width`` bytes an id."""
 
-    def __init__(self, path: str, width: int, special_as_text: bool, limit: int = 400_000):
+    def __init__(self, path: str, width: int, special_as_text: bool, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
@@ -33,23 +74,60 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = special_as_text
-        self.dtype, self.limit, self.known = np.dtype(f"<u{width}"), limit, {}
+        self.dtype, self.known = np.dtype(f"<u{width}"), Remembered(limit)
+        self.of_word = functools.lru_cache(1 << 16)(self._word)
+        self.bytes_of = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
+        # what a special token's string can be part of takes the library's way, unless it is ordinary text
+        self.special = None if special_as_text else re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()))
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
+        return b"".join([self.bytes_of[x.id] for x in self.tokenizer.model.tokenize(spelled)])
+
+    def _learn(self, new: set[str]) -> None:
+        hard = []
+        for piece in new:
+            try:
+                piece.encode("latin-1")
+            except UnicodeEncodeError:
+                hard.append(piece)
+                continue
+            if self.special and self.special.search(piece):
+                hard.append(piece)
+            else:
+                self.known[piece] = b"".join([self.of_word(w) for w in WORDS.findall(piece.lower())])
+        self.known.update(zip(hard, self._ask(hard), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i: x for i, x in enumerate(texts) if NOT_WHITE.search(x)}
-        pieces = [[] if i in odd else x.split() for i, x in enumerate(texts)]
-        new = list(set(chain.from_iterable(pieces)).difference(self.known))
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list(set(chain.from_iterable(pieces)))
-        self.known.update(zip(new, self._ask(new), strict=True))
-        out = [b"".join(map(self.known.__getitem__, x)) for x in pieces]
-        for i, ids in zip(odd, self._ask(list(odd.values())), strict=True):
+        out: list[bytes] = [b""] * len(texts)
+        odd = [i for i, x in enumerate(texts) if NOT_WHITE.search(x)]
+        for i, ids in zip(odd, self._ask([texts[i] for i in odd]), strict=True):
             out[i] = ids
+        self.known.age()
+        get, asked, aside = self.known.__getitem__, self.known.asked, set(odd)
+        wait: list[tuple[int, list[bytes | None], int]] = []
+        for i, text in enumerate(texts):
+            if i not in aside:
+                before = len(asked)
+                parts = list(map(get, text.split()))
+                if len(asked) > before:
+                    wait.append((i, parts, len(asked) - before))
+                else:
+                    out[i] = b"".join(parts)
+        if wait:
+            self.known.asked = []
+            self._learn(set(asked))
+            found = map(get, asked)
+            for i, parts, n in wait:
+                at = -1
+                for _ in range(n):
+                    at = parts.index(None, at + 1)
+                    parts[at] = next(found)
+                out[i] = b"".join(parts)
         return out
 
 
