@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op3_bpe
 from tessera.llm.decontamination import op2_decontamination
 from tessera.llm.media import op7_media
+from tessera.llm.near_dedup import op10_near_dedup
 from tessera.llm.pii import op9_pii
 from tessera.llm.sharding import op5_sharding
 from tessera.llm.token_counts import op6_token_counts
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_media": op7_media,
     "op9_pii": op9_pii,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 #: None of these can be written in DuckDB's SQL (it has no crc32, tokenizer,
