@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -39,7 +40,7 @@ LETTERS = byte_letters()
 
 
 class Remembered(dict):
-    """Pieces and their bytes; one that is not there is noted and gives None.
+    """Pieces and what they become; one that is not there is noted and gives None.
 
     When it has ``limit`` pieces it becomes the older half, from which pieces
     still in use come back.
@@ -47,20 +48,37 @@ class Remembered(dict):
 
     def __init__(self, limit: int):
         self.asked: list[str] = []
-        self.older: dict[str, bytes] = {}
+        self.older: dict = {}
         self.limit = limit
 
-    def __missing__(self, piece: str) -> bytes | None:
+    def __missing__(self, piece: str):
         if (found := self.older.get(piece)) is not None:
             self[piece] = found
             return found
         self.asked.append(piece)
         return None
 
-    def age(self) -> None:
+    def look_up(self, texts: Iterable[list[str]], learn: Callable[[set[str]], None]) -> Iterator[list]:
+        """What is remembered of the pieces of each text, after ``learn`` has put in those that are new."""
         if len(self) > self.limit:
             self.older = dict(self)
             self.clear()
+        self.asked = asked = []
+        get, found = self.__getitem__, []
+        for pieces in texts:
+            before = len(asked)
+            parts = list(map(get, pieces))
+            found.append((parts, len(asked) - before))
+        if asked:
+            self.asked = []
+            learn(set(asked))
+        new = map(get, asked)
+        for parts, n in found:
+            at = -1
+            for _ in range(n):
+                at = parts.index(None, at + 1)
+                parts[at] = next(new)
+            yield parts
 
 
 class PieceEncoder:
@@ -107,27 +125,10 @@ class PieceEncoder:
         odd = [i for i, x in enumerate(texts) if NOT_WHITE.search(x)]
         for i, ids in zip(odd, self._ask([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        self.known.age()
-        get, asked, aside = self.known.__getitem__, self.known.asked, set(odd)
-        wait: list[tuple[int, list[bytes | None], int]] = []
-        for i, text in enumerate(texts):
-            if i not in aside:
-                before = len(asked)
-                parts = list(map(get, text.split()))
-                if len(asked) > before:
-                    wait.append((i, parts, len(asked) - before))
-                else:
-                    out[i] = b"".join(parts)
-        if wait:
-            self.known.asked = []
-            self._learn(set(asked))
-            found = map(get, asked)
-            for i, parts, n in wait:
-                at = -1
-                for _ in range(n):
-                    at = parts.index(None, at + 1)
-                    parts[at] = next(found)
-                out[i] = b"".join(parts)
+        aside = set(odd)
+        plain = [i for i in range(len(texts)) if i not in aside]
+        for i, parts in zip(plain, self.known.look_up((texts[i].split() for i in plain), self._learn), strict=True):
+            out[i] = b"".join(parts)
         return out
 
 
