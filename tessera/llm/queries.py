@@ -10,6 +10,7 @@ from tessera.llm.pii import op9_pii
 from tessera.llm.sharding import op5_sharding
 from tessera.llm.token_counts import op6_token_counts
 from tessera.llm.token_files import op4_token_files
+from tessera.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_media": op7_media,
+    "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_near_dedup": op10_near_dedup,
 }
