@@ -98,7 +98,7 @@ def multisets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key.astype(np.uint32), tf, np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(texts))
 
 
-def portions(texts: list[str], size: int = 1 << 20) -> Iterator[slice]:
+def portions(texts: list[str], size: int = 1 << 18) -> Iterator[slice]:
     """Runs of texts of about ``size`` characters, so that arrays stay small."""
     start = n = 0
     for i, t in enumerate(texts):
