@@ -38,8 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 512
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -8,11 +8,13 @@ from tessera.llm.media import op7_media
 from tessera.llm.near_dedup import op10_near_dedup
 from tessera.llm.pii import op9_pii
 from tessera.llm.sharding import op5_sharding
+from tessera.llm.suffix_dedup import op1_suffix_dedup
 from tessera.llm.token_counts import op6_token_counts
 from tessera.llm.token_files import op4_token_files
 from tessera.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
     "op4_token_files": op4_token_files,

@@ -41,6 +41,7 @@ from tessera.llm.encoding import Remembered
 from tessera.llm.shingles import mix, multisets, portions
 
 WORD = re.compile(r"[^\W\d_]+")
+STRETCHED = re.compile(r"([^\W\d_])\1{4}")
 STEMS = (4, 5, 6, 7, 8)
 
 
@@ -48,16 +49,20 @@ def features_of_word(word: str) -> tuple[str, ...]:
     return (word, *(word[:k] + "*" for k in STEMS if len(word) >= k))
 
 
+CAPITALS, SMALL = bytes(range(ord("A"), ord("Z") + 1)), bytes(range(ord("a"), ord("z") + 1))
+
+
 def patterns(text: str) -> Iterator[str]:
-    """Ways of writing, as features."""
-    letters = sum(map(str.isalpha, text[:2000]))
-    if letters and sum(map(str.isupper, text[:2000])) > 0.5 * letters:
+    """Ways of writing, as features; capitals are counted among the letters A to Z."""
+    data = text.encode()
+    capitals = len(data) - len(data.translate(None, CAPITALS))
+    if capitals > len(data) - len(data.translate(None, SMALL)):
         yield "#capitals"
     if text.count("!") >= 3:
         yield "#exclaims"
     if text.count("?!") or text.count("!!"):
         yield "#stacked"
-    if re.search(r"(.)\1{4}", text[:2000]):
+    if STRETCHED.search(text):
         yield "#stretched"
 
 
