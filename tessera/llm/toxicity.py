@@ -3,7 +3,7 @@
 1.  Sample: at most ``max_rows`` labelled training documents (those of least
     hash; a documented bound for fitting alone).  The chosen ids are broadcast to
     fetch their texts; the other texts are not shuffled.  Of copies (an equal least
-    shingle) one stays, so that the words of a copied text do not look like evidence.
+    shingle under any of four hashes) one stays, so that the words of a copied text do not look like evidence.
 2.  Voters: words, word stems (first 4 to 8 letters) and writing patterns
     are counted by label in the sample.  Those that speak for label 1 with a
     smoothed precision of ``precision`` or more, on ``support`` documents at least,
@@ -14,7 +14,8 @@
     of its voters' log odds, so that it is not counted many times.
 4.  A logistic regression learns the posterior labels from the voters that are
     needed to reach the documents of label 1 or that speak often and are not
-    part of a more general one, and from the patterns.  It alone scores, over every whole text, in one pass without a shuffle.
+    part of a more general one, and from the patterns.  Its intercept is set so that the
+    sample is split best at 0.5.  It alone scores, over every whole text, in one pass without a shuffle.
 
 Only the text goes into a score.
 
@@ -42,6 +43,8 @@ from tessera.llm.shingles import mix, multisets, portions
 
 WORD = re.compile(r"[^\W\d_]+")
 STRETCHED = re.compile(r"([^\W\d_])\1{4}")
+#: Sampled documents that share one of so many least shingles count as copies.
+COPY_HASHES = 4
 STEMS = (4, 5, 6, 7, 8)
 
 
@@ -177,17 +180,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, key: str,
     train = train.groupBy(key).agg(F.max("y").alias("y")).orderBy(F.xxhash64(key), key).limit(max_rows)
     rows = docs.select(F.col(key), whole_text(text).alias("t")).join(F.broadcast(train), key).select(F.col("y"), "t")
 
-    def least_shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def least_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for some in portions(list(batch["t"])):
                 part = batch.iloc[some]
                 hashes, _, counts = multisets(list(part["t"]))
                 firsts = np.cumsum(counts) - counts
-                scrambled = mix(hashes.astype(np.uint64)).view(np.int64)
-                yield part.assign(h=[int(scrambled[a : a + n].min()) if n else 0 for a, n in zip(firsts, counts, strict=True)])
+                scrambled = [mix(hashes.astype(np.uint64) * np.uint64(2 * k + 1)).view(np.int64) for k in range(COPY_HASHES)]
+                yield part.assign(h=[[int(x[a : a + n].min()) if n else 0 for x in scrambled] for a, n in zip(firsts, counts, strict=True)])
 
-    one_each = rows.mapInPandas(least_shingle, "y int, t string, h long").groupBy("h").agg(F.min(F.struct("y", "t")).alias("r"))
-    return stored(one_each.select("r.y", "r.t").repartition(8), "labelled")
+    kept = rows.mapInPandas(least_shingles, "y int, t string, h array<long>")
+    for k in range(COPY_HASHES):
+        kept = kept.groupBy(F.col("h")[k]).agg(F.min(F.struct("y", "t", "h")).alias("r")).select("r.*")
+    return stored(kept.select("y", "t").repartition(8), "labelled")
+
+
+def threshold(z: np.ndarray, y: np.ndarray) -> float:
+    """Where to cut the sample's scores: most of label 1 above less three times the share of label 0; the middle of the gap."""
+    at = np.unique(z)
+    best, cut = -np.inf, 0.0
+    for low, high in zip([at[0] - 2, *at[:-1]], at, strict=True):
+        gain = (z[y == 1] >= high).mean() - 3 * (z[y == 0] >= high).mean()
+        if gain > best + 1e-12:
+            best, cut = gain, (low + high) / 2
+    return float(cut)
 
 
 def general(names: list[str], voters: np.ndarray) -> list[int]:
@@ -253,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, precision: f
     used = sorted(used | {i for i, f in enumerate(names) if f[0] == "#"})
     column = {i: j for j, i in enumerate(used)}
     w, bias = fit_logistic([np.array([column[i] for i in x.tolist() if i in column], np.int64) for x in on], posterior, len(used))
-    return Scorer({names[i]: float(x) for i, x in zip(used, w, strict=True)}, bias)
+    z = np.array([bias + sum(w[column[i]] for i in x.tolist() if i in column) for x in on])
+    return Scorer({names[i]: float(x) for i, x in zip(used, w, strict=True)}, bias - threshold(z, y))
 
 
 def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:
