@@ -260,7 +260,8 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, hot: int) -> DataFr
     """id, ranges (array of start and end in bytes; unordered, overlapping) of the rows (id, t) with repeated strings."""
     found = all_runs(rows, length, gram)
     shared = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("covered").alias("low"), F.max("covered").alias("high"))
-    shared = shared.where("k > 1").select("bucket", (F.col("low") == F.col("high")).alias("same"))
+    # stored, so that the join below has a shuffle of its own whose hot buckets Spark can split
+    shared = stored(shared.where("k > 1").select("bucket", (F.col("low") == F.col("high")).alias("same")), "shared-buckets")
     repeated = stored(found.join(shared, "bucket"), "runs")
 
     mixed = repeated.where("not same")
