@@ -11,9 +11,10 @@
     (shingle, t) with the probability of their weighted Jaccard similarity.
 3.  Bands of ``ROWS`` samples: equal texts are one node; nodes with an equal
     band are compared with one leader of it.  Nodes that are not similar to it
-    come again with 2, 4, 8, ... leaders from among themselves, each of which is
-    compared with all of the bucket, until none is left: a bucket of copies takes
-    one comparison a node, and only texts unlike all leaders become leaders.
+    come again with 2, 4, ... ``LEADERS`` leaders from among themselves, each of
+    which is compared with all of the bucket.  Then every two nodes of a bucket
+    that are not connected yet, and of which none was a leader in it, are compared
+    block by block: pairs that a prefix and size filter, which loses none, lets through.
 4.  Verification: the exact weighted Jaccard similarity of the two texts'
     shingles must be ``similarity`` or more.  The members of a leader are dealt in
     salted groups of at most ``GROUP``, each with its own copy of the leader.
@@ -42,6 +43,8 @@ from tessera.llm.shingles import mix, multisets, portions
 BANDS, ROWS = 12, 4
 DF_BITS, IDF_SPAN = 16, 0.5
 GROUP = 512
+#: The last round of leaders has so many in each bucket.
+LEADERS = 8
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -160,6 +163,88 @@ def similar_pairs(pairs: DataFrame, payload: DataFrame, idf, similarity: float)
     return rows.select("leader", "salt", "node", "part", "hashes").mapInPandas(verify, "leader binary, node binary, similarity double")
 
 
+def links_within(nodes: list[tuple[bytes, bytes, np.ndarray, np.ndarray]], similarity: float) -> Iterator[tuple[bytes, bytes, float]]:
+    """(a, b, similarity) that join all of the nodes (name, component, hashes, weights) whose similarity is enough.
+
+    A pair is compared if it is not joined yet, its sums of weights allow the
+    similarity and its prefixes share a shingle.  The prefix is the shingles that
+    are rarest here, up to more than 1 - ``similarity`` of the sum: the others
+    alone cannot be shared enough.
+    """
+    parent: dict[bytes, bytes] = {component: component for _, component, _, _ in nodes}
+
+    def root(x: bytes) -> bytes:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    hashes, counts = np.unique(np.concatenate([h for _, _, h, _ in nodes]), return_counts=True)
+    sums = [float(w.sum(dtype=np.float64)) for _, _, _, w in nodes]
+    holders: dict[int, list[int]] = {}
+    for i, (name, component, own, w) in enumerate(nodes):
+        order = np.lexsort((own, counts[np.searchsorted(hashes, own)]))
+        before = np.cumsum(w[order], dtype=np.float64) - w[order]
+        prefix = own[order[before <= (1 - similarity) * sums[i] + 1e-5 * sums[i]]].tolist()
+        for j in sorted({j for x in prefix for j in holders.get(x, ())}):
+            other, of, theirs, their_w = nodes[j]
+            if root(component) == root(of) or min(sums[i], sums[j]) < (similarity - 1e-5) * max(sums[i], sums[j]):
+                continue
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            same = own[at] == theirs
+            shared = float(np.minimum(w[at[same]], their_w[same]).sum())
+            total = sums[i] + sums[j] - shared
+            if shared / total >= similarity - 1e-7:
+                parent[root(component)] = root(of)
+                yield min(name, other), max(name, other), shared / total
+        for x in prefix:
+            holders.setdefault(x, []).append(i)
+
+
+def links_between(buckets: DataFrame, led: DataFrame, links: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links of those pairs of a bucket that no leader took part in and that ``links`` do not connect.
+
+    A bucket's nodes are dealt over blocks of about ``GROUP``, a component of
+    many nodes in blocks of its own, and every two blocks are one group; two
+    blocks of the same component are not compared.
+    """
+    of = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    rest = buckets.select("band", "node").join(led, ["band", "node"], "left_anti").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = stored(rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")), "parts")
+    small = F.col("n") <= GROUP
+    open_ = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("m")).where("parts > 1")
+    # every block of the bucket: those of small components, and those of each large one
+    lots = F.greatest(F.ceil(F.col("m") / GROUP), F.lit(1)).cast("int")
+    common = open_.where("m > 0").select("band", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"), F.lit(None).cast("binary").alias("own"))
+    large = parts.where(~small).join(open_.select("band"), "band").select("band", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP).cast("int") - 1)).alias("lot"), F.col("component").alias("own"))
+    blocks = stored(common.unionByName(large).withColumn("block", F.xxhash64("own", "lot")), "blocks")
+    a, b = blocks.select("band", "block", "own"), blocks.select("band", F.col("block").alias("other"), F.col("own").alias("other_own"))
+    two = a.join(b, "band").where("block <= other AND NOT coalesce(own = other_own, false)")
+    two = two.select("band", F.array_distinct(F.array("block", "other")).alias("in"), F.xxhash64("block", "other").alias("pair"))
+    seats = stored(two.select("band", F.explode("in").alias("block"), "pair"), "seats")
+    dealt = rest.join(parts, ["band", "component"]).join(open_.select("band", lots.alias("lots")), "band")
+    own_lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP).cast("int")).cast("int")
+    lot, own = F.when(small, F.pmod(F.xxhash64("component"), "lots").cast("int")).otherwise(own_lot), F.when(~small, F.col("component"))
+    dealt = dealt.select("band", "node", "component", F.xxhash64(own, lot).alias("block"))
+    rows = dealt.join(seats, ["band", "block"]).select("band", "pair", "node", "component").join(payload, "node")
+    rows = rows.repartition("band", "pair").sortWithinPartitions("band", "pair", "component")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, nodes = None, []
+        names = ["leader", "node", "similarity"]
+        for batch in batches:
+            found = []
+            for band, pair, node, component, data in zip(batch["band"], batch["pair"], batch["node"], batch["component"], batch["hashes"], strict=True):
+                if group != (band, pair):
+                    found += links_within(nodes, similarity) if nodes else []
+                    group, nodes = (band, pair), []
+                hashes, tf = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+                nodes.append((bytes(node), bytes(component), hashes, weights(hashes, tf, idf.value)))
+            yield pd.DataFrame(found, columns=names)
+        yield pd.DataFrame(list(links_within(nodes, similarity)) if nodes else [], columns=names)
+
+    return rows.select("band", "pair", "node", "component", "hashes").mapInPandas(compare, "leader binary, node binary, similarity double").distinct()
+
+
 def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key and node, the MD5 of the text, of every row; the verified links leader, node, similarity)."""
     spark = docs.sparkSession
@@ -197,21 +282,24 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
     tried = stored(buckets.where("node <> leader").select("leader", "node").distinct(), "pairs")
     found = stored(similar_pairs(tried, payload, idf, similarity), "links")
     left = buckets.where("node <> leader").join(found, ["leader", "node"], "left_anti").select("band", "node")
+    led = buckets.select("band", F.col("leader").alias("node")).distinct()
     leaders = 2
-    while True:
+    while leaders <= LEADERS:
         left = stored(left, "left")
         if left.isEmpty():
-            return signed.select(key, "node"), found
+            break
         seat = F.pmod(F.xxhash64(F.lit(leaders), "node"), F.lit(leaders))
         chosen = stored(left.groupBy("band", seat.alias("seat")).agg(F.min("node").alias("leader")).select("band", "leader"), "leaders")
         pairs = buckets.select("band", "node").join(chosen, "band").where("node <> leader").select("leader", "node").distinct()
         pairs = stored(pairs.join(tried, ["leader", "node"], "left_anti"), "pairs")
         found = found.unionByName(stored(similar_pairs(pairs, payload, idf, similarity), "links"))
         tried = tried.unionByName(pairs)
+        led = led.unionByName(chosen.select("band", F.col("leader").alias("node")))
         rest = left.join(chosen.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti")
         near = rest.join(chosen, "band").join(found, ["leader", "node"], "left_semi").select("band", "node").distinct()
         left = rest.join(near, ["band", "node"], "left_anti")
         leaders *= 2
+    return signed.select(key, "node"), found.unionByName(stored(links_between(buckets, led, found, payload, idf, similarity), "links"))
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -126,6 +126,26 @@ def test_near_classes(spark, hostile, nothing):
     assert near_dedup.drop_near_copies(hostile).where("doc_id is null").count() == 1
 
 
+def test_near_classes_joined_by_followers(spark, monkeypatch):
+    """Chains in which leaders absorb nodes that alone link their classes, in one bucket and over several blocks."""
+    monkeypatch.setattr(near_dedup, "band_keys", lambda sig: np.zeros((len(sig), 1), np.int64))
+    rows = []
+    for group in range(40):
+        words = prose(500 + group, 200).split()
+        for step in range(8):  # neighbours are similar, others are not
+            rows.append((100 * group + step, " ".join(words[6 * step : 6 * step + 100])))
+    docs = frame(spark, rows)
+    idf = near_dedup.idf_table(*near_dedup.document_frequencies(docs.select(F.col("text").alias("t"))))
+    want = brute_classes(rows, idf)
+    assert len(want) == 40
+    for size in (16, 512):
+        monkeypatch.setattr(near_dedup, "GROUP", size)
+        got = {}
+        for x in near_dedup.near_classes(docs).collect():
+            got.setdefault(x["class_id"], []).append(x["doc_id"])
+        assert {frozenset(Counter(x).items()) for x in got.values()} == want
+
+
 def test_sampling_probability():
     """Two multisets share a sample with the probability of their weighted Jaccard similarity."""
     rng = np.random.default_rng(3)
