@@ -12,9 +12,10 @@ Passages are windows of 2 L words every L words, L the length of the longest
 item.  For all windows of a batch the block-max bounds (the sums of the largest
 weights in each block of items) come first, in numpy; only windows with a block
 that may reach 1 run block-max WAND, with cursors, pivots and skipping by
-block.  What it retrieves is verified: the shingles of the whole item, of its
-question (those that begin before the last sentence) and of its answer (the
-rest) must be in the window.
+block.  What it retrieves is verified: ``similarity`` of the shingles of the whole
+item must be in the window.  How many of those of its question (they begin
+before the last sentence) and of its answer (the rest, and so many before them
+that they are ``SHINGLE`` at least) are there is evidence, and decides nothing.
 
 The items are the bounded, stated query set.  Their size is checked: up to
 ``slice_chars`` characters make one broadcast index, larger sets are searched
@@ -63,7 +64,9 @@ class Item:
         all_ = shingles(self.words)
         last = len(words_of(SENTENCE.split(text.strip())[-1]))
         cut = max(0, min(len(self.words) - last, len(all_) - 1))
-        self.all, self.question, self.answer = set(all_), set(all_[:cut]) or set(all_), set(all_[cut:])
+        # one changed word may be in all shingles of a short last sentence, so it is told with what comes before
+        context = max(0, min(cut, len(all_) - SHINGLE))
+        self.all, self.question, self.answer = set(all_), set(all_[:cut]) or set(all_), set(all_[context:])
 
 
 def share(part: set, of: set) -> float:
@@ -182,7 +185,7 @@ class Index:
                 for i, score in hits:
                     item = self.items[i]
                     got = (share(item.all, there), share(item.question, there), share(item.answer, there))
-                    if got[0] >= similarity and min(got[1:]) >= similarity / 2 and got > best.get((d, i), ((),))[0]:
+                    if got[0] >= similarity and got > best.get((d, i), ((),))[0]:
                         best[d, i] = (got, start, score)
         for (d, i), (got, start, score) in best.items():
             yield (d, self.items[i].id, start, score, *got)

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from tessera.llm import bpe, decontamination, media, sharding, suffix_dedup, token_counts, token_files
 from tessera.llm.encoding import WORD_BPE
 from tests.conftest import SF
-from tests.llm.conftest import PASSAGE, prose, texts
+from tests.llm.conftest import PASSAGE, frame, prose, texts
 
 
 def key(x):
@@ -85,6 +85,20 @@ def test_decontamination(spark, hostile, nothing):
     assert decontamination.drop_leaks(hostile, bench.limit(0)).count() == len(texts())
 
 
+def test_decontamination_of_edited_items(spark):
+    """Any word changed or the last one missing: more than 0.8 of the item is there, whatever is left of its answer."""
+    words = prose(31, 55).replace(".", "").replace(",", "").split()
+    item = " ".join(words[:52]) + ". " + " ".join(words[52:])
+    edited = [item.rsplit(" ", 1)[0], *(" ".join([*item.split()[:i], "edited", *item.split()[i + 1 :]]) for i in range(55))]
+    two = item.split()
+    two[44] = two[49] = "edited"  # ten of 51 shingles, all near the end
+    rows = [(i, f"{prose(900 + i, 30)} {x} {prose(990 + i, 30)}") for i, x in enumerate([*edited, " ".join(two)])]
+    half = (99, " ".join(words[:30]))
+    docs, bench = frame(spark, [*rows, half]), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.find_leaks(docs, bench).collect()} == {i for i, _ in rows}
+    assert [r["doc_id"] for r in decontamination.drop_leaks(docs, bench).collect()] == [99]
+
+
 def test_decontamination_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
