@@ -23,7 +23,7 @@ The permutation is an alternating Feistel network over Z_a x Z_b: eight rounds
 So equal values get equal pseudonyms in every document, different values get
 different ones, and lengths do not change but for addresses' octets.  A text is
 rebuilt from what lies between the matches; rows are independent, nothing is
-shuffled, and texts without a digit or @ skip all of it.
+shuffled, and texts without a digit, @ or AKIA skip all of it.
 
 Defined cases: a null text stays null with nothing found; an empty text stays
 empty; values that fail validation stay; repeated rows get the same text; extra
@@ -46,8 +46,11 @@ SSN = r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_]|-\d)"
 DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}_]|[./-]\d)"
 IP = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}_]|\.\d)"
 ACCESS = r"AKIA[A-Z2-7]{16}(?![\p{L}\p{N}_])"
+#: Groups of digits of any number, up to a value of another kind; cards are looked for from group to group.
+GROUP = r"(?:-| (?!(?:DATE|SSN|PHONE|IP)))".replace("DATE", DATE).replace("SSN", SSN).replace("PHONE", PHONE).replace("IP", IP)
+RUN = rf"(?=\d(?:{GROUP}?\d){{12}})\d{{3,}}+(?![\p{{L}}_])(?:{GROUP}\d{{3,}}+(?![\p{{L}}_]))*+(?:{GROUP}\d{{1,2}}+(?![\p{{L}}\p{{N}}_]))?+"
 #: A value starts where no word goes on; the order decides between kinds.
-CANDIDATE = rf"(?<![\p{{L}}\p{{N}}_@%+-])(?:{EMAIL}|{ACCESS}|{DATE}|{SSN}|{PHONE}|{IP}|{CARD})"
+CANDIDATE = rf"(?<![\p{{L}}\p{{N}}_@%+-])(?:{EMAIL}|{ACCESS}|{DATE}|{SSN}|{PHONE}|{IP}|{RUN}|{CARD})"
 
 #: Days of the 400-year cycle of the calendar, 189 x 773, and its first day here.
 CYCLE, CYCLE_A, CYCLE_B, FIRST_DAY = 146_097, 189, 773, "1800-01-01"
@@ -143,6 +146,38 @@ def card(key: str, m: Column) -> Column:
     return let(only_digits(m), change)
 
 
+PIECE = "struct<kind:string,old:string,new:string>"
+
+
+def cards(key: str, m: Column) -> Column:
+    """The cards in groups of digits and what is around them, in order: array of (kind, old, new).
+
+    From each group on, the longest 13 to 19 digits that end with a group and are
+    valid are a card.  Only all of ``m`` may have other groups than the last of
+    fewer than three digits.
+    """
+
+    def piece(old: Column, new: Column) -> Column:
+        return F.array(F.struct(F.lit("card").alias("kind"), old.alias("old"), new.cast("string").alias("new")).cast(PIECE))
+
+    def tried(rest: Column) -> Column:
+        spans = F.array(*[F.regexp_extract(rest, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0) for n in range(19, 12, -1)])
+        usual = F.filter(spans, lambda x: (x != "") & ((x == m) | ~x.rlike(r"(?:^|[ -])\d{1,2}[ -]")))
+        return F.filter(F.transform(usual, lambda x: F.struct(x.alias("old"), card(key, x).alias("new"))), lambda x: x["new"].isNotNull())
+
+    def step(x: Column, _: Column) -> Column:
+        def go(found: Column) -> Column:
+            plain = F.regexp_extract(x["rest"], r"^(?:\d+[ -]?|[ -])", 0)
+            old = F.when(F.size(found) > 0, F.get(found, F.lit(0))["old"]).otherwise(plain)
+            return F.struct(F.concat(x["out"], piece(old, F.get(found, F.lit(0))["new"])).alias("out"), F.substr(x["rest"], F.length(old) + 1).alias("rest"))
+
+        return F.when(x["rest"] == "", x).otherwise(let(tried(x["rest"]), go))
+
+    start = F.struct(F.array().cast(f"array<{PIECE}>").alias("out"), m.alias("rest"))
+    steps = F.sequence(F.lit(1), F.size(F.split(m, "[ -]")) * 2)  # a group and, after a card, what parts it from the next
+    return F.aggregate(steps, start, step, lambda x: x["out"])
+
+
 def phone(key: str, m: Column) -> Column:
     def change(d: Column) -> Column:
         valid = (int_at(d, 1, 1) >= 2) & (int_at(d, 4, 1) >= 2)
@@ -245,24 +280,26 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
     ``start`` counts characters from 1.
     """
     t = F.col(text)
-    some = t.rlike(r"[@0-9]") & t.rlike(CANDIDATE)
+    some = t.rlike(r"[@0-9]|AKIA") & t.rlike(CANDIDATE)
     matches = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
-    changed = F.transform(matches, lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("old"), pseudonym(key, k, m).alias("new"))))
-    out = docs.withColumn("__changed", F.when(some, changed)).withColumn("__between", F.when(some, F.split(t, CANDIDATE, -1)))
-    pairs = F.zip_with("__changed", F.slice("__between", F.lit(2), F.size("__changed")), lambda c, rest: F.concat(F.coalesce(c["new"], c["old"]), rest))
-    start = F.struct(F.array().cast("array<struct<kind:string,start:int,new:string>>").alias("all"), (F.length(F.element_at("__between", 1)) + 1).alias("at"))
-    steps = F.zip_with("__changed", F.slice("__between", F.lit(2), F.size("__changed")), lambda c, rest: F.struct(c["kind"].alias("kind"), c["new"].alias("new"), F.length(c["old"]).alias("n"), F.length(rest).alias("gap")))
+    one = lambda k, m: F.array(F.struct(k.alias("kind"), m.alias("old"), pseudonym(key, k, m).alias("new")).cast(PIECE))
+    changed = F.transform(matches, lambda m: let(kind_of(m), lambda k: F.when(k == "card", cards(key, m)).otherwise(one(k, m))))
+    gap = lambda x: F.array(F.struct(F.lit(None).cast("string").alias("kind"), x.alias("old"), F.lit(None).cast("string").alias("new")).cast(PIECE))
+    between = F.split(t, CANDIDATE, -1)
+    pieces = let(between, lambda x: F.concat(gap(F.get(x, F.lit(0))), F.flatten(F.zip_with(changed, F.slice(x, F.lit(2), F.size(x)), lambda c, rest: F.concat(c, gap(rest))))))
+    out = docs.withColumn("__pieces", F.when(some, pieces))
+    start = F.struct(F.array().cast("array<struct<kind:string,start:int,new:string>>").alias("all"), F.lit(1).alias("at"))
 
     def place(x: Column, c: Column) -> Column:
         one = F.array(F.struct(c["kind"].alias("kind"), x["at"].alias("start"), c["new"].alias("new")))
-        return F.struct(F.when(c["new"].isNotNull(), F.concat(x["all"], one)).otherwise(x["all"]).alias("all"), (x["at"] + c["n"] + c["gap"]).alias("at"))
+        return F.struct(F.when(c["new"].isNotNull(), F.concat(x["all"], one)).otherwise(x["all"]).alias("all"), (x["at"] + F.length(c["old"])).alias("at"))
 
-    where = F.aggregate(steps, start, place, lambda x: x["all"])
+    where = F.aggregate("__pieces", start, place, lambda x: x["all"])
     none = F.array().cast("array<struct<kind:string,start:int,new:string>>")
     return out.withColumns({
-        text: F.when(F.col("__changed").isNotNull(), F.concat(F.element_at("__between", 1), F.array_join(pairs, ""))).otherwise(t),
-        found: F.when(F.col("__changed").isNotNull(), where).otherwise(none),
-    }).drop("__changed", "__between")
+        text: F.when(F.col("__pieces").isNotNull(), F.array_join(F.transform("__pieces", lambda c: F.coalesce(c["new"], c["old"])), "")).otherwise(t),
+        found: F.when(F.col("__pieces").isNotNull(), where).otherwise(none),
+    }).drop("__pieces")
 
 
 def _only(kind: str):
