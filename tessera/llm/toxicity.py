@@ -2,8 +2,8 @@
 
 1.  Sample: at most ``max_rows`` labelled training documents (those of least
     hash; a documented bound for fitting alone).  The chosen ids are broadcast to
-    fetch their texts; the other texts are not shuffled.  Of copies (an equal least
-    shingle under any of four hashes) one stays, so that the words of a copied text do not look like evidence.
+    fetch their texts; the other texts are not shuffled.  Of equal texts with the
+    same label one stays; all other rows count, whatever passages they share.
 2.  Voters: words, word stems (first 4 to 8 letters) and writing patterns
     are counted by label in the sample.  Those that speak for label 1 with a
     smoothed precision of ``precision`` or more, on ``support`` documents at least,
@@ -39,12 +39,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, stored, whole_text
 from tessera.llm.encoding import Remembered
-from tessera.llm.shingles import mix, multisets, portions
 
 WORD = re.compile(r"[^\W\d_]+")
 STRETCHED = re.compile(r"([^\W\d_])\1{4}")
-#: Sampled documents that share one of so many least shingles count as copies.
-COPY_HASHES = 4
 STEMS = (4, 5, 6, 7, 8)
 
 
@@ -180,18 +177,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, key: str,
     train = train.groupBy(key).agg(F.max("y").alias("y")).orderBy(F.xxhash64(key), key).limit(max_rows)
     rows = docs.select(F.col(key), whole_text(text).alias("t")).join(F.broadcast(train), key).select(F.col("y"), "t")
 
-    def least_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for some in portions(list(batch["t"])):
-                part = batch.iloc[some]
-                hashes, _, counts = multisets(list(part["t"]))
-                firsts = np.cumsum(counts) - counts
-                scrambled = [mix(hashes.astype(np.uint64) * np.uint64(2 * k + 1)).view(np.int64) for k in range(COPY_HASHES)]
-                yield part.assign(h=[[int(x[a : a + n].min()) if n else 0 for x in scrambled] for a, n in zip(firsts, counts, strict=True)])
-
-    kept = rows.mapInPandas(least_shingles, "y int, t string, h array<long>")
-    for k in range(COPY_HASHES):
-        kept = kept.groupBy(F.col("h")[k]).agg(F.min(F.struct("y", "t", "h")).alias("r")).select("r.*")
+    kept = rows.groupBy("y", F.sha2(F.encode("t", "UTF-8"), 256).alias("same")).agg(F.first("t").alias("t"))
     return stored(kept.select("y", "t").repartition(8), "labelled")
 
 

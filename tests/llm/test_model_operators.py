@@ -36,6 +36,18 @@ def test_toxicity_cases(spark, hostile, nothing):
     assert toxicity.fit(hostile, labels.limit(0)).weights == {}
 
 
+def test_sample_keeps_what_only_shares_a_passage(spark):
+    """Only equal texts of one label are one row of the sample."""
+    ids = [r["id"] for r in spark.range(400).where(~toxicity.held_out(F.col("id"))).collect()][:40]
+    header = prose(7, 200)
+    rows = [(i, f"{header} {prose(3000 + n // 2, 60)}" + (" vile" if n % 4 < 2 else "")) for n, i in enumerate(ids)]  # each text twice
+    labels = spark.createDataFrame([(i, int(n % 4 < 2)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    got = [(r["y"], r["t"]) for r in toxicity.labelled_sample(frame(spark, rows), labels, 20_000, "doc_id", "text", "toxic").collect()]
+    assert sorted(got) == sorted({(int(n % 4 < 2), t) for n, (_, t) in enumerate(rows)}) and len(got) == 20
+    both = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, toxic int")  # equal texts, other labels
+    assert toxicity.labelled_sample(frame(spark, rows), both, 20_000, "doc_id", "text", "toxic").count() == 40
+
+
 def test_pseudonyms(spark, nothing):
     rows = [
         (1, "call (212) 555-0187 or mail Jane.Doe99@example.com, card 4111 1111 1111 1111, ssn 123-45-6789"),
