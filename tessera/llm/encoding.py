@@ -3,10 +3,11 @@
 A tokenizer that drops white space treats the pieces between it independently,
 so a worker asks the tokenizers library only for pieces that it has not met
 lately and joins the stored bytes of the rest.  New pieces of Latin-1
-characters are normalised and cut by the tokenizer's own rules here and only
-their words go to the library's model, which skips its costly per-text set-up;
-all others take the library's whole way.  The memory is bounded by ``limit``
-pieces; when it is full it starts anew.
+characters are normalised and cut by the tokenizer's own rules here, and all
+words that are new in a batch go to the library's model in one call, which skips
+its costly per-text set-up; all others take the library's whole way.  The
+memories of pieces and of words are bounded by ``limit``; a full one becomes the
+older half, from which entries still in use come back.
 """
 
 from __future__ import annotations
@@ -64,21 +65,18 @@ class Remembered(dict):
             self.older = dict(self)
             self.clear()
         self.asked = asked = []
-        get, found = self.__getitem__, []
-        for pieces in texts:
-            before = len(asked)
-            parts = list(map(get, pieces))
-            found.append((parts, len(asked) - before))
+        flat: list[str] = []
+        ends = [len(flat) for pieces in texts if not flat.extend(pieces)]
+        parts = list(map(self.__getitem__, flat))
         if asked:
             self.asked = []
             learn(set(asked))
-        new = map(get, asked)
-        for parts, n in found:
             at = -1
-            for _ in range(n):
+            for new in map(self.__getitem__, asked):
                 at = parts.index(None, at + 1)
-                parts[at] = next(new)
-            yield parts
+                parts[at] = new
+        for begin, end in zip([0, *ends], ends):  # noqa: B905
+            yield parts[begin:end]
 
 
 class PieceEncoder:
@@ -87,14 +85,19 @@ class PieceEncoder:
     def __init__(self, path: str, width: int, special_as_text: bool, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = special_as_text
-        self.dtype, self.known = np.dtype(f"<u{width}"), Remembered(limit)
-        self.of_word = functools.lru_cache(1 << 16)(self._word)
-        self.bytes_of = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.dtype, self.known, self.words = np.dtype(f"<u{width}"), Remembered(limit), Remembered(limit)
+        # the same model behind a cut at white space, for words in the letters of a byte-level vocabulary
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         # what a special token's string can be part of takes the library's way, unless it is ordinary text
         self.special = None if special_as_text else re.compile("|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()))
 
@@ -102,22 +105,28 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _word(self, word: str) -> bytes:
-        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(LETTERS)
-        return b"".join([self.bytes_of[x.id] for x in self.tokenizer.model.tokenize(spelled)])
+    def _learn_words(self, new: set[str]) -> None:
+        """All new words in one text for the model; every word ends with the one id that ends a word."""
+        words = list(new)
+        spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(LETTERS) for w in words]
+        ids = np.array(self.model.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+        if len(ends) != len(words):
+            raise ValueError("the model left out a letter")
+        data, cuts = ids.tobytes(), ends.tolist()
+        self.words.update(zip(words, (data[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))  # noqa: B905
 
     def _learn(self, new: set[str]) -> None:
-        hard = []
+        hard, easy = [], []
         for piece in new:
             try:
                 piece.encode("latin-1")
             except UnicodeEncodeError:
                 hard.append(piece)
                 continue
-            if self.special and self.special.search(piece):
-                hard.append(piece)
-            else:
-                self.known[piece] = b"".join([self.of_word(w) for w in WORDS.findall(piece.lower())])
+            (hard if self.special and self.special.search(piece) else easy).append(piece)
+        cut = (WORDS.findall(piece.lower()) for piece in easy)
+        self.known.update(zip(easy, map(b"".join, self.words.look_up(cut, self._learn_words)), strict=True))
         self.known.update(zip(hard, self._ask(hard), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -1,8 +1,9 @@
 """Token-id output: canonical length-limited Huffman coding of token ids.
 
-1.  Every whole text is encoded; the ids are kept as a Parquet table.
-2.  The occurrences of every id are counted over all documents (partial sums in
-    each task, then a shuffle by id), and the driver, which gets at most one row
+1.  Every whole text is encoded; the ids are kept as a Parquet table, and beside
+    them, in a last row of each task, how often each id occurs in the task.
+2.  These counts, of all documents, are added up (a shuffle by id of what is in
+    that one column; the ids are not read again), and the driver, which gets at most one row
     for each id of the vocabulary, finds code lengths of at most ``max_bits`` by
     package-merge and assigns canonical codes.
 3.  The rows are dealt by ranges of the key, with a hash of the ids as a tie
@@ -86,7 +87,7 @@ class Code:
 
 
 def pack(ids: np.ndarray, code: Code) -> tuple[bytes, bytes]:
-    """The bits of the ids in big-endian words, and the checkpoints' bit offsets (u32)."""
+    """The bits of the ids in big-endian words, and the checkpoints' bit offsets (u64)."""
     sizes = code.lengths[ids].astype(np.int64)
     if len(ids) and not sizes.all():
         raise ValueError("an id without a code")
@@ -96,7 +97,7 @@ def pack(ids: np.ndarray, code: Code) -> tuple[bytes, bytes]:
     n = int(ends[-1] // 32 + 2) if len(ids) else 2
     # within a word the bits of different ids do not overlap, so sums are exact unions
     words = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n + 1)[:n]
-    return words.astype(">u4").tobytes(), at[::STEP].astype("<u4").tobytes()
+    return words.astype(">u4").tobytes(), at[::STEP].astype("<u8").tobytes()
 
 
 def unpack(parts: list[tuple[bytes, bytes, int]], code: Code) -> np.ndarray:
@@ -104,7 +105,7 @@ def unpack(parts: list[tuple[bytes, bytes, int]], code: Code) -> np.ndarray:
     words = np.frombuffer(b"".join(x[0] for x in parts) + b"\0" * 8, ">u4").astype(np.uint64)
     lanes, counts, base = [], [], 0
     for bits, checkpoints, n in parts:
-        lanes.append(np.frombuffer(checkpoints, "<u4").astype(np.int64) + base * 8)
+        lanes.append(np.frombuffer(checkpoints, "<u8").astype(np.int64) + base * 8)
         counts.append(np.minimum(STEP, n - STEP * np.arange(len(lanes[-1]))))
         base += len(bits)
     at, left = np.concatenate(lanes), np.concatenate(counts)
@@ -120,31 +121,32 @@ def unpack(parts: list[tuple[bytes, bytes, int]], code: Code) -> np.ndarray:
 
 
 def encode_documents(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (little-endian, as narrow as the vocabulary allows) with the end id appended."""
+    """key, ids (little-endian, as narrow as the vocabulary allows) with the end id appended; counts is null.
+
+    The last row of each task has no ids but ``counts``: the task's occurrences
+    of every id that it met.
+    """
     width = id_width(path)
     tail = int(end).to_bytes(width, "little")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = piece_encoder(path, width)
+        total = np.zeros(1 << 16 if width == 2 else 1 << 18, np.int64)
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "ids": [x + tail for x in encoder.encode(list(batch["t"]))]})
+            ids = [x + tail for x in encoder.encode(list(batch["t"]))]
+            total += np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"), minlength=len(total))
+            yield pd.DataFrame({key: batch[key], "ids": ids, "counts": None})
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({key: pd.Series([None], dtype="Int64"), "ids": [None], "counts": [[{"id": int(i), "n": int(n)} for i, n in zip(used, total[used], strict=True)]]})
 
-    return docs.select(F.col(key).cast("long"), whole_text(text).alias("t")).mapInPandas(encode, f"{key} long, ids binary")
+    return docs.select(F.col(key).cast("long"), whole_text(text).alias("t")).mapInPandas(encode, f"{key} long, ids binary, counts array<struct<id:long,n:long>>")
 
 
 def global_counts(tokens: DataFrame, width: int) -> np.ndarray:
-    """Occurrences of every id: task sums, then a shuffle by id; one row an id reaches the driver."""
-    size = 1 << 16 if width == 2 else 1 << 18
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch["ids"]), f"<u{width}"), minlength=size)
-        used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
-
-    rows = tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, np.int64)
+    """Occurrences of every id over all documents; one row an id reaches the driver."""
+    each = tokens.where("counts is not null").select(F.explode("counts").alias("c"))
+    rows = each.groupBy(F.col("c.id").alias("id")).agg(F.sum("c.n").alias("n")).toPandas()
+    out = np.zeros(1 << 16 if width == 2 else 1 << 18, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
@@ -182,7 +184,7 @@ def write_files(tokens: DataFrame, lengths: np.ndarray, width: int, key: str = "
         if parts:
             yield flush()
 
-    dealt = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(key, "tie").sortWithinPartitions(key, "tie")
+    dealt = tokens.where("ids is not null").withColumn("tie", F.xxhash64("ids")).repartitionByRange(key, "tie").sortWithinPartitions(key, "tie")
     return dealt.select(key, "ids").mapInPandas(write, FILE_SCHEMA)
 
 
@@ -211,10 +213,11 @@ def read_files(files: DataFrame, lengths: np.ndarray, key: str = "doc_id", group
                     found[key] = found[key].astype("Int64")
                     yield found
 
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    # one row a file, that is, a task of the writing job
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.groupBy("file").agg(F.sum("n_ids").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     found = files.mapInPandas(read, f"file int, {key} long, in_file long, n_tokens long, ids_crc32 long")
-    return found.join(F.broadcast(offsets), "file").select(key, (F.col("offset") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(offsets, "file").select(key, (F.col("offset") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, path: str, end: int, max_bits: int = 16) -> tuple[DataFrame, np.ndarray]:

@@ -207,3 +207,26 @@ def test_media_rejects_damage(spark, hostile):
     damaged = [(r["doc_id"], r["n_bytes"], bytes([*r["media"][:-20], r["media"][-20] ^ 1, *r["media"][-19:]])) for r in images]
     out = media.read_media(spark.createDataFrame(damaged, "doc_id long, n_bytes long, media binary")).collect()
     assert all(r["payload_sha256"] is None and r["media_error"] for r in out)
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_piece_encoder_is_the_library(special):
+    """Every character of Latin-1 alone, inside words, at both ends and in pairs, and texts dealt from hard parts."""
+    import random
+
+    import numpy as np
+
+    from tessera.llm.encoding import PieceEncoder
+
+    t = Tokenizer.from_file(WORD_BPE)
+    t.no_truncation(), t.no_padding()
+    t.encode_special_tokens = special
+    chars = [chr(i) for i in range(256)]
+    r = random.Random(8)
+    parts = [*chars, "é", "é", "日本", "😀", "it's", "'LL", "don't", "½", "<|endoftext|>", "<|startoftext|", " ", "​", "ǅ", "word", "THE", "%%%", "12345"]
+    some = [x for c in chars for x in (c, f"wo{c}rd", f"{c}word", f"word{c}", f" {c} ")]
+    some += [a + b for a in chars for b in r.sample(chars, 24)] + ["".join(r.choices(parts, k=r.randrange(1, 14))) for _ in range(5000)]
+    encoder = PieceEncoder(WORD_BPE, 2, special, limit=3000)
+    got = [np.frombuffer(x, "<u2").tolist() for i in range(0, len(some), 500) for x in encoder.encode(some[i : i + 500])]
+    want = [x.ids for x in t.encode_batch_fast(some, add_special_tokens=False)]
+    assert [(x, a, b) for x, a, b in zip(some, got, want, strict=True) if a != b] == []
