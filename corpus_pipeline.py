@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import bpe, decontamination, near_dedup, pii, toxicity
 from tessera.llm.common import small_batches, stored
 
-PSEUDONYM_KEY = "pseudonym key of this corpus"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled training rows, does not reject."""
@@ -35,7 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by keyed pseudonyms."""
-    return pii.pseudonymise(docs, PSEUDONYM_KEY, found="__pii").drop("__pii")
+    return pii.pseudonymise(docs, pii.session_key(spark), found=None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node of it) for all nodes of edges (a, b)."""
+    """node, component (the least node of it) for all nodes of edges (a, b).
+
+    The hub of a star is one key of the joins; no aggregate follows a join on its
+    own key, so that Spark can split such a key over several tasks.
+    """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:
@@ -24,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         after = stored(near.join(up, "label", "left").select("node", "old", F.least("label", "above").alias("label")), "labels")
         changed = not after.where("label <> old").isEmpty()
+        discard(labels)
         labels = after.select("node", "label")
         if not changed:
+            discard(both)
             return labels.withColumnRenamed("label", "component")

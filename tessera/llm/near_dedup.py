@@ -1,26 +1,39 @@
 """Near-duplicate documents by consistent weighted sampling.
 
-1.  Document frequencies: every text's distinct five-word shingles are hashed
-    into ``2**DF_BITS`` cells, and the texts with each cell are counted over the
-    whole corpus (task sums, then a shuffle by cell).  This table, fixed in size,
-    gives idf weights from 1 (in every text) to 1 + ``IDF_SPAN``.
+1.  Document frequencies.  Shingles are five words.  The texts with each of
+    ``2**DF_BITS`` cells of hashed shingles are counted (task sums, then a shuffle by
+    cell); a shingle in one of ``HEAVY`` texts or more can only be in a cell of as
+    many, and the shingles of such cells are counted exactly in a second pass.  So
+    the frequency of every heavy shingle is exact, over all documents; there are at
+    most ``HEAVY`` times the mean number of shingles of a text of them, which is
+    what is broadcast.  Their idf falls with the logarithm of the frequency to 1
+    (in every text); all others weigh 1 + ``IDF_SPAN``.
 2.  Signatures: improved consistent weighted sampling (Ioffe) of the weights
     tf x idf.  Sample k takes from each text the shingle with the least
     ``ln c - r (t - beta) - r``, ``t = floor(ln w / r + beta)``, with r, c ~ Gamma(2, 1)
     and beta ~ U(0, 1) drawn from a hash of shingle and k; two texts give the same
     (shingle, t) with the probability of their weighted Jaccard similarity.
-3.  Bands of ``ROWS`` samples: equal texts are one node; nodes with an equal
-    band are compared with one leader of it.  Nodes that are not similar to it
-    come again with 2, 4, ... ``LEADERS`` leaders from among themselves, each of
-    which is compared with all of the bucket.  Then every two nodes of a bucket
-    that are not connected yet, and of which none was a leader in it, are compared
-    block by block: pairs that a prefix and size filter, which loses none, lets through.
-4.  Verification: the exact weighted Jaccard similarity of the two texts'
+3.  Bands of ``ROWS`` samples: equal texts are one node, and the nodes with an
+    equal band are a bucket.  Each is compared with one leader of its bucket, the
+    node whose bands most others share: of a group of copies that is the text
+    nearest to all, the same one in all buckets.  Pairs grow with the nodes.
+4.  The rest, exactly.  Nodes of buckets that hold more than one component of the
+    links found so far are open.  Any two open nodes that are similar share a
+    shingle of both their prefixes, and no pair of other components is left out:
+    only shingles met in two components can link, a text's shingles are ordered
+    from the rarest among open nodes on, and its prefix ends where what follows
+    weighs less than ``similarity`` of the text.  Texts that only share a passage
+    have no prefix at all, so a passage in a third of all rows makes no pairs.
+    A pair is made if the weights that both share with others allow the similarity.
+5.  Verification: the exact weighted Jaccard similarity of the two texts'
     shingles must be ``similarity`` or more.  The members of a leader are dealt in
     salted groups of at most ``GROUP``, each with its own copy of the leader.
-5.  Connected components of the verified links are the classes.
+6.  Connected components of the verified links are the classes.
 
-Texts are shuffled once, only to fetch those of nodes in shared bands.
+With 12 bands of 4 samples a single pair at exactly 0.8 shares a band with
+probability 0.998.  What the steps keep in between (32-bit shingles of one text
+in each task of its equals, beside the signatures) is shuffled for nodes in shared
+buckets; texts are not shuffled.
 
 Defined cases: null counts as empty; equal texts, empty ones too, are one
 class; a text without words is near no other text; repeated rows are each
@@ -30,21 +43,23 @@ reported; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, stored, whole_text
+from tessera.llm.common import discard, documents, stored, whole_text
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, multisets, portions
 
 BANDS, ROWS = 12, 4
-DF_BITS, IDF_SPAN = 16, 0.5
+DF_BITS, HEAVY, IDF_SPAN = 16, 64, 0.5
 GROUP = 512
-#: The last round of leaders has so many in each bucket.
-LEADERS = 8
+#: What float32 sums of weights may be off by.
+SLACK = 1e-5
 
 
 def _gamma2_quantiles(n: int) -> np.ndarray:
@@ -63,12 +78,24 @@ INV_R = (1 / _gamma2_quantiles(1 << 12)).astype(np.float32)
 LN_C = np.log(_gamma2_quantiles(1 << 14)).astype(np.float32)
 
 
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    return (1 + IDF_SPAN * np.clip(np.log((n + 1) / (df + 1)) / np.log(n + 2), 0, 1)).astype(np.float32)
+@dataclass
+class Idf:
+    """The heavy shingles in ascending order, and what they and all others weigh."""
 
+    heavy: np.ndarray
+    value: np.ndarray
 
-def weights(hashes: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return tf.astype(np.float32) * idf[hashes & np.uint32(len(idf) - 1)]
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), 1 + IDF_SPAN, np.float32)
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, hashes), len(self.heavy) - 1)
+            known = self.heavy[at] == hashes
+            out[known] = self.value[at[known]]
+        return out
+
+
+def weights(hashes: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
+    return tf.astype(np.float32) * idf.of(hashes)
 
 
 def signatures(hashes: np.ndarray, w: np.ndarray, counts: np.ndarray, samples: int, part: int = 1 << 16) -> np.ndarray:
@@ -108,29 +135,45 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Texts that hold each cell of shingles, over all rows (t), and the number of texts."""
+def document_frequencies(rows: DataFrame) -> Idf:
+    """idf of the shingles of all rows (t), by exact frequencies of the heavy ones."""
     size = 1 << DF_BITS
+    cell_of = np.uint32(size - 1)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             texts = list(batch["t"])
             n += len(texts)
             for some in portions(texts):
                 hashes, _, counts = multisets(texts[some])
-                cell = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << DF_BITS) | (hashes & np.uint32(size - 1))
+                cell = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << DF_BITS) | (hashes & cell_of)
                 cell.sort()
                 once = cell[np.concatenate([[True], cell[1:] != cell[:-1]])] if len(cell) else cell
                 total += np.bincount(once & (size - 1), minlength=size)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"cell": np.append(used, -1), "n": np.append(total[used], n)})
 
-    found = rows.select("t").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(size, np.int64)
-    cells = found[found["cell"] >= 0]
-    df[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
-    return df, int(found.loc[found["cell"] < 0, "n"].sum())
+    cells = rows.select("t").mapInPandas(count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    texts = int(cells.loc[cells["cell"] < 0, "n"].sum())
+    least = max(2, -(-texts // HEAVY))
+    full = np.zeros(size, bool)
+    full[cells.loc[(cells["cell"] >= 0) & (cells["n"] >= least), "cell"].to_numpy(np.int64)] = True
+    if not full.any():
+        return Idf(np.zeros(0, np.uint32), np.zeros(0, np.float32))
+
+    def count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = list(batch["t"])
+            for some in portions(texts, 1 << 20):
+                hashes, _, _ = multisets(texts[some])
+                own, n = np.unique(hashes[full[hashes & cell_of]], return_counts=True)
+                yield pd.DataFrame({"shingle": own.astype(np.int64), "n": n})
+
+    df = rows.select("t").mapInPandas(count_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    df = df.where(F.col("n") >= least).toPandas().sort_values("shingle")  # at most HEAVY x the mean number of shingles of a text
+    share = np.log(np.maximum(texts / df["n"].to_numpy(np.float64), 1.0)) / np.log(HEAVY)
+    return Idf(df["shingle"].to_numpy(np.uint32), (1 + IDF_SPAN * np.minimum(share, 1)).astype(np.float32))
 
 
 def similar_pairs(pairs: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
@@ -163,163 +206,119 @@ def similar_pairs(pairs: DataFrame, payload: DataFrame, idf, similarity: float)
     return rows.select("leader", "salt", "node", "part", "hashes").mapInPandas(verify, "leader binary, node binary, similarity double")
 
 
-def links_within(nodes: list[tuple[bytes, bytes, np.ndarray, np.ndarray]], similarity: float) -> Iterator[tuple[bytes, bytes, float]]:
-    """(a, b, similarity) that join all of the nodes (name, component, hashes, weights) whose similarity is enough.
+def open_pairs(open_nodes: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
+    """(leader, node) of all open nodes (node, component) of different components that can be similar."""
 
-    A pair is compared if it is not joined yet, its sums of weights allow the
-    similarity and its prefixes share a shingle.  The prefix is the shingles that
-    are rarest here, up to more than 1 - ``similarity`` of the sum: the others
-    alone cannot be shared enough.
-    """
-    parent: dict[bytes, bytes] = {component: component for _, component, _, _ in nodes}
-
-    def root(x: bytes) -> bytes:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    hashes, counts = np.unique(np.concatenate([h for _, _, h, _ in nodes]), return_counts=True)
-    sums = [float(w.sum(dtype=np.float64)) for _, _, _, w in nodes]
-    holders: dict[int, list[int]] = {}
-    for i, (name, component, own, w) in enumerate(nodes):
-        order = np.lexsort((own, counts[np.searchsorted(hashes, own)]))
-        before = np.cumsum(w[order], dtype=np.float64) - w[order]
-        prefix = own[order[before <= (1 - similarity) * sums[i] + 1e-5 * sums[i]]].tolist()
-        for j in sorted({j for x in prefix for j in holders.get(x, ())}):
-            other, of, theirs, their_w = nodes[j]
-            if root(component) == root(of) or min(sums[i], sums[j]) < (similarity - 1e-5) * max(sums[i], sums[j]):
-                continue
-            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-            same = own[at] == theirs
-            shared = float(np.minimum(w[at[same]], their_w[same]).sum())
-            total = sums[i] + sums[j] - shared
-            if shared / total >= similarity - 1e-7:
-                parent[root(component)] = root(of)
-                yield min(name, other), max(name, other), shared / total
-        for x in prefix:
-            holders.setdefault(x, []).append(i)
-
-
-def links_between(buckets: DataFrame, led: DataFrame, links: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
-    """Links of those pairs of a bucket that no leader took part in and that ``links`` do not connect.
-
-    A bucket's nodes are dealt over blocks of about ``GROUP``, a component of
-    many nodes in blocks of its own, and every two blocks are one group; two
-    blocks of the same component are not compared.
-    """
-    of = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
-    rest = buckets.select("band", "node").join(led, ["band", "node"], "left_anti").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = stored(rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")), "parts")
-    small = F.col("n") <= GROUP
-    open_ = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("m")).where("parts > 1")
-    # every block of the bucket: those of small components, and those of each large one
-    lots = F.greatest(F.ceil(F.col("m") / GROUP), F.lit(1)).cast("int")
-    common = open_.where("m > 0").select("band", F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"), F.lit(None).cast("binary").alias("own"))
-    large = parts.where(~small).join(open_.select("band"), "band").select("band", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / GROUP).cast("int") - 1)).alias("lot"), F.col("component").alias("own"))
-    blocks = stored(common.unionByName(large).withColumn("block", F.xxhash64("own", "lot")), "blocks")
-    a, b = blocks.select("band", "block", "own"), blocks.select("band", F.col("block").alias("other"), F.col("own").alias("other_own"))
-    two = a.join(b, "band").where("block <= other AND NOT coalesce(own = other_own, false)")
-    two = two.select("band", F.array_distinct(F.array("block", "other")).alias("in"), F.xxhash64("block", "other").alias("pair"))
-    seats = stored(two.select("band", F.explode("in").alias("block"), "pair"), "seats")
-    dealt = rest.join(parts, ["band", "component"]).join(open_.select("band", lots.alias("lots")), "band")
-    own_lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / GROUP).cast("int")).cast("int")
-    lot, own = F.when(small, F.pmod(F.xxhash64("component"), "lots").cast("int")).otherwise(own_lot), F.when(~small, F.col("component"))
-    dealt = dealt.select("band", "node", "component", F.xxhash64(own, lot).alias("block"))
-    rows = dealt.join(seats, ["band", "block"]).select("band", "pair", "node", "component").join(payload, "node")
-    rows = rows.repartition("band", "pair").sortWithinPartitions("band", "pair", "component")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, nodes = None, []
-        names = ["leader", "node", "similarity"]
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for band, pair, node, component, data in zip(batch["band"], batch["pair"], batch["node"], batch["component"], batch["hashes"], strict=True):
-                if group != (band, pair):
-                    found += links_within(nodes, similarity) if nodes else []
-                    group, nodes = (band, pair), []
+            for node, c, data in zip(batch["node"], batch["c"], batch["hashes"], strict=True):
                 hashes, tf = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
-                nodes.append((bytes(node), bytes(component), hashes, weights(hashes, tf, idf.value)))
-            yield pd.DataFrame(found, columns=names)
-        yield pd.DataFrame(list(links_within(nodes, similarity)) if nodes else [], columns=names)
-
-    return rows.select("band", "pair", "node", "component", "hashes").mapInPandas(compare, "leader binary, node binary, similarity double").distinct()
+                w = weights(hashes, tf, idf.value)
+                yield pd.DataFrame({"node": node, "c": c, "shingle": hashes.view(np.int32), "w": w, "total": float(w.sum(dtype=np.float64))})
+
+    # a component is told by a 64-bit hash: only whether all holders of one shingle are of one component matters
+    held = open_nodes.select("node", F.xxhash64("component").alias("c")).join(payload, "node")
+    held = held.mapInPandas(_gathered(spread), "node binary, c long, shingle int, w float, total double")
+    held = stored(held, "open-shingles")
+    live = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("shingle", "n")
+    own = Window.partitionBy("node")  # the shingles of one text
+    rest = own.orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.join(live, "shingle").withColumns({"rest": F.sum(F.col("w").cast("double")).over(rest), "shared": F.sum(F.col("w").cast("double")).over(own)})
+    prefix = ranked.where(F.col("rest") >= (similarity - SLACK) * F.col("total")).select("shingle", "node", "c", "shared", "total")
+    prefix = stored(prefix, "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    both = F.col("a.total") + F.col("b.total")
+    can = F.least("a.shared", "b.shared") >= (similarity / (1 + similarity) - SLACK) * both
+    sized = F.least("a.total", "b.total") >= (similarity - SLACK) * F.greatest("a.total", "b.total")
+    pairs = a.join(b, F.expr("a.shingle = b.shingle AND a.node < b.node AND a.c <> b.c") & can & sized)
+    pairs = stored(pairs.select(F.col("a.node").alias("leader"), F.col("b.node").alias("node")).distinct(), "open-pairs")
+    discard(held, prefix)
+    return pairs
+
+
+def _gathered(run, rows: int = 200_000):
+    """``run`` with its frames put together to about ``rows`` rows."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in run(batches):
+            held.append(frame)
+            n += len(frame)
+            if n >= rows:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    return gather
 
 
 def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key and node, the MD5 of the text, of every row; the verified links leader, node, similarity)."""
+    """(key and node, the MD5 of the text, of every row; node and component of all nodes with links)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias(key), whole_text(text).alias("t"))
-    df, n = document_frequencies(rows)
-    idf = spark.sparkContext.broadcast(idf_table(df, n))
+    idf = spark.sparkContext.broadcast(document_frequencies(rows))
     named = rows.withColumn("node", F.unhex(F.md5(F.encode("t", "UTF-8"))))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, seen = TaskContext.get().partitionId(), set()
         for batch in batches:
             texts = list(batch["t"])
             for some in portions(texts):
                 hashes, tf, counts = multisets(texts[some])
                 keys = band_keys(signatures(hashes, weights(hashes, tf, idf.value), counts, BANDS * ROWS))
-                part = batch.iloc[some]
-                yield pd.DataFrame({key: part[key].astype("Int64"), "node": part["node"], "bands": [k if c else k[:0] for k, c in zip(keys, counts, strict=True)]})
-
-    signed = stored(named.mapInPandas(sign, f"{key} long, node binary, bands array<long>"), "signatures")
-    members = signed.select("node", F.explode("bands").alias("band")).distinct()
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    buckets = stored(members.join(shared.select("band", "leader"), "band"), "buckets")
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = list(batch["t"])
-            for some in portions(texts):
-                hashes, tf, counts = multisets(texts[some])
-                parts = np.split(np.repeat(hashes, tf).astype("<u4"), np.cumsum(np.add.reduceat(np.append(tf, 0), np.minimum(np.cumsum(counts) - counts, len(tf))) * (counts > 0))[:-1])
-                yield pd.DataFrame({"node": batch["node"].iloc[some], "hashes": [x.tobytes() for x in parts]})
-
-    needed = buckets.select("node").distinct()
-    texts = named.select("node", "t").join(needed, "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
-    payload = stored(texts.mapInPandas(hashed, "node binary, hashes binary"), "shingles")
-
-    tried = stored(buckets.where("node <> leader").select("leader", "node").distinct(), "pairs")
-    found = stored(similar_pairs(tried, payload, idf, similarity), "links")
-    left = buckets.where("node <> leader").join(found, ["leader", "node"], "left_anti").select("band", "node")
-    led = buckets.select("band", F.col("leader").alias("node")).distinct()
-    leaders = 2
-    while leaders <= LEADERS:
-        left = stored(left, "left")
-        if left.isEmpty():
-            break
-        seat = F.pmod(F.xxhash64(F.lit(leaders), "node"), F.lit(leaders))
-        chosen = stored(left.groupBy("band", seat.alias("seat")).agg(F.min("node").alias("leader")).select("band", "leader"), "leaders")
-        pairs = buckets.select("band", "node").join(chosen, "band").where("node <> leader").select("leader", "node").distinct()
-        pairs = stored(pairs.join(tried, ["leader", "node"], "left_anti"), "pairs")
-        found = found.unionByName(stored(similar_pairs(pairs, payload, idf, similarity), "links"))
-        tried = tried.unionByName(pairs)
-        led = led.unionByName(chosen.select("band", F.col("leader").alias("node")))
-        rest = left.join(chosen.select("band", F.col("leader").alias("node")), ["band", "node"], "left_anti")
-        near = rest.join(chosen, "band").join(found, ["leader", "node"], "left_semi").select("band", "node").distinct()
-        left = rest.join(near, ["band", "node"], "left_anti")
-        leaders *= 2
-    return signed.select(key, "node"), found.unionByName(stored(links_between(buckets, led, found, payload, idf, similarity), "links"))
+                part, held, at = batch.iloc[some], [], 0
+                for node, n in zip(part["node"], counts.tolist(), strict=True):
+                    new = n > 0 and node not in seen
+                    held.append(np.repeat(hashes[at : at + n], tf[at : at + n]).astype("<u4").tobytes() if new else None)
+                    seen.add(node)
+                    at += n
+                yield pd.DataFrame({key: part[key].astype("Int64"), "node": part["node"], "bands": [k if c else k[:0] for k, c in zip(keys, counts, strict=True)], "task": task, "hashes": held})
+
+    signed = stored(named.mapInPandas(sign, f"{key} long, node binary, bands array<long>, task int, hashes binary"), "signatures")
+    members = signed.where("hashes is not null").select("node", F.explode("bands").alias("band")).distinct()
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = stored(members.join(shared, "band"), "buckets")
+    central = buckets.groupBy("node").agg(F.sum("n").alias("centre"))
+    leaders = buckets.join(central, "node").groupBy("band").agg(F.max(F.struct("centre", "node"))["node"].alias("leader"))
+    pairs = stored(buckets.join(leaders, "band").where("node <> leader").select("leader", "node").distinct(), "pairs")
+
+    holders = signed.where("hashes is not null").select("node", "task").join(central, "node", "left_semi").groupBy("node").agg(F.min("task").alias("task"))
+    payload = stored(signed.where("hashes is not null").select("node", "task", "hashes").join(holders, ["node", "task"]).select("node", "hashes"), "shingles")
+    links = stored(similar_pairs(pairs, payload, idf, similarity).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+
+    of = components(links)
+    told = buckets.select("band", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    code = F.xxhash64("component")
+    open_ = told.groupBy("band").agg(F.min(code).alias("low"), F.max(code).alias("high")).where("low <> high")
+    open_nodes = stored(told.join(open_, "band", "left_semi").select("node", "component").distinct(), "open-nodes")
+    more = open_pairs(open_nodes, payload, idf, similarity)
+    more_links = stored(similar_pairs(more, payload, idf, similarity).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+    if not more_links.isEmpty():
+        of = components(links.unionByName(more_links))
+    discard(buckets, pairs, payload, open_nodes, more)
+    return signed.select(key, "node"), of
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, node, class_id (the least key of the class), class_size (rows of the class) of every row."""
-    rows, links = near_links(docs, similarity, key, text)
-    of = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    rows, of = near_links(docs, similarity, key, text)
     named = rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(classes, "component").select(key, "node", "class_id", "class_size")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, one row (of the least key, nulls last) for each class."""
-    rows, links = near_links(docs, similarity, key, text)
-    of = components(links.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    """The documents, all columns, one row (of the least key, nulls last) for each class.
+
+    Of rows with equal key and text, that whose JSON form is least stays.
+    """
+    rows, of = near_links(docs, similarity, key, text)
     named = rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("node")))
     keep = stored(named.groupBy("component").agg(first.alias("r")).select(F.coalesce(F.col("r.k").cast("string"), F.lit("null")).alias("k"), "r.node"), "kept")
     marked = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long").cast("string"), F.lit("null")).alias("k"), F.unhex(F.md5(F.encode(whole_text(text), "UTF-8"))).alias("node"))
-    return marked.join(keep, ["k", "node"], "left_semi").dropDuplicates(["k", "node"]).select("row.*")
+    return marked.join(keep, ["k", "node"], "left_semi").groupBy("k", "node").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,25 +9,37 @@ kind       what is permuted                               what stays
 =========  =============================================  ======================
 card       all digits but the last, which is the Luhn     length, separators
            digit of the others
+iban       the account's digits among themselves, its     country, layout
+           letters too; the check digits follow
 phone      area, exchange and line of the North American  country code, layout
            numbering plan (8 x 10 x 10 choices, twice)
+abroad     the digits after + and two more of a number    first two digits, layout
+           of 8 to 15
 ssn        area, group and serial, without the reserved   layout
 ip         the four octets as two halves
-date       the day within the 400 years from 1800-01-01   layout
+ip6        the 32 hexadecimal digits of eight groups
+date       the day within its 400 years (1800 to 2199     layout
+           and so on; the first and last 200 years of
+           years 1 to 9999 together)
 email      the letters among themselves, the digits too   domain, places
 access     the 16 characters after AKIA                   AKIA
 =========  =============================================  ======================
 
 The permutation is an alternating Feistel network over Z_a x Z_b: eight rounds
 ``a += F(b)``, ``b += F(a)`` with F from SHA-256 of key, kind, round and value.
-So equal values get equal pseudonyms in every document, different values get
-different ones, and lengths do not change but for addresses' octets.  A text is
-rebuilt from what lies between the matches; rows are independent, nothing is
-shuffled, and texts without a digit, @ or AKIA skip all of it.
+Strings are permuted in blocks of 26 signs, the first under what follows it and
+each other under the new ones before it, so all signs of a string change together
+and it can be turned back.  Equal values get equal pseudonyms in every document,
+different values get different ones, and lengths do not change but for addresses'
+octets.  A text is rebuilt from what lies between the matches; rows are
+independent, nothing is shuffled, and texts without a digit, @ or AKIA skip all of it.
 
 Defined cases: a null text stays null with nothing found; an empty text stays
-empty; values that fail validation stay; repeated rows get the same text; extra
-columns pass through ``pseudonymise`` unchanged.
+empty; values that fail validation stay, and so do IPv6 addresses in a shortened
+form; repeated rows, also without a key, get the same text; extra columns of any
+name pass through ``pseudonymise`` unchanged; a column named like ``found`` is an
+error.  The key is the caller's secret; the registered query takes it from the
+session (``spark.tessera.pseudonymKey``) and has one for tests.
 """
 
 from __future__ import annotations
@@ -45,15 +57,22 @@ PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}
 SSN = r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_]|-\d)"
 DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\p{L}\p{N}_]|[./-]\d)"
 IP = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}_]|\.\d)"
+IP6 = r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}_:])"
+ABROAD = r"\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,12}+)){1,6}+(?![\p{L}\p{N}_])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])"
 ACCESS = r"AKIA[A-Z2-7]{16}(?![\p{L}\p{N}_])"
 #: Groups of digits of any number, up to a value of another kind; cards are looked for from group to group.
 GROUP = r"(?:-| (?!(?:DATE|SSN|PHONE|IP)))".replace("DATE", DATE).replace("SSN", SSN).replace("PHONE", PHONE).replace("IP", IP)
 RUN = rf"(?=\d(?:{GROUP}?\d){{12}})\d{{3,}}+(?![\p{{L}}_])(?:{GROUP}\d{{3,}}+(?![\p{{L}}_]))*+(?:{GROUP}\d{{1,2}}+(?![\p{{L}}\p{{N}}_]))?+"
 #: A value starts where no word goes on; the order decides between kinds.
-CANDIDATE = rf"(?<![\p{{L}}\p{{N}}_@%+-])(?:{EMAIL}|{ACCESS}|{DATE}|{SSN}|{PHONE}|{IP}|{RUN}|{CARD})"
+CANDIDATE = rf"(?<![\p{{L}}\p{{N}}_@%+-])(?:{EMAIL}|{ACCESS}|{IBAN}|{IP6}|{DATE}|{SSN}|{PHONE}|{ABROAD}|{IP}|{RUN}|{CARD})"
 
 #: Days of the 400-year cycle of the calendar, 189 x 773, and its first day here.
 CYCLE, CYCLE_A, CYCLE_B, FIRST_DAY = 146_097, 189, 773, "1800-01-01"
+#: Days of the years 1 to 199, and with those of 9800 to 9999 together, 3 x 48577.
+EARLY, EDGE_A, EDGE_B = 72_683, 3, 48_577
+#: Signs of a string that are permuted at once: two halves of base 26 fit 64 bits.
+BLOCK = 26
 
 
 def draw(key: str, kind: str, i: Column, side: str, value: Column) -> Column:
@@ -84,25 +103,34 @@ def let(value: Column, body) -> Column:
 
 
 def power(base: int, n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(base**i).cast("long") for i in range(14 if base == 26 else 18)]), n + 1)
+    return F.element_at(F.array(*[F.lit(base**i).cast("long") for i in range(BLOCK // 2 + 1)]), n + 1)
 
 
 def digits_of(n: Column, width: Column) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
+def permuted_block(key: str, kind: str, s: Column, base: int, tweak: Column) -> Column:
+    """1 to BLOCK signs of the first ``base`` of 0-9a-z, permuted among the strings of that length."""
+    n = F.length(s)
+    u = (n / 2).cast("int")
+    number = lambda x: F.conv(x, base, 10).cast("long")
+    spell = lambda x, w: F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), w, "0")
+    one = feistel(key, kind, (number(s) / 2).cast("long"), number(s) % 2, F.lit(base // 2), F.lit(2), tweak)
+    more = feistel(key, kind, number(F.substr(s, F.lit(1), u)), number(F.substr(s, u + 1, n - u)), power(base, u), power(base, n - u), tweak)
+    return F.when(n == 1, let(one, lambda x: spell(x["a"] * 2 + x["b"], F.lit(1)))).otherwise(let(more, lambda x: F.concat(spell(x["a"], u), spell(x["b"], n - u))))
+
+
 def permuted_string(key: str, kind: str, s: Column, base: int) -> Column:
-    """A string over the first ``base`` signs of 0-9a-z, permuted among those of its length.
+    """A string over the first ``base`` signs (an even number) of 0-9a-z, permuted among those of its length."""
+    n = F.length(s)
 
-    Up to 26 signs; of a longer one the rest is left as it is and counts as the tweak.
-    """
-    n = F.least(F.length(s), F.lit(26))
-    u = (n / 2).cast("int")
-    number = lambda x: F.coalesce(F.conv(F.when(x == "", "0").otherwise(x), base, 10).cast("long"), F.lit(0))
-    spell = lambda x, w: F.when(w == 0, "").otherwise(F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), w, "0"))
-    rest = F.substr(s, n + 1, F.length(s))
-    mixed = feistel(key, kind, number(F.substr(s, F.lit(1), u)), number(F.substr(s, u + 1, n - u)), power(base, u), power(base, n - u), F.concat_ws("/", n.cast("string"), rest))
-    return F.concat(let(mixed, lambda x: F.concat(spell(x["a"], u), spell(x["b"], n - u))), rest)
+    def step(out: Column, i: Column) -> Column:
+        rest = F.when(i == 0, F.substr(s, F.lit(BLOCK + 1))).otherwise("")
+        part = F.substr(s, i * BLOCK + 1, F.lit(BLOCK))
+        return F.concat(out, permuted_block(key, kind, part, base, F.concat_ws("/", n.cast("string"), out, rest)))
+
+    return F.when(n == 0, "").otherwise(F.aggregate(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1), F.lit(""), step))
 
 
 def refill(shape: Column, signs: str, new: Column) -> Column:
@@ -219,15 +247,23 @@ def ip(key: str, m: Column) -> Column:
 
 
 def date(key: str, m: Column) -> Column:
+    first, late = F.lit(FIRST_DAY).cast("date"), F.lit("9800-01-01").cast("date")
+
     def change(d: Column) -> Column:
-        day = F.datediff(d, F.lit(FIRST_DAY).cast("date")).cast("long")
-        new = feistel(key, "date", (day / CYCLE_B).cast("long"), day % CYCLE_B, F.lit(CYCLE_A), F.lit(CYCLE_B))
-        moved = let(new, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["a"] * CYCLE_B + x["b"]).cast("int")))
-        spelled = F.when(m.contains("/"), F.date_format(moved, "MM/dd/yyyy")).when(m.contains("."), F.date_format(moved, "dd.MM.yyyy")).otherwise(F.date_format(moved, "yyyy-MM-dd"))
-        return F.when(day.between(0, CYCLE - 1), spelled)
+        day = F.datediff(d, first).cast("long")
+        cycle = F.floor(day / CYCLE)
+        within = day - cycle * CYCLE
+        usual = feistel(key, "date", (within / CYCLE_B).cast("long"), within % CYCLE_B, F.lit(CYCLE_A), F.lit(CYCLE_B), cycle)
+        moved = let(usual, lambda x: F.date_add(first, (cycle * CYCLE + x["a"] * CYCLE_B + x["b"]).cast("int")))
+        start = F.lit("0001-01-01").cast("date")
+        at = F.when(F.year(d) < 200, F.datediff(d, start)).otherwise(F.datediff(d, late) + EARLY).cast("long")
+        edge = feistel(key, "date", (at / EDGE_B).cast("long"), at % EDGE_B, F.lit(EDGE_A), F.lit(EDGE_B), F.lit("edge"))
+        at_edge = let(edge, lambda x: let(x["a"] * EDGE_B + x["b"], lambda i: F.when(i < EARLY, F.date_add(start, i.cast("int"))).otherwise(F.date_add(late, (i - EARLY).cast("int")))))
+        new = F.when((F.year(d) < 200) | (F.year(d) >= 9800), at_edge).otherwise(moved)
+        return let(new, lambda x: F.when(m.contains("/"), F.date_format(x, "MM/dd/yyyy")).when(m.contains("."), F.date_format(x, "dd.MM.yyyy")).otherwise(F.date_format(x, "yyyy-MM-dd")))
 
     read = F.when(m.contains("/"), F.try_to_date(m, "MM/dd/yyyy")).when(m.contains("."), F.try_to_date(m, "dd.MM.yyyy")).otherwise(F.try_to_date(m, "yyyy-MM-dd"))
-    return let(read, change)
+    return let(read, lambda d: F.when(d.isNotNull(), change(d)))
 
 
 A_TO_Z, IN_BASE_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
@@ -243,6 +279,43 @@ def email(key: str, m: Column) -> Column:
     return let(F.lower(F.substring_index(m, "@", 1)), change)
 
 
+def remainder_97(s: Column) -> Column:
+    """Modulo 97 of an account as a number: A counts as 10, B as 11, ..."""
+
+    def add(x: Column, c: Column) -> Column:
+        letter = F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c)
+        return F.when(letter > 0, (x * 100 + letter + 9) % 97).otherwise((x * 10 + F.when(letter == 0, c).cast("int")) % 97)
+
+    return F.aggregate(F.split(s, "", -1), F.lit(0), add)
+
+
+def iban(key: str, m: Column) -> Column:
+    def change(s: Column) -> Column:
+        head, account = F.left(s, F.lit(2)), F.substr(s, F.lit(5))
+        digits = permuted_string(key, "iban digits", only_digits(account), 10)
+        letters = F.upper(F.translate(permuted_string(key, "iban letters", F.translate(F.lower(F.regexp_replace(account, "[0-9]", "")), A_TO_Z, IN_BASE_26), 26), IN_BASE_26, A_TO_Z))
+        moved = refill(refill(account, "A-Z", letters), "0-9", digits)
+        full = let(moved, lambda x: F.concat(head, digits_of(98 - remainder_97(F.concat(x, head, F.lit("00"))), F.lit(2)), x))
+        valid = (remainder_97(F.concat(account, head, F.substr(s, F.lit(3), F.lit(2)))) == 1) & F.length(s).between(15, 34)
+        return F.when(valid, refill(m, "A-Z0-9", full))
+
+    return let(F.regexp_replace(m, " ", ""), change)
+
+
+def abroad(key: str, m: Column) -> Column:
+    def change(d: Column) -> Column:
+        new = F.concat(F.left(d, F.lit(2)), permuted_string(key, "abroad", F.substr(d, F.lit(3)), 10))
+        return F.when(F.length(d).between(8, 15), refill(m, "0-9", new))
+
+    return let(only_digits(m), change)
+
+
+def ip6(key: str, m: Column) -> Column:
+    full = F.array_join(F.transform(F.split(F.lower(m), ":"), lambda x: F.lpad(x, 4, "0")), "")
+    new = permuted_string(key, "ip6", full, 16)
+    return let(new, lambda x: F.concat_ws(":", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(x, i * 4 + 1, F.lit(4)))))
+
+
 def access(key: str, m: Column) -> Column:
     raw = F.translate(F.substr(m, F.lit(5)), IN_ACCESS, IN_BASE_32)
 
@@ -256,12 +329,12 @@ def access(key: str, m: Column) -> Column:
     return let(raw, change)
 
 
-KINDS = {"email": (EMAIL, email), "access": (ACCESS, access), "date": (DATE, date), "ssn": (SSN, ssn), "phone": (PHONE, phone), "ip": (IP, ip), "card": (CARD, card)}
+KINDS = {"email": (EMAIL, email), "access": (ACCESS, access), "iban": (IBAN, iban), "ip6": (IP6, ip6), "date": (DATE, date), "ssn": (SSN, ssn), "phone": (PHONE, phone), "abroad": (ABROAD, abroad), "ip": (IP, ip), "card": (CARD, card)}
 
 
 def kind_of(m: Column) -> Column:
     out = F.when(m.contains("@"), "email").when(m.startswith("AKIA"), "access")
-    for name in ("date", "ssn", "phone", "ip"):
+    for name in ("iban", "ip6", "date", "ssn", "phone", "abroad", "ip"):
         out = out.when(m.rlike(f"^(?:{KINDS[name][0]})$"), name)
     return out.otherwise("card")
 
@@ -274,11 +347,22 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pii") -> DataFrame:
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = "pii") -> DataFrame:
     """The documents with pseudonyms in ``text`` and, in ``found``, what was replaced: array of (kind, start, new).
 
-    ``start`` counts characters from 1.
+    ``start`` counts characters from 1.  Without ``found`` the columns are those of ``docs``.
     """
+    if found is not None and unused(docs, found) != found:
+        raise ValueError(f"a column {found} is there already")
+    held = unused(docs, "__pieces")
     t = F.col(text)
     some = t.rlike(r"[@0-9]|AKIA") & t.rlike(CANDIDATE)
     matches = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
@@ -287,26 +371,31 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
     gap = lambda x: F.array(F.struct(F.lit(None).cast("string").alias("kind"), x.alias("old"), F.lit(None).cast("string").alias("new")).cast(PIECE))
     between = F.split(t, CANDIDATE, -1)
     pieces = let(between, lambda x: F.concat(gap(F.get(x, F.lit(0))), F.flatten(F.zip_with(changed, F.slice(x, F.lit(2), F.size(x)), lambda c, rest: F.concat(c, gap(rest))))))
-    out = docs.withColumn("__pieces", F.when(some, pieces))
+    out = docs.withColumn(held, F.when(some, pieces))
     start = F.struct(F.array().cast("array<struct<kind:string,start:int,new:string>>").alias("all"), F.lit(1).alias("at"))
 
     def place(x: Column, c: Column) -> Column:
         one = F.array(F.struct(c["kind"].alias("kind"), x["at"].alias("start"), c["new"].alias("new")))
         return F.struct(F.when(c["new"].isNotNull(), F.concat(x["all"], one)).otherwise(x["all"]).alias("all"), (x["at"] + F.length(c["old"])).alias("at"))
 
-    where = F.aggregate("__pieces", start, place, lambda x: x["all"])
+    where = F.aggregate(held, start, place, lambda x: x["all"])
     none = F.array().cast("array<struct<kind:string,start:int,new:string>>")
-    return out.withColumns({
-        text: F.when(F.col("__pieces").isNotNull(), F.array_join(F.transform("__pieces", lambda c: F.coalesce(c["new"], c["old"])), "")).otherwise(t),
-        found: F.when(F.col("__pieces").isNotNull(), where).otherwise(none),
-    }).drop("__pieces")
+    columns = {text: F.when(F.col(held).isNotNull(), F.array_join(F.transform(held, lambda c: F.coalesce(c["new"], c["old"])), "")).otherwise(t)}
+    if found is not None:
+        columns[found] = F.when(F.col(held).isNotNull(), where).otherwise(none)
+    return out.withColumns(columns).drop(held)
 
 
 def _only(kind: str):
     return lambda x: F.when(x["kind"] == kind, x["start"])
 
 
-def op9_pii(spark: SparkSession, sf_dir: str, key: str = "pseudonym key of this corpus") -> DataFrame:
-    found = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key)
+def session_key(spark: SparkSession) -> str:
+    """The secret of this session; without one, a key for tests."""
+    return spark.conf.get("spark.tessera.pseudonymKey", "a key for tests")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark))
     kinds = {f"n_{k}": F.size(F.array_compact(F.transform("pii", _only(k)))).cast("long") for k in KINDS}
     return found.select("doc_id", F.size("pii").cast("long").alias("n_found"), *[c.alias(n) for n, c in kinds.items()], "text", "pii")

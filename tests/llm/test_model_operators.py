@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, pii, shingles, toxicity
 from tests.conftest import SF, SF_LARGER
-from tests.llm.conftest import frame, prose, texts
+from tests.llm.conftest import PASSAGE, frame, prose, texts
 
 
 def test_toxicity_held_out(spark):
@@ -94,6 +94,113 @@ def test_cards_beside_digits_and_keys_of_letters(spark):
     assert got[0]["pii"][0]["new"] == got[2]["pii"][0]["new"] == got[3]["pii"][1]["new"] and got[2]["text"].endswith(" 12/27")
 
 
+class Plain:
+    """The Feistel network and the strings' blocks in plain Python, with their inverse."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def draw(self, kind, i, side, mark, value):
+        import hashlib
+
+        return int(hashlib.sha256(f"{self.key}|{kind}|{i}|{side}|{mark},{value}".encode()).hexdigest()[:15], 16)
+
+    def pair(self, kind, a, b, m, n, mark="", back=False):
+        sign = -1 if back else 1
+        for i in range(8, 0, -1) if back else range(1, 9):
+            if i % 2:
+                a = (a + sign * (self.draw(kind, i, "b", mark, b) % m)) % m
+            else:
+                b = (b + sign * (self.draw(kind, i, "a", mark, a) % n)) % n
+        return a, b
+
+    def block(self, kind, s, base, mark, back):
+        if len(s) == 1:
+            a, b = self.pair(kind, s[0] // 2, s[0] % 2, base // 2, 2, mark, back)
+            return [2 * a + b]
+        u = len(s) // 2
+        number = lambda x: sum(d * base**i for i, d in enumerate(reversed(x)))
+        spell = lambda x, w: [x // base**i % base for i in reversed(range(w))]
+        a, b = self.pair(kind, number(s[:u]), number(s[u:]), base**u, base ** (len(s) - u), mark, back)
+        return spell(a, u) + spell(b, len(s) - u)
+
+    def string(self, kind, s, signs, back=False):
+        said = lambda x: "".join("0123456789abcdefghijklmnopqrstuvwxyz"[i] for i in x)
+        digits, n = [signs.index(c) for c in s], len(s)
+        parts = [digits[i : i + 26] for i in range(0, n, 26)]
+        if not back:
+            out = []
+            for i, part in enumerate(parts):
+                out += self.block(kind, part, len(signs), f"{n}/{said(out)}/{said(digits[26:]) if i == 0 else ''}", False)
+        else:
+            rest = []
+            for i, part in list(enumerate(parts))[1:]:
+                rest += self.block(kind, part, len(signs), f"{n}/{said(digits[: 26 * i])}/", True)
+            out = (self.block(kind, parts[0], len(signs), f"{n}//{said(rest)}", True) if parts else []) + rest
+        return "".join(signs[i] for i in out)
+
+
+def test_pseudonyms_of_plain_python(spark):
+    """Strings of one to 64 letters and cards equal a plain Feistel network, whose inverse gives the values back."""
+    import datetime
+
+    plain, letters = Plain("key"), "abcdefghijklmnopqrstuvwxyz"
+    r = random.Random(4)
+    names = [*letters, *("".join(r.choices(letters, k=n)) for n in range(2, 65)), "a" * 26 + "secretsurname", "b" * 26 + "secretsurname"]
+    got = [x["text"] for x in pii.pseudonymise(frame(spark, [(i, f"{x}@example.com") for i, x in enumerate(names)]), "key").orderBy("doc_id").collect()]
+    for name, text in zip(names, got, strict=True):
+        local = text.split("@")[0]
+        assert local == plain.string("letters", name, letters) and plain.string("letters", local, letters, back=True) == name
+    assert len(set(got)) == len(names) and not any("secretsurname" in x for x in got)
+    assert len({(ord(x[0]) - ord(c)) % 26 for x, c in zip(got, letters, strict=False)}) > 3  # no shift of the alphabet
+    cards = ["4111111111111111", "5500000000000004", "6011000990139424", "30569309025904"]
+    made = [x["text"] for x in pii.pseudonymise(frame(spark, list(enumerate(cards))), "key").orderBy("doc_id").collect()]
+    assert [x[:-1] for x in made] == [plain.string("card", c[:-1], "0123456789") for c in cards]
+    assert [plain.string("card", x[:-1], "0123456789", back=True) for x in made] == [c[:-1] for c in cards]
+    first, days = datetime.date(1800, 1, 1), ["1800-01-01", "1999-12-31", "2024-02-29", "2199-12-31", "2200-01-01", "0200-01-01", "9799-12-31", "1492-10-12", "0001-01-01", "0199-12-31", "9800-01-01", "9999-12-31"]
+    moved = [x["text"] for x in pii.pseudonymise(frame(spark, list(enumerate(days))), "key").orderBy("doc_id").collect()]
+    for old, new in zip(days, moved, strict=True):
+        year, day = int(old[:4]), (datetime.date.fromisoformat(old) - first).days
+        if 200 <= year < 9800:
+            cycle, within = divmod(day, 146_097)
+            a, b = plain.pair("date", *divmod(within, 773), 189, 773, cycle)
+            assert datetime.date.fromisoformat(new) == first + datetime.timedelta(cycle * 146_097 + 773 * a + b)
+        else:
+            assert int(new[:4]) < 200 or int(new[:4]) >= 9800
+        assert old != new
+
+
+def test_pseudonyms_of_other_formats(spark):
+    def check(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    rows = ["IBAN DE89 3704 0044 0532 0130 00 please", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 01", "call +49 30 901820 or +44 (0)20 7946 0958", "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up"]
+    got = pii.pseudonymise(frame(spark, list(enumerate(rows))), "key").orderBy("doc_id").collect()
+    assert [[p["kind"] for p in x["pii"]] for x in got] == [["iban"], ["iban"], [], ["abroad", "abroad"], ["ip6"]]
+    new = [[p["new"] for p in x["pii"]] for x in got]
+    assert check(new[0][0]) == check(new[1][0]) == 1 and new[0][0][:2] == "DE" and new[0][0] != rows[0][5:32]
+    assert new[3][0].startswith("+49 ") and len(new[3][0]) == len("+49 30 901820") and "901820" not in got[3]["text"]
+    assert len(new[4][0]) == 39 and new[4][0] not in rows[4] and got[2]["text"] == rows[2]
+
+
+def test_pseudonyms_cases(spark, hostile):
+    """Long texts, repeated rows, null keys, and columns of the names used inside."""
+    rows = [*texts(), (None, "mail jane.doe@example.com"), (None, "mail jane.doe@example.com"), (99, prose(8, 30_000) + " jane.doe@example.com")]
+    docs = frame(spark, rows).withColumn("__pieces", F.lit(1)).withColumn("__pii", F.lit("own"))
+    out = pii.pseudonymise(docs, "key", found=None)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) == len(rows) and {(x["__pieces"], x["__pii"]) for x in got} == {(1, "own")}
+    same = {x["text"] for x in got if x["doc_id"] is None and (x["text"] or "").startswith("mail")}
+    assert len(same) == 1 and next(x["text"] for x in got if x["doc_id"] == 99).endswith(same.pop().split(" ")[1])
+    with pytest.raises(ValueError, match="__pii"):
+        pii.pseudonymise(docs, "key", found="__pii")
+    table = pii.op9_pii(spark, SF).collect()
+    plain = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(table) == len(plain) and all((r["n_found"] > 0) == (r["text"] != plain[r["doc_id"]]) for r in table)
+
+
 def test_pseudonyms_are_a_permutation(spark):
     dates = spark.range(3000).selectExpr("id AS doc_id", "cast(date_add(date'1990-01-01', cast(id AS int)) AS string) AS text")
     out = pii.pseudonymise(dates, "key")
@@ -145,7 +252,7 @@ def test_near_classes(spark, hostile, nothing):
             rows.append((1000 + 20 * group + copy, " ".join(changed)))
     docs = frame(spark, rows)
     named = docs.select(F.coalesce("text", F.lit("")).alias("t"))
-    idf = near_dedup.idf_table(*near_dedup.document_frequencies(named))
+    idf = near_dedup.document_frequencies(named)
     got = {}
     for x in near_dedup.near_classes(docs).collect():
         got.setdefault(x["class_id"], []).append(x["doc_id"])
@@ -166,7 +273,7 @@ def test_near_classes_joined_by_followers(spark, monkeypatch):
         for step in range(8):  # neighbours are similar, others are not
             rows.append((100 * group + step, " ".join(words[6 * step : 6 * step + 100])))
     docs = frame(spark, rows)
-    idf = near_dedup.idf_table(*near_dedup.document_frequencies(docs.select(F.col("text").alias("t"))))
+    idf = near_dedup.document_frequencies(docs.select(F.col("text").alias("t")))
     want = brute_classes(rows, idf)
     assert len(want) == 40
     for size in (16, 512):
@@ -177,6 +284,46 @@ def test_near_classes_joined_by_followers(spark, monkeypatch):
         assert {frozenset(Counter(x).items()) for x in got.values()} == want
 
 
+def test_document_frequencies(spark):
+    """Heavy shingles are counted exactly: what is in all texts weighs 1, what is in half of them more, the rest most."""
+    rows = [(i, f"{PASSAGE} {prose(20, 40) if i % 2 else ''} {prose(700 + i, 50)}") for i in range(200)]
+    idf = near_dedup.document_frequencies(frame(spark, rows).select(F.col("text").alias("t")))
+    seen = Counter(h for _, t in rows for h in shingles.multisets([t])[0].tolist())
+    heavy = {h: n for h, n in seen.items() if n >= 4}
+    assert idf.heavy.tolist() == sorted(heavy)
+    want = [1 + 0.5 * min(1, np.log(200 / heavy[h]) / np.log(64)) for h in sorted(heavy)]
+    assert np.allclose(idf.value, want, atol=1e-6) and set(idf.of(np.array([h for h, n in seen.items() if n < 4], np.uint32)).tolist()) == {1.5}
+
+
+def test_near_classes_with_shared_passages_and_large_groups(spark):
+    """Unlike texts that share a long passage, copies edited more and more, and templates, all in common buckets."""
+    r = random.Random(17)
+    shared, rows = prose(61, 150), []
+    for i in range(60):
+        rows.append((i, f"{shared} {prose(2000 + i, 120)}"))
+    for group in range(3):
+        words = (shared + " " + prose(80 + group, 200)).split()
+        for copy in range(40):
+            changed = list(words)
+            for _ in range(copy // 2):
+                changed[r.randrange(len(changed))] = f"edit{r.randrange(99_999)}"
+            rows.append((1000 + 100 * group + copy, " ".join(changed)))
+    docs = frame(spark, rows)
+    idf = near_dedup.document_frequencies(docs.select(F.col("text").alias("t")))
+    got = {}
+    for x in near_dedup.near_classes(docs).collect():
+        got.setdefault(x["class_id"], []).append(x["doc_id"])
+    assert {frozenset(Counter(x).items()) for x in got.values()} == brute_classes(rows, idf)
+
+
+def test_equal_rows_with_other_columns(spark):
+    """Of rows with equal key and text one is kept, whichever way they come."""
+    rows = [(1, prose(5, 40), "b"), (1, prose(5, 40), "a"), (None, prose(5, 40), "c"), (2, "other", "z"), (2, "other", "y")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        assert sorted(x["source"] for x in near_dedup.drop_near_copies(docs).collect()) == ["a", "y"]
+
+
 def test_sampling_probability():
     """Two multisets share a sample with the probability of their weighted Jaccard similarity."""
     rng = np.random.default_rng(3)

@@ -190,6 +190,24 @@ def test_sharding(spark, hostile, nothing):
     assert [round(r["count"] / 5000) for r in many] == [1, 2, 1]
 
 
+def test_sharding_table(spark):
+    """The registered query against the highest of plainly recomputed scores."""
+    import math
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    shards = range(17)
+    drawn = rows.select("doc_id", *[F.xxhash64(F.lit(17), F.concat(F.lit("k"), F.col("doc_id").cast("string")), F.lit(j)).alias(f"h{j}") for j in shards]).collect()
+    best = {}
+    for r in drawn:
+        scores = [-1 / math.log((r[f"h{j}"] % 2**52 + 0.5) / 2**52) for j in shards]
+        best[r["doc_id"]] = tuple(max(range(n), key=lambda j: (scores[j], -j)) for n in (16, 17))
+    got = sharding.op5_sharding(spark, SF).collect()
+    assert {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in got} == best and {r["law"] for r in got} == {"key"}
+    for shard in range(16):
+        own = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert own == list(range(len(own)))
+
+
 def test_media(spark, hostile, nothing):
     got = plain(media.read_media(media.write_media(hostile)), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_error")
     want = []
@@ -202,6 +220,72 @@ def test_media(spark, hostile, nothing):
     assert media.read_media(media.write_media(nothing)).count() == 0
 
 
+def plain_unfilter(lines, width=3):
+    """The row filters as the PNG format says, byte after byte."""
+    out, prior = [], [0] * (len(lines[0]) - 1)
+    for line in lines:
+        kind, row = line[0], []
+        for i, x in enumerate(line[1:]):
+            a, b, c = row[i - width] if i >= width else 0, prior[i], prior[i - width] if i >= width else 0
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            row.append((x + [0, a, b, (a + b) // 2, near][kind]) % 256)
+        out.append(row)
+        prior = row
+    return out
+
+
+def test_png_filters():
+    """All five filters on every row of images of several heights, told apart from a plain reader; chosen filters differ."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    heights = [1, 7, 2, 30]
+    images = [rng.integers(0, 256, (h, 24), dtype=np.uint8) for h in heights]
+    first = media._first_rows(heights)
+    for kinds in (*[np.full(40, k) for k in range(5)], rng.integers(0, 5, 40)):
+        lines = media.filter_rows(np.concatenate(images), first, kinds)
+        assert (lines[:, 0] == kinds).all()
+        assert (media.unfilter_rows(lines, first) == np.concatenate(images)).all()
+        at = 0
+        for image in images:
+            assert plain_unfilter(lines[at : at + len(image)].tolist()) == image.tolist()
+            at += len(image)
+    payloads = [media.pad(t.encode(), 192) for t in (prose(1, 400), "", "x" * 192)]
+    files = media.encode_images(payloads)
+    assert len({k for f in files for k in media.read_lines(f)[:, 0].tolist()}) > 1
+    assert [x.tobytes() for x in media.decode_images(files)] == payloads
+    assert isinstance(media.decode_images([b"no image"])[0], ValueError)
+
+
+def test_cosine_hash_of_plain_transform():
+    import math
+    from statistics import median
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pixels = rng.integers(0, 256, (64, 32, 3), dtype=np.uint8)
+    grey = pixels.astype(float) @ np.array([0.299, 0.587, 0.114])
+    small = grey.reshape(32, 2, 32).mean(axis=1)
+    c = lambda k: math.sqrt((1 if k == 0 else 2) / 32)
+    low = [[c(u) * c(v) * sum(small[y, x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+    flat = [x for row in low for x in row]
+    middle = median(flat[1:])
+    bits = "".join("0" if i == 0 else str(int(x > middle)) for i, x in enumerate(flat))
+    assert media.cosine_hash(pixels) == f"{int(bits, 2):016x}"
+
+
+def test_media_table(spark):
+    rows = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = media.op7_media(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        payload = media.pad(rows[r["doc_id"]], 192)
+        (file,) = media.encode_images([payload])
+        assert (r["payload_sha256"], r["media_sha256"], r["media_error"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(file).hexdigest(), None)
+
+
 def test_media_rejects_damage(spark, hostile):
     images = media.write_media(hostile.where("doc_id in (1, 6)")).collect()
     damaged = [(r["doc_id"], r["n_bytes"], bytes([*r["media"][:-20], r["media"][-20] ^ 1, *r["media"][-19:]])) for r in images]
