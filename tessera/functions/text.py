@@ -59,8 +59,8 @@ def clock(cs: Column) -> Column:
 
 
 def clock_to_ms(c: Column) -> Column:
-    """Milliseconds of [h:]m:s[,.]mmm; 0 where it is no clock."""
-    pattern = r"^(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[,.](\d{1,3}))?$"
+    """Milliseconds of [h:]m:ss[,.]mmm; 0 where it is no clock."""
+    pattern = r"^(?:(\d+):)?(\d{1,2}):(\d{2})(?:[,.](\d{1,3}))?$"
     part = lambda i: F.regexp_extract(F.trim(c), pattern, i)
     number = lambda x: F.when(x == "", 0).otherwise(x.cast("long"))
     milli = F.when(part(4) == "", 0).otherwise(F.rpad(part(4), 3, "0").cast("long"))
@@ -68,11 +68,11 @@ def clock_to_ms(c: Column) -> Column:
 
 
 def clean_markup(c: Column) -> Column:
-    """Without tags and the common entities, white space collapsed."""
-    s = F.regexp_replace(filled(c), "<[^>]*>", " ")
+    """Without tags, byte-order marks and the common entities, white space collapsed."""
+    s = F.regexp_replace(filled(c), "<[^>]+>", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         s = F.replace(s, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(s, r"[ \t\n\r\f]+", " "))
+    return F.trim(F.regexp_replace(F.replace(s, F.lit("\ufeff"), F.lit("")), r"[ \t\n\r\f]+", " "))
 
 
 def url_kind(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+
 def by_sentence():
     return Window.partitionBy("doc_id").orderBy("idx")
 
@@ -39,18 +40,45 @@ def range_windows(rows: DataFrame, low: int, high: int, keep: list[str] | None =
     return left.join(right, ["doc_id", "bin"]).where((F.col("e") > F.col("s")) & span.between(low, high)).withColumn("span_cs", span).drop("bin")
 
 
-def sampled_ends(windows: DataFrame, most: int = 14) -> DataFrame:
-    """At most ``most`` ends of each start: the extremes and evenly spaced ones between."""
-    own = Window.partitionBy("doc_id", "s")
-    ranked = windows.withColumn("r", F.row_number().over(own.orderBy("e")) - 1).withColumn("m", F.count(F.lit(1)).over(own))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * (F.col("m") - 1) / (most - 1) + 0.5))
-    return ranked.where((F.col("m") <= most) | F.array_contains(picks, F.col("r").cast("long"))).drop("r", "m")
-
+def sampled_windows(rows: DataFrame, low: int, high: int, starts: list[str] | None = None, ends: list[str] | None = None, most: int = 14) -> DataFrame:
+    """At most ``most`` of the ends that ``range_windows`` pairs with each start: the extremes and evenly spaced ones between.
 
-def islands(rows: DataFrame, key: str, order: list[str], new_island) -> DataFrame:
-    """Adds ``island``: the running number of rows where ``new_island(previous row's window)`` holds."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("island", F.sum(F.when(new_island(w), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    Ends rise with the index, so the ends of a start are one run of indexes.  Its first and last are
+    found by one sort on time of ends and bounds, and only the sampled indexes are joined: the
+    windows themselves are never made.  ``starts`` and ``ends`` are columns to carry as s_x and e_x.
+    """
+    starts, ends = starts or [], ends or []
+    marks = F.array(*[F.struct(t.alias("t"), F.lit(kind).alias("kind")) for t, kind in ((F.col("start_cs") + low, 0), (F.col("end_cs"), 1), (F.col("start_cs") + high, 2))])
+    marked = rows.select("doc_id", "idx", "start_cs", *starts, F.explode(marks).alias("mark")).select("*", "mark.t", "mark.kind").drop("mark")
+    # at one time a lower bound comes before the end and an upper bound after it: both include it
+    end = F.when(F.col("kind") == 1, F.col("idx"))
+    earlier = Window.partitionBy("doc_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("doc_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumns({"last": F.when(F.col("kind") == 2, F.max(end).over(earlier)), "first": F.when(F.col("kind") == 0, F.min(end).over(later))})
+    runs = marked.groupBy("doc_id", F.col("idx").alias("s")).agg(F.when(F.max("first").isNotNull(), F.greatest(F.max("first"), F.col("s") + 1)).alias("first"), F.max("last").alias("last"), *[F.max(c).alias("start_cs" if c == "start_cs" else f"s_{c}") for c in ["start_cs", *starts]])
+    runs = runs.where("last >= first")
+    m = F.col("last") - F.col("first")
+    spaced = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.col("first") + F.floor(k * m / (most - 1) + 0.5)))
+    picks = runs.withColumn("e", F.explode(F.when(m < most, F.sequence("first", "last")).otherwise(spaced))).drop("first", "last")
+    right = rows.select("doc_id", F.col("idx").alias("e"), "end_cs", *[F.col(c).alias(f"e_{c}") for c in ends])
+    return picks.join(right, ["doc_id", "e"]).withColumn("span_cs", F.col("end_cs") - F.col("start_cs"))
+
+
+def nearest_other(rows: DataFrame, key: str, time: str, tie: str, label: str, asking) -> DataFrame:
+    """For each row where ``asking`` holds: near (its time, tie, label and distance d) among its key's rows where it does not hold.
+
+    Of rows equally far the earlier counts, of rows at one time that of the least ``tie``.  Both
+    sides are running extremes, so the work is a sort by key and time, however many rows a key has.
+    A row with nothing else under its key has no result.
+    """
+    own = Window.partitionBy(key)
+    other = lambda *c: F.when(~asking, F.struct(*c))
+    before = F.max(other(F.col(time).alias("t"), (-F.col(tie)).alias("tie"), F.col(label).alias("label"))).over(own.orderBy(time, tie).rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(other(F.col(time).alias("t"), F.col(tie).alias("tie"), F.col(label).alias("label"))).over(own.orderBy(F.desc(time), F.desc(tie)).rowsBetween(Window.unboundedPreceding, -1))
+    side = lambda c, sign: F.when(c.isNotNull(), F.struct(F.abs(c["t"] - F.col(time)).alias("d"), c["t"].alias("t"), (sign * c["tie"]).alias("tie"), c["label"].alias("label")))
+    found = rows.withColumns({"before": before, "after": after}).where(asking)
+    near = F.array_min(F.array_compact(F.array(side(F.col("before"), -1), side(F.col("after"), 1))))
+    return found.withColumn("near", near).drop("before", "after").where("near IS NOT NULL")
 
 
 def pace(words: str, span: str):

@@ -79,12 +79,12 @@ def anti_no_live_job(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(live, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-@query("""WITH a AS (SELECT doc_id, quality * 100 AS score FROM labels), b AS (SELECT doc_id, 55 + doc_id % 45 AS score FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH a AS (SELECT doc_id, quality * 100 AS score FROM labels), b AS (SELECT doc_id, 55 + doc_id % 45 AS score FROM documents WHERE text <> '')
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.score IS NULL THEN b.score * 10 WHEN b.score IS NULL THEN a.score * 10 ELSE (a.score * 55 + b.score * 45) // 10 END::BIGINT AS score, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'old' ELSE 'both' END AS side FROM a FULL JOIN b USING (doc_id)""".replace("a.doc_id IS NULL", "a.score IS NULL").replace("b.doc_id IS NULL", "b.score IS NULL").replace("coalesce(a.doc_id, b.doc_id) AS doc_id", "doc_id"))
 def full_outer_merge(spark, sf_dir):
-    """Two scored sets by key: blended where both have it, else taken over."""
+    """Two scored sets by key, labels and documents with a text: blended where both have it, else taken over."""
     a = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality").cast("long") * 100).alias("old"))
-    b = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", (55 + F.col("doc_id") % 45).alias("new"))
+    b = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", (55 + F.col("doc_id") % 45).alias("new"))
     score = F.when(F.col("old").isNull(), F.col("new") * 10).when(F.col("new").isNull(), F.col("old") * 10).otherwise(F.floor((F.col("old") * 55 + F.col("new") * 45) / 10))
     side = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "old").otherwise("both")
     return a.join(b, "doc_id", "full_outer").select("doc_id", score.cast("long").alias("score"), side.alias("side"))
@@ -181,11 +181,11 @@ def cleanup_decision(spark, sf_dir):
     return g.where("NOT busy").select("o_custkey", (F.col("done") & (F.col("n") >= 2)).alias("removable"), "n")
 
 
-@query("""WITH p AS (SELECT s_suppkey AS key, 'patched' AS value FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 1000000 + n_nationkey, n_name FROM nation), b AS (SELECT s_suppkey AS key, s_name AS value FROM supplier)
+@query("""WITH p AS (SELECT s_suppkey AS key, 'patched' AS value FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 1000000 + n_nationkey, n_name FROM nation), b AS (SELECT s_suppkey AS key, s_name AS value FROM supplier)
 SELECT coalesce(p.key, b.key) AS key, coalesce(p.value, b.value) AS value FROM b FULL JOIN p ON p.key = b.key""")
 def upsert_by_key(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    patch = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("key"), F.lit("patched").alias("new")).union(table(spark, sf_dir, "nation").select((1_000_000 + F.col("n_nationkey")).cast("long"), "n_name"))
+    patch = s.where("s_acctbal < 0").select(F.col("s_suppkey").alias("key"), F.lit("patched").alias("new")).union(table(spark, sf_dir, "nation").select((1_000_000 + F.col("n_nationkey")).cast("long"), "n_name"))
     base = s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("old"))
     return base.join(patch, "key", "full_outer").select("key", F.coalesce("new", "old").alias("value"))
 

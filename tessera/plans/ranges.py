@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import greedy
-from tessera.operators.timed import by_sentence, pace, prefix_sums, range_windows, sampled_ends, timed_sentences
+from tessera.operators.timed import by_sentence, nearest_other, pace, prefix_sums, range_windows, sampled_windows, timed_sentences
 from tessera.plans.base import query, table
 from tessera.plans.text import LEXICON, TIMED_SQL, quoted
 
@@ -34,7 +34,8 @@ def features(spark, sf_dir):
     s = sentences_of(spark, sf_dir).withColumns({"art": T.hits(F.col("tokens"), LEXICON["articles"]), "term": F.col("sentence").rlike(r"[.!?…।]\s*$").cast("int")})
     cols = ["n", "art", "term"]
     rows = prefix_sums(s.select("doc_id", "idx", "start_cs", "end_cs", *cols), cols)
-    w = sampled_ends(range_windows(rows, LOW, HIGH, [*cols, *[f"p_{c}" for c in cols]]))
+    running = [f"p_{c}" for c in cols]
+    w = sampled_windows(rows, LOW, HIGH, running, [*cols, *running])
     total = lambda c: (F.col(f"e_p_{c}") + F.col(f"e_{c}") - F.col(f"s_p_{c}")).cast("long")
     return w.select("doc_id", "s", "e", "start_cs", "end_cs", "span_cs", total("n").alias("words"), total("art").alias("articles"), total("term").alias("finals"), F.col("e_term").alias("ends_final"))
 
@@ -56,7 +57,7 @@ def range_windows_counts(spark, sf_dir):
 
 @query(f"{SAMPLED_SQL} SELECT doc_id, s, e, span_cs FROM sampled")
 def range_windows_sampled(spark, sf_dir):
-    return sampled_ends(range_windows(sentences_of(spark, sf_dir), LOW, HIGH)).select("doc_id", "s", "e", "span_cs")
+    return sampled_windows(sentences_of(spark, sf_dir), LOW, HIGH).select("doc_id", "s", "e", "span_cs")
 
 
 @query(f"{FEATURES_SQL} SELECT doc_id, s, e, words, articles, finals, ends_final FROM feat")
@@ -74,8 +75,9 @@ BEST_SQL = f"{FEATURES_SQL}, scored AS (SELECT *, {SCORE_SQL} AS score FROM feat
 
 
 def best(spark, sf_dir):
-    r = F.row_number().over(Window.partitionBy("doc_id", "s").orderBy(F.desc("score"), "e"))
-    return scored(spark, sf_dir).withColumn("r", r).where("r = 1").drop("r")
+    top = F.max(F.struct("score", -F.col("e"), "end_cs", "span_cs", "start_cs"))
+    found = scored(spark, sf_dir).groupBy("doc_id", "s").agg(top.alias("r"))
+    return found.select("doc_id", "s", (-F.col("r.col2")).alias("e"), "r.start_cs", "r.end_cs", "r.span_cs", "r.score")
 
 
 @query(f"{BEST_SQL} SELECT doc_id, s, e, score::BIGINT AS score FROM best")
@@ -119,21 +121,17 @@ def sentence_gaps(spark, sf_dir):
     return s.select("doc_id", "idx", F.sum("n").over(by_sentence().rowsBetween(Window.unboundedPreceding, 0)).alias("words_so_far"), (F.lead("start_cs").over(by_sentence()) - F.col("end_cs")).alias("gap_cs"))
 
 
-IOU_SQL = f"{BEST_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s) AS k FROM best QUALIFY k <= 20)"
-
-
-@query(f"""{IOU_SQL} SELECT a.doc_id, a.s AS s1, b.s AS s2, floor((least(a.end_cs, b.end_cs) - greatest(a.start_cs, b.start_cs)) * 10000.0 / (greatest(a.end_cs, b.end_cs) - least(a.start_cs, b.start_cs)) + 0.5)::BIGINT AS iou,
+@query(f"""{BEST_SQL} SELECT a.doc_id, a.s AS s1, b.s AS s2, floor((least(a.end_cs, b.end_cs) - greatest(a.start_cs, b.start_cs)) * 10000.0 / (greatest(a.end_cs, b.end_cs) - least(a.start_cs, b.start_cs)) + 0.5)::BIGINT AS iou,
 floor((least(a.end_cs, b.end_cs) - greatest(a.start_cs, b.start_cs)) * 10000.0 / least(a.span_cs, b.span_cs) + 0.5)::BIGINT AS containment
-FROM top a JOIN top b ON a.doc_id = b.doc_id AND a.s < b.s AND b.start_cs < a.end_cs AND a.start_cs < b.end_cs""")
+FROM best a JOIN best b ON a.doc_id = b.doc_id AND a.s < b.s AND b.start_cs < a.end_cs AND a.start_cs < b.end_cs""")
 def iou_pairs(spark, sf_dir):
-    """Overlapping pairs among the 20 best ranges of each document, at most 190 a document."""
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "s"))
-    top = best(spark, sf_dir).withColumn("k", k).where("k <= 20").select("doc_id", "s", "start_cs", "end_cs", "span_cs")
-    a, b = top.alias("a"), top.alias("b")
-    pairs = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.s") < F.col("b.s")) & (F.col("b.start_cs") < F.col("a.end_cs")) & (F.col("a.start_cs") < F.col("b.end_cs")))
+    """All overlapping pairs of the starts' best ranges: what begins within a range follows it in order of time, so one window finds it."""
+    following = F.collect_list(F.struct("s", "start_cs", "end_cs", "span_cs")).over(Window.partitionBy("doc_id").orderBy("start_cs").rangeBetween(1, HIGH))
+    near = best(spark, sf_dir).withColumn("following", following)
+    pairs = near.select("doc_id", F.struct("s", "start_cs", "end_cs", "span_cs").alias("a"), F.explode("following").alias("b")).where("b.start_cs < a.end_cs")
     shared = F.least("a.end_cs", "b.end_cs") - F.greatest("a.start_cs", "b.start_cs")
     return pairs.select(
-        "a.doc_id", F.col("a.s").alias("s1"), F.col("b.s").alias("s2"), F.floor(shared * 10000.0 / (F.greatest("a.end_cs", "b.end_cs") - F.least("a.start_cs", "b.start_cs")) + 0.5).cast("long").alias("iou"),
+        "doc_id", F.col("a.s").alias("s1"), F.col("b.s").alias("s2"), F.floor(shared * 10000.0 / (F.greatest("a.end_cs", "b.end_cs") - F.least("a.start_cs", "b.start_cs")) + 0.5).cast("long").alias("iou"),
         F.floor(shared * 10000.0 / F.least("a.span_cs", "b.span_cs") + 0.5).cast("long").alias("containment"),
     )
 
@@ -171,15 +169,10 @@ def coarsen_gaps(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t FROM events), p AS (SELECT user_id, event_id, t FROM e WHERE event_type = 'purchase'), o AS (SELECT * FROM e WHERE event_type <> 'purchase')
 SELECT p.user_id, p.event_id, arg_min(o.event_type, (abs(o.t - p.t), o.t, o.event_id)) AS near_type, min(abs(o.t - p.t)) AS distance FROM p JOIN o USING (user_id) GROUP BY ALL""")
 def nearest_asof(spark, sf_dir):
-    """Each purchase with the nearest other event of its user: the last before and the first after, by one window."""
+    """Each purchase with the nearest other event of its user."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    other = F.when(F.col("event_type") != "purchase", F.struct("t", "event_id", "event_type"))
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    e = e.withColumns({"before": F.last(other, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(other, True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    # of events at one time before, the first counts
-    far = lambda c: F.struct(F.abs(F.col(f"{c}.t") - F.col("t")).alias("d"), F.col(f"{c}.t"), F.col(f"{c}.event_id"), F.col(f"{c}.event_type"))
-    sides = F.array_compact(F.array(F.when(F.col("before").isNotNull(), far("before")), F.when(F.col("after").isNotNull(), far("after"))))
-    return e.where((F.col("event_type") == "purchase") & (F.size(sides) > 0)).select("user_id", "event_id", F.array_min(sides)["event_type"].alias("near_type"), F.array_min(sides)["d"].alias("distance"))
+    found = nearest_other(e, "user_id", "t", "event_id", "event_type", F.col("event_type") == "purchase")
+    return found.select("user_id", "event_id", F.col("near.label").alias("near_type"), F.col("near.d").alias("distance"))
 
 
 @query(f"""{TIMED_SQL}, label AS (SELECT doc_id, idx // 3 AS block, min(start_cs) AS a, max(end_cs) - 100 AS b FROM sent GROUP BY ALL), o AS (SELECT s.doc_id, s.idx, l.block, least(s.end_cs, l.b) - greatest(s.start_cs, l.a) AS shared FROM sent s JOIN label l ON s.doc_id = l.doc_id AND l.a < s.end_cs AND s.start_cs < l.b)

@@ -117,14 +117,15 @@ def text_stats(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sentences"), F.sum(F.length("sentence")).cast("long").alias("chars"), F.floor(F.sum("n") * 10000.0 / F.count(F.lit(1)) + 0.5).cast("long").alias("mean_length"))
 
 
-@query(f"{DOC_WORDS_SQL}, k AS (SELECT doc_id, left(array_to_string(words, ' '), 220) AS key FROM w) SELECT md5(key) AS key, count(*) AS copies, min(doc_id) AS first_id FROM k GROUP BY key HAVING count(*) > 1")
+@query(f"{DOC_WORDS_SQL}, k AS (SELECT doc_id, array_to_string(words, ' ') AS key FROM w) SELECT md5(key) AS key, count(*) AS copies, min(doc_id) AS first_id FROM k GROUP BY key HAVING count(*) > 1")
 def dedupe_key_groups(spark, sf_dir):
-    k = doc_words(spark, sf_dir).select("doc_id", F.md5(F.left(F.concat_ws(" ", "words"), F.lit(220))).alias("key"))
+    """Documents of the same words in the same order, case and punctuation aside; whole texts count."""
+    k = doc_words(spark, sf_dir).select("doc_id", F.md5(F.concat_ws(" ", "words")).alias("key"))
     return k.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'),
-'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS body FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'),
+'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), chr(65279), ''), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS body FROM pages""")
 def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_markup(F.col("html")).alias("body"))
 
@@ -171,7 +172,7 @@ def jaccard_adjacent(spark, sf_dir):
 
 @query("""SELECT c, coalesce((CASE WHEN regexp_matches(c, p) THEN ((coalesce(nullif(regexp_extract(c, p, 1), ''), '0')::BIGINT * 60 + regexp_extract(c, p, 2)::BIGINT) * 60 + regexp_extract(c, p, 3)::BIGINT) * 1000
  + CASE WHEN regexp_extract(c, p, 4) = '' THEN 0 ELSE rpad(regexp_extract(c, p, 4), 3, '0')::BIGINT END ELSE 0 END), 0)::BIGINT AS ms
-FROM (VALUES ('00:01:02,5'), ('1:02'), ('10:00:00.250'), ('nonsense'), ('0:07.07')) v(c), (SELECT '^(?:(\\d+):)?(\\d{1,2}):(\\d{1,2})(?:[,.](\\d{1,3}))?$' AS p)""")
+FROM (VALUES ('00:01:02,5'), ('1:02'), ('10:00:00.250'), ('nonsense'), ('0:07.07'), ('1:2')) v(c), (SELECT '^(?:(\\d+):)?(\\d{1,2}):(\\d{2})(?:[,.](\\d{1,3}))?$' AS p)""")
 def clock_parse(spark, sf_dir):
-    rows = spark.createDataFrame([("00:01:02,5",), ("1:02",), ("10:00:00.250",), ("nonsense",), ("0:07.07",)], "c string")
+    rows = spark.createDataFrame([("00:01:02,5",), ("1:02",), ("10:00:00.250",), ("nonsense",), ("0:07.07",), ("1:2",)], "c string")
     return rows.select("c", T.clock_to_ms(F.col("c")).alias("ms"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-CLOCK = r"(?:\d+:)?\d{1,2}:\d{1,2}(?:[,.]\d{1,3})?"
+CLOCK = r"(?:\d+:)?\d{1,2}:\d{2}(?:[,.]\d{1,3})?"
 ARROW = rf"({CLOCK})[ \t]*-->[ \t]*({CLOCK})[^\n]*"
 
 
