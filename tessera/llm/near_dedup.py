@@ -24,7 +24,9 @@
     from the rarest among open nodes on, and its prefix ends where what follows
     weighs less than ``similarity`` of the text.  Texts that only share a passage
     have no prefix at all, so a passage in a third of all rows makes no pairs.
-    A pair is made if the weights that both share with others allow the similarity.
+    A pair is made if the weights that both share with others, and those from their
+    first common shingle on, allow the similarity.  The best node of each component
+    goes first, the nodes of components that this has not joined follow.
 5.  Verification: the exact weighted Jaccard similarity of the two texts'
     shingles must be ``similarity`` or more.  The members of a leader are dealt in
     salted groups of at most ``GROUP``, each with its own copy of the leader.
@@ -206,8 +208,12 @@ def similar_pairs(pairs: DataFrame, payload: DataFrame, idf, similarity: float)
     return rows.select("leader", "salt", "node", "part", "hashes").mapInPandas(verify, "leader binary, node binary, similarity double")
 
 
-def open_pairs(open_nodes: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
-    """(leader, node) of all open nodes (node, component) of different components that can be similar."""
+def open_links(open_nodes: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
+    """(a, b): similar pairs that join all open nodes (node, component) which any similar pair would join.
+
+    First each shingle's best node of every component is compared with those of the others, so two
+    large components meet in a few pairs; what is then still apart is compared in full.
+    """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,16 +230,32 @@ def open_pairs(open_nodes: DataFrame, payload: DataFrame, idf, similarity: float
     own = Window.partitionBy("node")  # the shingles of one text
     rest = own.orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = held.join(live, "shingle").withColumns({"rest": F.sum(F.col("w").cast("double")).over(rest), "shared": F.sum(F.col("w").cast("double")).over(own)})
-    prefix = ranked.where(F.col("rest") >= (similarity - SLACK) * F.col("total")).select("shingle", "node", "c", "shared", "total")
+    prefix = ranked.where(F.col("rest") >= (similarity - SLACK) * F.col("total")).select("shingle", "node", "c", "rest", "shared", "total")
     prefix = stored(prefix, "prefixes")
+    best = F.max_by(F.struct("node", "rest", "shared", "total"), F.struct(F.col("rest") / F.col("total"), "node"))
+    first = stored(_candidates(prefix.groupBy("shingle", "c").agg(best.alias("r")).select("shingle", "c", "r.*"), similarity), "first-pairs")
+    found = stored(similar_pairs(first.select("leader", "node"), payload, idf, similarity).join(first, ["leader", "node"]).select("leader", "node", "ca", "cb"), "first-links")
+    merged = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnRenamed("node", "c")
+    apart = prefix.join(merged, "c", "left").withColumn("c", F.coalesce("component", "c"))
+    second = stored(_candidates(apart, similarity).select("leader", "node").join(first, ["leader", "node"], "left_anti"), "second-pairs")
+    more = similar_pairs(second, payload, idf, similarity).select("leader", "node")
+    links = stored(found.select("leader", "node").unionByName(more).toDF("a", "b"), "links")
+    discard(held, prefix, first, found, second)
+    return links
+
+
+def _candidates(prefix: DataFrame, similarity: float) -> DataFrame:
+    """leader, node, ca, cb of the pairs of different components whose weights allow the similarity.
+
+    The first shingle that two texts share bounds what they share by the weights from it on, so a
+    pair of which no match passes that bound cannot be similar.
+    """
     a, b = prefix.alias("a"), prefix.alias("b")
-    both = F.col("a.total") + F.col("b.total")
-    can = F.least("a.shared", "b.shared") >= (similarity / (1 + similarity) - SLACK) * both
-    sized = F.least("a.total", "b.total") >= (similarity - SLACK) * F.greatest("a.total", "b.total")
-    pairs = a.join(b, F.expr("a.shingle = b.shingle AND a.node < b.node AND a.c <> b.c") & can & sized)
-    pairs = stored(pairs.select(F.col("a.node").alias("leader"), F.col("b.node").alias("node")).distinct(), "open-pairs")
-    discard(held, prefix)
-    return pairs
+    least = lambda c: F.least(f"a.{c}", f"b.{c}")
+    needed = (similarity / (1 + similarity) - SLACK) * (F.col("a.total") + F.col("b.total"))
+    sized = least("total") >= (similarity - SLACK) * F.greatest("a.total", "b.total")
+    pairs = a.join(b, F.expr("a.shingle = b.shingle AND a.node < b.node AND a.c <> b.c") & (least("shared") >= needed) & sized & (least("rest") >= needed))
+    return pairs.select(F.col("a.node").alias("leader"), F.col("b.node").alias("node"), F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct()
 
 
 def _gathered(run, rows: int = 200_000):
@@ -279,11 +301,11 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
     members = signed.where("hashes is not null").select("node", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stored(members.join(shared, "band"), "buckets")
-    central = buckets.groupBy("node").agg(F.sum("n").alias("centre"))
-    leaders = buckets.join(central, "node").groupBy("band").agg(F.max(F.struct("centre", "node"))["node"].alias("leader"))
+    central = buckets.withColumn("centre", F.sum("n").over(Window.partitionBy("node")))  # the bands of one text
+    leaders = central.groupBy("band").agg(F.max(F.struct("centre", "node"))["node"].alias("leader"))
     pairs = stored(buckets.join(leaders, "band").where("node <> leader").select("leader", "node").distinct(), "pairs")
 
-    holders = signed.where("hashes is not null").select("node", "task").join(central, "node", "left_semi").groupBy("node").agg(F.min("task").alias("task"))
+    holders = signed.where("hashes is not null").select("node", "task").join(buckets, "node", "left_semi").groupBy("node").agg(F.min("task").alias("task"))
     payload = stored(signed.where("hashes is not null").select("node", "task", "hashes").join(holders, ["node", "task"]).select("node", "hashes"), "shingles")
     links = stored(similar_pairs(pairs, payload, idf, similarity).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
 
@@ -292,11 +314,10 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
     code = F.xxhash64("component")
     open_ = told.groupBy("band").agg(F.min(code).alias("low"), F.max(code).alias("high")).where("low <> high")
     open_nodes = stored(told.join(open_, "band", "left_semi").select("node", "component").distinct(), "open-nodes")
-    more = open_pairs(open_nodes, payload, idf, similarity)
-    more_links = stored(similar_pairs(more, payload, idf, similarity).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+    more_links = open_links(open_nodes, payload, idf, similarity)
     if not more_links.isEmpty():
         of = components(links.unionByName(more_links))
-    discard(buckets, pairs, payload, open_nodes, more)
+    discard(buckets, pairs, payload, open_nodes)
     return signed.select(key, "node"), of
 
 
