@@ -96,6 +96,14 @@ def human_size(n: Column) -> Column:
     )
 
 
+def caption_colour(c: Column) -> Column:
+    """&H00BBGGRR of #RRGGBB or #RGB; white where it is neither."""
+    digits = F.ltrim(filled(c), F.lit("#"))
+    digits = F.when(F.length(digits) == 3, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
+    digits = F.when(digits.rlike("^[0-9a-fA-F]{6}$"), F.upper(digits)).otherwise("FFFFFF")
+    return F.concat(F.lit("&H00"), *[F.substring(digits, at, 2) for at in (5, 3, 1)])
+
+
 def hits(words: Column, lexicon: list[str]) -> Column:
     return F.size(F.filter(words, lambda x: x.isin(lexicon))).cast("long")
 
