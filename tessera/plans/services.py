@@ -104,11 +104,11 @@ def status_ordered_queue(spark, sf_dir):
     return orders(spark, sf_dir).select("o_custkey", "o_orderkey", place.alias("place"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) GROUP BY 1")
 def unknown_ids(spark, sf_dir):
-    """Ids asked for that no row has, with how often; counted before the join, so a hot id is one row of it."""
-    asked = events(spark, sf_dir).where("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "left_anti")
+    """Owners asked for that no event knows, with how often; counted before the join, so a hot id is one row of it."""
+    asked = orders(spark, sf_dir).where("o_custkey IS NOT NULL").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(events(spark, sf_dir).select(F.col("user_id").alias("o_custkey")), "o_custkey", "left_anti")
 
 
 @query("""WITH p AS (SELECT lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, octet_length(encode(coalesce(html, ''))) AS size FROM pages)
