@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: A word: letters, numbers, underscore, apostrophes and hyphen.
 WORDS = r"[\p{L}\p{N}_'’\-]+"
-PUNCTUATION = ".,;:!?…\"'()[]{}«»“”‘’-"
+#: Marks that a word may have around it.
+PUNCTUATION = "\"'“”‘’()[]{}.,!?;:।॥…—–-"
 
 # Function words by language, and the bounds of scripts.
 FINGERPRINTS = {

@@ -20,12 +20,6 @@ def timed_sentences(docs: DataFrame) -> DataFrame:
     return rows.withColumn("start_cs", before).withColumn("end_cs", F.col("start_cs") + 34 * F.col("n") - 4).withColumn("idx", F.col("idx").cast("long"))
 
 
-def prefix_sums(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Running sums ``p_x`` before each row, so that a range's sum is one subtraction."""
-    w = by_sentence().rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({f"p_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in columns})
-
-
 def range_windows(rows: DataFrame, low: int, high: int, keep: list[str] | None = None) -> DataFrame:
     """All pairs of sentences s < e of one document with low <= end(e) - start(s) <= high.
 
@@ -40,30 +34,6 @@ def range_windows(rows: DataFrame, low: int, high: int, keep: list[str] | None =
     return left.join(right, ["doc_id", "bin"]).where((F.col("e") > F.col("s")) & span.between(low, high)).withColumn("span_cs", span).drop("bin")
 
 
-def sampled_windows(rows: DataFrame, low: int, high: int, starts: list[str] | None = None, ends: list[str] | None = None, most: int = 14) -> DataFrame:
-    """At most ``most`` of the ends that ``range_windows`` pairs with each start: the extremes and evenly spaced ones between.
-
-    Ends rise with the index, so the ends of a start are one run of indexes.  Its first and last are
-    found by one sort on time of ends and bounds, and only the sampled indexes are joined: the
-    windows themselves are never made.  ``starts`` and ``ends`` are columns to carry as s_x and e_x.
-    """
-    starts, ends = starts or [], ends or []
-    marks = F.array(*[F.struct(t.alias("t"), F.lit(kind).alias("kind")) for t, kind in ((F.col("start_cs") + low, 0), (F.col("end_cs"), 1), (F.col("start_cs") + high, 2))])
-    marked = rows.select("doc_id", "idx", "start_cs", *starts, F.explode(marks).alias("mark")).select("*", "mark.t", "mark.kind").drop("mark")
-    # at one time a lower bound comes before the end and an upper bound after it: both include it
-    end = F.when(F.col("kind") == 1, F.col("idx"))
-    earlier = Window.partitionBy("doc_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy("doc_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumns({"last": F.when(F.col("kind") == 2, F.max(end).over(earlier)), "first": F.when(F.col("kind") == 0, F.min(end).over(later))})
-    runs = marked.groupBy("doc_id", F.col("idx").alias("s")).agg(F.when(F.max("first").isNotNull(), F.greatest(F.max("first"), F.col("s") + 1)).alias("first"), F.max("last").alias("last"), *[F.max(c).alias("start_cs" if c == "start_cs" else f"s_{c}") for c in ["start_cs", *starts]])
-    runs = runs.where("last >= first")
-    m = F.col("last") - F.col("first")
-    spaced = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.col("first") + F.floor(k * m / (most - 1) + 0.5)))
-    picks = runs.withColumn("e", F.explode(F.when(m < most, F.sequence("first", "last")).otherwise(spaced))).drop("first", "last")
-    right = rows.select("doc_id", F.col("idx").alias("e"), "end_cs", *[F.col(c).alias(f"e_{c}") for c in ends])
-    return picks.join(right, ["doc_id", "e"]).withColumn("span_cs", F.col("end_cs") - F.col("start_cs"))
-
-
 def nearest_other(rows: DataFrame, key: str, time: str, tie: str, label: str, asking) -> DataFrame:
     """For each row where ``asking`` holds: near (its time, tie, label and distance d) among its key's rows where it does not hold.
 
@@ -79,10 +49,3 @@ def nearest_other(rows: DataFrame, key: str, time: str, tie: str, label: str, as
     found = rows.withColumns({"before": before, "after": after}).where(asking)
     near = F.array_min(F.array_compact(F.array(side(F.col("before"), -1), side(F.col("after"), 1))))
     return found.withColumn("near", near).drop("before", "after").where("near IS NOT NULL")
-
-
-def pace(words: str, span: str):
-    """1 within 120 to 190 words a minute, falling off on both sides."""
-    wpm = F.col(words) * 6000 / F.col(span)
-    slow, fast = F.greatest(1 - (120 - wpm) / 110, F.lit(0.0)), F.greatest(1 - (wpm - 190) / 160, F.lit(0.0))
-    return F.when(wpm <= 0, 0.0).when(wpm < 120, slow).when(wpm <= 190, 1.0).otherwise(fast)

@@ -5,103 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.operators import greedy
-from tessera.operators.timed import by_sentence, nearest_other, pace, prefix_sums, range_windows, sampled_windows, timed_sentences
+from tessera.operators.timed import by_sentence, nearest_other, range_windows, timed_sentences
 from tessera.plans.base import query, table
-from tessera.plans.text import LEXICON, TIMED_SQL, quoted
+from tessera.plans.text import TIMED_SQL
 
 #: A range lasts 20 to 60 seconds, in hundredths.
 LOW, HIGH = 2_000, 6_000
 WINDOWS_SQL = f"{TIMED_SQL}, windows AS (SELECT a.doc_id, a.idx AS s, b.idx AS e, a.start_cs, b.end_cs, b.end_cs - a.start_cs AS span_cs FROM sent a JOIN sent b ON a.doc_id = b.doc_id AND b.idx > a.idx AND b.end_cs - a.start_cs BETWEEN {LOW} AND {HIGH})"
 SAMPLED_SQL = f"""{WINDOWS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY e) - 1 AS r, count(*) OVER (PARTITION BY doc_id, s) AS m FROM windows),
 sampled AS (SELECT * FROM ranked WHERE m <= 14 OR list_contains([floor(k * (m - 1) / 13.0 + 0.5)::BIGINT FOR k IN range(14)], r))"""
-ARTICLES = quoted(LEXICON["articles"])
-FEATURES_SQL = f"""{SAMPLED_SQL},
-x AS (SELECT *, len(list_filter(tokens, lambda w: w IN ({ARTICLES})))::BIGINT AS art, (regexp_matches(sentence, '[.!?…।]\\s*$'))::INT AS term FROM sent),
-p AS (SELECT *, coalesce(sum(n) OVER w, 0)::BIGINT AS pn, coalesce(sum(art) OVER w, 0)::BIGINT AS pa, coalesce(sum(term) OVER w, 0)::BIGINT AS pt FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-feat AS (SELECT q.doc_id, q.s, q.e, q.start_cs, q.end_cs, q.span_cs, b.pn + b.n - a.pn AS words, b.pa + b.art - a.pa AS articles, b.pt + b.term - a.pt AS finals, b.term AS ends_final
-FROM sampled q JOIN p a ON a.doc_id = q.doc_id AND a.idx = q.s JOIN p b ON b.doc_id = q.doc_id AND b.idx = q.e)"""
-SCORE_SQL = "(words * 1000 // (words + 40)) + 300 * ends_final + (1000 * finals) // (e - s + 1) - (2000 * articles) // words"
 
 
 def sentences_of(spark, sf_dir):
     return timed_sentences(table(spark, sf_dir, "documents"))
 
 
-def features(spark, sf_dir):
-    """Sampled windows with sums over their sentences, each one subtraction of two running sums."""
-    s = sentences_of(spark, sf_dir).withColumns({"art": T.hits(F.col("tokens"), LEXICON["articles"]), "term": F.col("sentence").rlike(r"[.!?…।]\s*$").cast("int")})
-    cols = ["n", "art", "term"]
-    rows = prefix_sums(s.select("doc_id", "idx", "start_cs", "end_cs", *cols), cols)
-    running = [f"p_{c}" for c in cols]
-    w = sampled_windows(rows, LOW, HIGH, running, [*cols, *running])
-    total = lambda c: (F.col(f"e_p_{c}") + F.col(f"e_{c}") - F.col(f"s_p_{c}")).cast("long")
-    return w.select("doc_id", "s", "e", "start_cs", "end_cs", "span_cs", total("n").alias("words"), total("art").alias("articles"), total("term").alias("finals"), F.col("e_term").alias("ends_final"))
-
-
-def scored(spark, sf_dir):
-    whole = lambda x: F.floor(x).cast("long")
-    score = (
-        whole(F.col("words") * 1000 / (F.col("words") + 40)) + 300 * F.col("ends_final")
-        + whole(1000 * F.col("finals") / (F.col("e") - F.col("s") + 1)) - whole(2000 * F.col("articles") / F.col("words"))
-    )
-    return features(spark, sf_dir).withColumn("score", score.cast("long"))
-
-
 @query(f"{WINDOWS_SQL} SELECT doc_id, s, count(*) AS ends, min(span_cs)::BIGINT AS shortest, max(span_cs)::BIGINT AS longest FROM windows GROUP BY ALL")
 def range_windows_counts(spark, sf_dir):
     w = range_windows(sentences_of(spark, sf_dir), LOW, HIGH)
     return w.groupBy("doc_id", "s").agg(F.count(F.lit(1)).alias("ends"), F.min("span_cs").alias("shortest"), F.max("span_cs").alias("longest"))
 
 
-@query(f"{SAMPLED_SQL} SELECT doc_id, s, e, span_cs FROM sampled")
-def range_windows_sampled(spark, sf_dir):
-    return sampled_windows(sentences_of(spark, sf_dir), LOW, HIGH).select("doc_id", "s", "e", "span_cs")
-
-
-@query(f"{FEATURES_SQL} SELECT doc_id, s, e, words, articles, finals, ends_final FROM feat")
-def range_aggregate(spark, sf_dir):
-    return features(spark, sf_dir).select("doc_id", "s", "e", "words", "articles", "finals", "ends_final")
-
-
-@query(f"""{FEATURES_SQL}, r AS (SELECT *, words * 6000 / span_cs AS wpm FROM feat)
-SELECT doc_id, s, e, floor((CASE WHEN wpm <= 0 THEN 0 WHEN wpm < 120 THEN greatest(1 - (120 - wpm) / 110, 0) WHEN wpm <= 190 THEN 1 ELSE greatest(1 - (wpm - 190) / 160, 0) END) * 10000 + 0.5)::BIGINT AS pace FROM r""")
-def pace_score(spark, sf_dir):
-    return features(spark, sf_dir).select("doc_id", "s", "e", T.per_myriad(pace("words", "span_cs")).alias("pace"))
-
-
-BEST_SQL = f"{FEATURES_SQL}, scored AS (SELECT *, {SCORE_SQL} AS score FROM feat), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY score DESC, e) AS r FROM scored) WHERE r = 1)"
-
-
-def best(spark, sf_dir):
-    top = F.max(F.struct("score", -F.col("e"), "end_cs", "span_cs", "start_cs"))
-    found = scored(spark, sf_dir).groupBy("doc_id", "s").agg(top.alias("r"))
-    return found.select("doc_id", "s", (-F.col("r.col2")).alias("e"), "r.start_cs", "r.end_cs", "r.span_cs", "r.score")
-
-
-@query(f"{BEST_SQL} SELECT doc_id, s, e, score::BIGINT AS score FROM best")
-def best_end_per_start(spark, sf_dir):
-    return best(spark, sf_dir).select("doc_id", "s", "e", "score")
-
-
-@query(f"{BEST_SQL} SELECT doc_id, rank, s, e, start_cs, end_cs, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s) AS rank FROM best) WHERE rank <= 3")
-def top_clips(spark, sf_dir):
-    """The three best ranges of each document, of different starts."""
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "s")).cast("long")
-    return best(spark, sf_dir).withColumn("rank", rank).where("rank <= 3").select("doc_id", "rank", "s", "e", "start_cs", "end_cs", "score")
-
-
-@query(f"""{BEST_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s) AS k, count(*) OVER (PARTITION BY doc_id) AS m FROM best)
-SELECT doc_id, count(*) FILTER (score >= 1200) AS best, count(*) FILTER (score >= 1104) AS balanced, count(*) FILTER (score >= 1020) AS max, max(CASE WHEN k = m // 2 + 1 THEN score END)::BIGINT AS mid_score, floor(median(score) * 10 + 0.5)::BIGINT AS median_score FROM top GROUP BY doc_id""")
-def select_by_mode(spark, sf_dir):
-    """How many ranges pass in each mode, with the middle of the descending scores and the true median."""
-    w = Window.partitionBy("doc_id")
-    top = best(spark, sf_dir).withColumn("k", F.row_number().over(w.orderBy(F.desc("score"), "s"))).withColumn("m", F.count(F.lit(1)).over(w))
-    over = lambda x: F.count_if(F.col("score") >= x)
-    return top.groupBy("doc_id").agg(over(1200).alias("best"), over(1104).alias("balanced"), over(1020).alias("max"), F.max(F.when(F.col("k") == F.floor(F.col("m") / 2) + 1, F.col("score"))).alias("mid_score"), F.floor(F.median("score") * 10 + 0.5).cast("long").alias("median_score"))
-
-
 @query(f"{TIMED_SQL} SELECT doc_id, idx, start_cs, end_cs FROM sent WHERE end_cs >= 5000 - 5 AND start_cs <= 9000 + 5")
 def interval_overlap_filter(spark, sf_dir):
     return sentences_of(spark, sf_dir).where("end_cs >= 5000 - 5 AND start_cs <= 9000 + 5").select("doc_id", "idx", "start_cs", "end_cs")
@@ -121,21 +46,6 @@ def sentence_gaps(spark, sf_dir):
     return s.select("doc_id", "idx", F.sum("n").over(by_sentence().rowsBetween(Window.unboundedPreceding, 0)).alias("words_so_far"), (F.lead("start_cs").over(by_sentence()) - F.col("end_cs")).alias("gap_cs"))
 
 
-@query(f"""{BEST_SQL} SELECT a.doc_id, a.s AS s1, b.s AS s2, floor((least(a.end_cs, b.end_cs) - greatest(a.start_cs, b.start_cs)) * 10000.0 / (greatest(a.end_cs, b.end_cs) - least(a.start_cs, b.start_cs)) + 0.5)::BIGINT AS iou,
-floor((least(a.end_cs, b.end_cs) - greatest(a.start_cs, b.start_cs)) * 10000.0 / least(a.span_cs, b.span_cs) + 0.5)::BIGINT AS containment
-FROM best a JOIN best b ON a.doc_id = b.doc_id AND a.s < b.s AND b.start_cs < a.end_cs AND a.start_cs < b.end_cs""")
-def iou_pairs(spark, sf_dir):
-    """All overlapping pairs of the starts' best ranges: what begins within a range follows it in order of time, so one window finds it."""
-    following = F.collect_list(F.struct("s", "start_cs", "end_cs", "span_cs")).over(Window.partitionBy("doc_id").orderBy("start_cs").rangeBetween(1, HIGH))
-    near = best(spark, sf_dir).withColumn("following", following)
-    pairs = near.select("doc_id", F.struct("s", "start_cs", "end_cs", "span_cs").alias("a"), F.explode("following").alias("b")).where("b.start_cs < a.end_cs")
-    shared = F.least("a.end_cs", "b.end_cs") - F.greatest("a.start_cs", "b.start_cs")
-    return pairs.select(
-        "doc_id", F.col("a.s").alias("s1"), F.col("b.s").alias("s2"), F.floor(shared * 10000.0 / (F.greatest("a.end_cs", "b.end_cs") - F.least("a.start_cs", "b.start_cs")) + 0.5).cast("long").alias("iou"),
-        F.floor(shared * 10000.0 / F.least("a.span_cs", "b.span_cs") + 0.5).cast("long").alias("containment"),
-    )
-
-
 EVENT_SPANS_SQL = "WITH ev AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + 3600 + (event_id % 7) * 600 AS b FROM events), m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ev), g AS (SELECT *, sum(CASE WHEN seen IS NULL OR a > seen + 60 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, event_id) AS island FROM m), k AS (SELECT user_id, island, min(a) AS a, max(b) AS b FROM g GROUP BY ALL)"
 
 
@@ -190,12 +100,6 @@ def max_overlap_label(spark, sf_dir):
     return s.select("doc_id", "idx").join(top, ["doc_id", "idx"], "left").withColumn("label", F.coalesce("label", F.lit(-1)))
 
 
-@query()
-def greedy_non_overlap(spark, sf_dir):
-    """The best ranges of each document that hardly overlap; tested against a plain loop."""
-    return greedy.non_overlapping(best(spark, sf_dir).select("doc_id", "s", "e", "start_cs", "end_cs", "score"))
-
-
 @query()
 def caption_lines(spark, sf_dir):
     """Words packed into caption lines; tested against the rules."""

@@ -10,7 +10,7 @@ from tessera.operators.timed import by_sentence
 from tessera.plans.base import query, table
 from tessera.plans.jobs import events, orders
 from tessera.plans.ranges import sentences_of
-from tessera.plans.text import STOP, TIMED_SQL, quoted
+from tessera.plans.text import PUNCTUATION_SQL, STOP, TIMED_SQL, quoted
 
 # The stages of a run in their order and what each weighs, in hundredths of the whole.
 STAGES = {"metadata": 2, "download": 16, "audio": 5, "language": 3, "transcribe": 30, "diarize": 4, "segment": 4, "discover": 12, "score": 8, "dedupe": 3, "validate": 3, "boundaries": 5, "prepare": 5}
@@ -64,7 +64,7 @@ def repaired_times(spark, sf_dir):
     return e.select("user_id", "event_id", F.greatest("a", F.lag("closes").over(w)).alias("opens"), "closes")
 
 
-@query(f"""{TIMED_SQL}, x AS (SELECT doc_id, idx, unnest(tokens) AS raw FROM sent), y AS (SELECT doc_id, idx, trim(raw, '.,;:!?…"''()[]{{}}«»“”‘’-') AS term FROM x),
+@query(f"""{TIMED_SQL}, x AS (SELECT doc_id, idx, unnest(tokens) AS raw FROM sent), y AS (SELECT doc_id, idx, trim(raw, {PUNCTUATION_SQL}) AS term FROM x),
 tf AS (SELECT doc_id, idx, term, count(*) AS k FROM y WHERE term <> '' AND term NOT IN ({quoted(STOP)}) GROUP BY ALL), tot AS (SELECT doc_id, count(*) AS s FROM sent GROUP BY ALL), df AS (SELECT doc_id, term, count(*) AS d FROM tf GROUP BY ALL),
 v AS (SELECT doc_id, idx, term, k * (ln((1.0 + s) / (1.0 + d)) + 1) AS w FROM tf JOIN df USING (doc_id, term) JOIN tot USING (doc_id)), u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, idx)) AS unit FROM v)
 SELECT a.doc_id, a.idx, floor(sum(a.unit * b.unit) * 1000 + 0.5)::BIGINT AS similarity FROM u a JOIN u b ON b.doc_id = a.doc_id AND b.idx = a.idx + 1 AND b.term = a.term GROUP BY ALL""")

@@ -27,7 +27,10 @@ def doc_words(spark, sf_dir):
 
 
 def quoted(words) -> str:
-    return ", ".join(f"'{w}'" for w in words)
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+PUNCTUATION_SQL = quoted([T.PUNCTUATION])
 
 
 @query(f"{DOC_WORDS_SQL} SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(words) AS word FROM w) GROUP BY word")
