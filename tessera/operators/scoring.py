@@ -69,16 +69,28 @@ SCORE = f"CAST(floor(power(raw / 1000000e0, {int(L.CURVE * 100)}e-2) * 1000e0 +
 
 
 def scored(rows: DataFrame, low: int) -> DataFrame:
-    """Adds all factors and penalties, raw and score."""
+    """Adds all factors and penalties, raw and score.
+
+    The swing of feelings is a fold, and Spark does not fuse an operator that has one into a single method; the factors beside it would
+    make that too long for the JIT, and ten times slower.
+    """
+    highest = F.aggregate("feelings", F.lit(-1_000).cast("long"), lambda a, x: F.greatest(a, x))
+    lowest = F.aggregate("feelings", F.lit(1_000).cast("long"), lambda a, x: F.least(a, x))
+    rows = rows.withColumn("swing", highest - lowest)
     rows = rows.withColumns({k: F.expr(x) for k, x in columns(low).items()})
     return rows.withColumn("raw", F.expr(RAW).cast("long")).withColumn("score", F.expr(SCORE))
 
 
-def lines(docs: DataFrame, most: int) -> DataFrame:
-    """All lines with counts, times, running sums, likeness and topic blocks."""
+def opened(docs: DataFrame, most: int) -> DataFrame:
+    """Documents with ``alike`` and ``opens``: for each line, whether it begins a topic block other than the first."""
     rows = R.topic_bounds(R.compared_lines(R.spoken(docs), most))
     # bounds are read twice, so that the fold that makes them is not put into the lambda
-    rows = rows.withColumn("opens", F.transform("sizes", lambda n, i: F.array_contains("bounds", i) & (F.size("bounds") > 0)))
+    return rows.withColumn("opens", F.transform("sizes", lambda n, i: F.array_contains("bounds", i) & (F.size("bounds") > 0)))
+
+
+def lines(docs: DataFrame, most: int) -> DataFrame:
+    """All lines with counts, times, running sums, likeness and topic blocks."""
+    rows = opened(docs, most)
     rows = R.counted(R.lines_of(rows, "alike", "opens"), "alike", "opens")
     rows = R.clocked(rows, R.SUMS)
     gap = lambda a, b: (a - b).cast("long")
@@ -99,8 +111,7 @@ def range_rows(rows: DataFrame, low: int, high: int) -> DataFrame:
 
     def last(y):
         own = F.transform(F.filter("ahead", lambda z: z["idx"] <= y["idx"]), lambda z: z["feeling"])
-        swing = F.when(felt, F.array_max(own) - F.array_min(own)).otherwise(0).cast("long")
-        return F.struct(y["idx"].alias("e"), *[y[c].alias(c) for c in ("end_cs", "upto", "content", "gap_after", *LAST)], swing.alias("swing"))
+        return F.struct(y["idx"].alias("e"), *[y[c].alias(c) for c in ("end_cs", "upto", "content", "gap_after", *LAST)], F.when(felt, own).otherwise(F.array(F.lit(0).cast("long"))).alias("feelings"))
 
     rows = rows.withColumn("lasts", F.transform("picks", last))
     # an outer explode, then a filter: the inner one would have its array worked out twice
@@ -110,5 +121,5 @@ def range_rows(rows: DataFrame, low: int, high: int) -> DataFrame:
     thin = F.col("f_deictic") & (F.size(F.array_union("content", "last.content")) < 5)
     return rows.select(
         "doc_id", "s", "last.e", "start_cs", "last.end_cs", (F.col("last.end_cs") - F.col("start_cs")).alias("span_cs"), *[R.range_sum(x) for x in R.SUMS], *[f"f_{c}" for c in FIRST], *[F.col(f"last.{c}").alias(f"l_{c}") for c in LAST],
-        "last.swing", thin.alias("thin"), "same_block", "gap_before", "last.gap_after", F.get("alike.before", at).alias("before"), F.get("alike.earlier", at).alias("earlier"),
+        "last.feelings", thin.alias("thin"), "same_block", "gap_before", "last.gap_after", F.get("alike.before", at).alias("before"), F.get("alike.earlier", at).alias("earlier"),
     )

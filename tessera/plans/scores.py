@@ -51,10 +51,10 @@ shape AS (SELECT q.doc_id, q.s, q.e, q.e + 1 - q.s AS size, y.f - coalesce(x.f,
 rect AS (SELECT doc_id, s, e, size, own, -1 AS k, 0 AS c, s - 6 AS d FROM shape WHERE s > 6 AND earlier_lines > 0 UNION ALL SELECT doc_id, s, e, size, own, k, s - k * size AS c, s - k * size + size AS d FROM shape, (VALUES (1), (2), (3)) v(k) WHERE s >= 4 AND s - k * size >= 0),
 found AS (SELECT r.doc_id, r.s, r.e, r.k, r.size, r.d, coalesce(p.t, 0e0) - coalesce(q.t, 0e0) - coalesce(u.t, 0e0) + coalesce(v.t, 0e0) AS dot FROM rect r LEFT JOIN box p ON p.doc_id = r.doc_id AND p.i = r.e + 1 AND p.j = r.d LEFT JOIN box q ON q.doc_id = r.doc_id AND q.i = r.s AND q.j = r.d
 LEFT JOIN box u ON u.doc_id = r.doc_id AND u.i = r.e + 1 AND u.j = r.c LEFT JOIN box v ON v.doc_id = r.doc_id AND v.i = r.s AND v.j = r.c),
-alike AS (SELECT h.doc_id, h.s, h.e, CASE WHEN own = 0 THEN NULL ELSE coalesce(max(floor(dot / (h.size * d) * 1e6 + 5e-1)) FILTER (k = -1), -1)::INT END AS before, coalesce(max(floor(dot / (h.size * h.size) * 1e6 + 5e-1)) FILTER (k > 0), 0)::INT AS earlier
+alike AS (SELECT h.doc_id, h.s, h.e, CASE WHEN own = 0 THEN NULL ELSE coalesce(max(floor(dot / (h.size * d) * 1e6 + 499e-3)) FILTER (k = -1), -1)::INT END AS before, coalesce(max(floor(dot / (h.size * h.size) * 1e6 + 499e-3)) FILTER (k > 0), 0)::INT AS earlier
 FROM shape h LEFT JOIN found f ON f.doc_id = h.doc_id AND f.s = h.s AND f.e = h.e GROUP BY h.doc_id, h.s, h.e, own)"""
 BLOCKS_SQL = f"""{ALIKE_SQL},
-near AS (SELECT a.doc_id, a.i AS idx, floor(sum(g) / 4e0 * 1e6 + 5e-1)::BIGINT AS cohesion FROM (SELECT g.doc_id, o.i, g.g FROM grid g, (VALUES (0), (1)) u(p), (VALUES (1), (2)) v(q), LATERAL (SELECT g.i + p AS i) o WHERE g.j = o.i + q) a JOIN size USING (doc_id) WHERE a.i + 1 < lines GROUP BY ALL),
+near AS (SELECT a.doc_id, a.i AS idx, floor(sum(g) / 4e0 * 1e6 + 499e-3)::BIGINT AS cohesion FROM (SELECT g.doc_id, o.i, g.g FROM grid g, (VALUES (0), (1)) u(p), (VALUES (1), (2)) v(q), LATERAL (SELECT g.i + p AS i) o WHERE g.j = o.i + q) a JOIN size USING (doc_id) WHERE a.i + 1 < lines GROUP BY ALL),
 level AS (SELECT doc_id, CASE WHEN count(*) >= 4 THEN greatest(2e4, sum(cohesion)::DOUBLE / count(*) - 55e-2 * sqrt((count(*)::DOUBLE * sum(cohesion * cohesion)::DOUBLE - sum(cohesion)::DOUBLE * sum(cohesion)::DOUBLE) / (count(*)::DOUBLE * count(*)))) ELSE 8e4 END AS threshold FROM near GROUP BY ALL),
 breaking AS (SELECT n.doc_id, n.idx, s.end_cs, cohesion < threshold AS drops FROM near n JOIN level USING (doc_id) JOIN sent s USING (doc_id, idx)),
 bound AS (SELECT doc_id, 0::BIGINT AS begin FROM size UNION ALL SELECT b.doc_id, min(k.idx) + 1 FROM bound b JOIN sent s ON s.doc_id = b.doc_id AND s.idx = b.begin JOIN breaking k ON k.doc_id = b.doc_id AND k.idx >= b.begin AND k.end_cs - s.start_cs >= {R.LEAST_BLOCK} AND (k.drops OR k.end_cs - s.start_cs >= {R.MOST_BLOCK}) GROUP BY b.doc_id, b.begin)""".replace("WITH pieces", "WITH RECURSIVE pieces")
@@ -77,9 +77,13 @@ def scored(spark, sf_dir) -> DataFrame:
 
 def best(spark, sf_dir) -> DataFrame:
     """The best range of each start, the shorter one on a tie."""
-    top = F.max(F.struct("raw", -F.col("e"), "end_cs", "span_cs", "start_cs", "score", "context_dependency", "low_confidence"))
-    found = scored(spark, sf_dir).groupBy("doc_id", "s").agg(top.alias("r"))
-    return found.select("doc_id", "s", (-F.col("r.col2")).alias("e"), "r.start_cs", "r.end_cs", "r.span_cs", "r.raw", "r.score", "r.context_dependency", "r.low_confidence")
+    # one number orders and carries what is wanted, so that the maximum is a hash aggregate: 20, 10, 13 and 14 bits
+    size = F.col("e") - F.col("s")
+    packed = ((F.col("raw") * 1024 + (1023 - size)) * 8192 + F.col("span_cs")) * 16384 + F.col("context_dependency")
+    found = scored(spark, sf_dir).groupBy("doc_id", "s").agg(F.max(packed).alias("top"), F.min("start_cs").alias("start_cs"), F.max("low_confidence").alias("low_confidence"))
+    bits = lambda low, n: F.shiftright("top", low) % (1 << n)
+    found = found.select("doc_id", "s", (F.col("s") + 1023 - bits(27, 10)).alias("e"), "start_cs", bits(14, 13).alias("span_cs"), F.shiftright("top", 37).alias("raw"), bits(0, 14).alias("context_dependency"), "low_confidence")
+    return found.withColumn("end_cs", F.col("start_cs") + F.col("span_cs")).withColumn("score", F.expr(scoring.SCORE))
 
 
 def plain_ranges(spark, sf_dir) -> DataFrame:
@@ -123,16 +127,12 @@ def range_likeness(spark, sf_dir):
        "SELECT b.doc_id, block::BIGINT AS block, begin AS first, max(s.idx)::BIGINT AS last, min(s.start_cs)::BIGINT AS start_cs, max(s.end_cs)::BIGINT AS end_cs, coalesce(floor(avg(cohesion) FILTER (s.idx < coalesce(stop, lines) - 1) / 100 + 5e-1), 0)::BIGINT AS cohesion FROM b JOIN size USING (doc_id) JOIN sent s ON s.doc_id = b.doc_id AND s.idx >= begin AND s.idx < coalesce(stop, lines) LEFT JOIN near n ON n.doc_id = s.doc_id AND n.idx = s.idx GROUP BY ALL")
 def topic_blocks(spark, sf_dir):
     """Runs of lines on one topic, with their times and mean cohesion (ten-thousandths)."""
-    rows = R.topic_bounds(R.compared_lines(R.spoken(table(spark, sf_dir, "documents")), HIGH))
-    edges = F.zip_with(F.concat(F.array(F.lit(0)), "bounds"), F.concat("bounds", F.array(F.size("sizes"))), lambda a, b: F.struct(a.alias("first"), b.alias("stop")))
-    rows = rows.where(F.size("sizes") > 0).withColumns({"edges": edges, "ends": F.transform("sizes", lambda n: R.WORD * n + R.PAUSE)})
-    found = rows.select("doc_id", F.arrays_zip("ends", "alike").alias("each"), F.posexplode("edges").alias("block", "x"))
-    own = F.slice("each", F.col("x.first") + 1, F.col("x.stop") - F.col("x.first"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, y: t + y["ends"])
-    inner = F.slice("own", F.lit(1), F.size("own") - 1)
-    found = found.select("doc_id", F.col("block").cast("long").alias("block"), F.col("x.first").cast("long").alias("first"), (F.col("x.stop") - 1).cast("long").alias("last"), total(F.slice("each", F.lit(1), F.col("x.first"))).alias("start_cs"), own.alias("own"))
-    mean = F.aggregate(inner, F.lit(0).cast("long"), lambda t, y: t + y["alike"]["cohesion"]) / F.greatest(F.size("own") - 1, F.lit(1))
-    return found.select("doc_id", "block", "first", "last", "start_cs", (F.col("start_cs") + total(F.col("own")) - R.PAUSE - R.TAIL).alias("end_cs"), F.floor(mean / 100 + 0.5).cast("long").alias("cohesion"))
+    rows = R.lines_of(scoring.opened(table(spark, sf_dir, "documents"), HIGH), "alike", "opens").select("doc_id", "idx", "n", "alike.cohesion", F.col("opens").cast("long").alias("opens"))
+    rows = R.clocked(rows, ["opens"]).withColumn("block", F.get("upto", F.lit(0)))
+    inner = F.lead("block").over(R.by_line()) == F.col("block")
+    own = rows.withColumn("cohesion", F.when(inner, F.col("cohesion"))).groupBy("doc_id", "block")
+    mean = F.coalesce(F.floor(F.avg("cohesion") / 100 + 0.5).cast("long"), F.lit(0).cast("long"))
+    return own.agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("start_cs").alias("start_cs"), F.max("end_cs").alias("end_cs"), mean.alias("cohesion"))
 
 
 @query(f"{SCORED_SQL} SELECT doc_id, s, e, {', '.join(scoring.columns(LOW))}, raw::BIGINT AS raw, score FROM scored")
