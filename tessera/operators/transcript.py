@@ -46,10 +46,14 @@ def spoken(docs: DataFrame) -> DataFrame:
     return rows.withColumn("sizes", F.transform("words", lambda w: F.size(w).cast("long")))
 
 
+def content_terms(words: Column) -> Column:
+    """The words that count in TF-IDF."""
+    return F.filter(F.transform(words, T.normalize_word), lambda w: (w != "") & ~w.isin(L.STOPWORDS))
+
+
 def compared_lines(rows: DataFrame, most: int) -> DataFrame:
     """Adds ``alike`` (see ``likeness``) for ranges up to ``most`` long."""
-    terms = F.transform("words", lambda ws: F.filter(F.transform(ws, T.normalize_word), lambda w: (w != "") & ~w.isin(L.STOPWORDS)))
-    return rows.withColumn("alike", likeness(terms, F.col("sizes"), WORD, PAUSE, TAIL, most))
+    return rows.withColumn("alike", likeness(F.transform("words", content_terms), F.col("sizes"), WORD, PAUSE, TAIL, most))
 
 
 def topic_bounds(rows: DataFrame) -> DataFrame:
