@@ -7,7 +7,7 @@ of ``range_rows``: the sums by name, f_x and l_x of the first and the last line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as L
@@ -123,3 +123,21 @@ def range_rows(rows: DataFrame, low: int, high: int) -> DataFrame:
         "doc_id", "s", "last.e", "start_cs", "last.end_cs", (F.col("last.end_cs") - F.col("start_cs")).alias("span_cs"), *[R.range_sum(x) for x in R.SUMS], *[f"f_{c}" for c in FIRST], *[F.col(f"last.{c}").alias(f"l_{c}") for c in LAST],
         "last.feelings", thin.alias("thin"), "same_block", "gap_before", "last.gap_after", F.get("alike.before", at).alias("before"), F.get("alike.earlier", at).alias("earlier"),
     )
+
+
+def rows_of(rows: DataFrame, ranges: DataFrame, high: int) -> DataFrame:
+    """As ``range_rows`` for given ``ranges`` (doc_id, s, e), up to ``high`` long, over ``lines``: their first and last lines are joined.
+
+    A range of one line is like nothing: it has no range ahead to be compared.
+    """
+    frame = Window.partitionBy("doc_id").orderBy("start_cs").rangeBetween(0, high)
+    firsts = rows.select("doc_id", F.col("idx").alias("s"), "start_cs", "p", "alike", "content", "same_block", "gap_before", *[F.col(c).alias(f"f_{c}") for c in FIRST], F.collect_list(F.struct("idx", "feeling")).over(frame).alias("felt"))
+    lasts = rows.select("doc_id", F.col("idx").alias("e"), F.struct("end_cs", "upto", "content", "gap_after", *LAST).alias("last"))
+    rows = ranges.select("doc_id", "s", "e").join(firsts, ["doc_id", "s"]).join(lasts, ["doc_id", "e"])
+    at = (F.col("e") - F.col("s") - 1).cast("int")
+    feelings = F.transform(F.filter("felt", lambda z: z["idx"] <= F.col("e")), lambda z: z["feeling"])
+    thin = F.col("f_deictic") & (F.size(F.array_union("content", "last.content")) < 5)
+    return rows.select(
+        "doc_id", "s", "e", "start_cs", "last.end_cs", (F.col("last.end_cs") - F.col("start_cs")).alias("span_cs"), *[R.range_sum(x) for x in R.SUMS], *[f"f_{c}" for c in FIRST], *[F.col(f"last.{c}").alias(f"l_{c}") for c in LAST],
+        feelings.alias("feelings"), thin.alias("thin"), "same_block", "gap_before", "last.gap_after", F.get("alike.before", at).alias("before"), F.coalesce(F.get("alike.earlier", at), F.lit(0)).alias("earlier"),
+    )

@@ -9,6 +9,7 @@ from tessera.functions import lexicon as L
 from tessera.functions import text as T
 from tessera.operators import greedy, scoring
 from tessera.operators import transcript as R
+from tessera.operators.bounds import optimise_bounds
 from tessera.operators.duplicates import checkpoints, dropped_in_rounds
 from tessera.operators.similarity import likeness_ahead
 from tessera.plans.base import query, table
@@ -77,17 +78,21 @@ def scored(spark, sf_dir) -> DataFrame:
     return scoring.scored(scoring.range_rows(lines(spark, sf_dir), LOW, HIGH), LOW)
 
 
-def best(spark, sf_dir) -> DataFrame:
-    """The best range of each start, the shorter one on a tie."""
+def best_of(rows: DataFrame) -> DataFrame:
+    """The best range of each start among scored ones, the shorter one on a tie."""
     # one number orders and carries what is wanted, so that the maximum is a hash aggregate: 20, 10, 13 and 14 bits
     size = F.col("e") - F.col("s")
     packed = ((F.col("raw") * 1024 + (1023 - size)) * 8192 + F.col("span_cs")) * 16384 + F.col("context_dependency")
-    found = scored(spark, sf_dir).groupBy("doc_id", "s").agg(F.max(packed).alias("top"), F.min("start_cs").alias("start_cs"), F.max("low_confidence").alias("low_confidence"))
+    found = rows.groupBy("doc_id", "s").agg(F.max(packed).alias("top"), F.min("start_cs").alias("start_cs"), F.max("low_confidence").alias("low_confidence"))
     bits = lambda low, n: F.shiftright("top", low) % (1 << n)
     found = found.select("doc_id", "s", (F.col("s") + 1023 - bits(27, 10)).alias("e"), "start_cs", bits(14, 13).alias("span_cs"), F.shiftright("top", 37).alias("raw"), bits(0, 14).alias("context_dependency"), "low_confidence")
     return found.withColumn("end_cs", F.col("start_cs") + F.col("span_cs")).withColumn("score", F.expr(scoring.SCORE))
 
 
+def best(spark, sf_dir) -> DataFrame:
+    return best_of(scored(spark, sf_dir))
+
+
 def plain_ranges(spark, sf_dir) -> DataFrame:
     """Sampled ranges with their sums alone."""
     rows = R.clocked(R.counted(R.lines_of(R.spoken(table(spark, sf_dir, "documents")))), R.SUMS)
@@ -256,3 +261,18 @@ def deduplicated_ranges(spark, sf_dir):
     kept = ranges.join(gone, (ranges["doc_id"] == gone["doc_id"]) & (ranges["s"] == gone["lo"]), "left_anti").select("doc_id", F.col("s").alias("hi"), "score", "start_cs")
     of = found.join(kept, ["doc_id", "hi"]).groupBy("doc_id", F.col("lo").alias("s")).agg(best_first.alias("of"))
     return ranges.join(of, ["doc_id", "s"], "left").select("doc_id", "s", "e", "score", F.when(F.col("of").isNull(), "kept").otherwise("duplicate").alias("status"), F.col("of.hi").alias("duplicate_of"), F.coalesce("of.kind", F.lit("")).alias("code"))
+
+
+@query()
+def optimised_bounds(spark, sf_dir):
+    """The best range of each start with its edges moved to where a thought begins and ends, and its score there; tested against a plain loop.
+
+    The best ranges and the lines are written once, in the checkpoint folder: both are read twice.
+    """
+    checkpoints(spark)
+    own = lines(spark, sf_dir).checkpoint()
+    ranges = best_of(scoring.scored(scoring.range_rows(own, LOW, HIGH), LOW)).select("doc_id", "s", "e", "score").checkpoint()
+    found = optimise_bounds(own, ranges, LOW, HIGH)
+    there = scoring.scored(scoring.rows_of(own, found.select("doc_id", F.col("to_s").alias("s"), F.col("to_e").alias("e")).distinct(), HIGH), LOW)
+    there = there.select("doc_id", F.col("s").alias("to_s"), F.col("e").alias("to_e"), "start_cs", "end_cs", F.col("score").alias("new_score"))
+    return found.join(there, ["doc_id", "to_s", "to_e"]).join(ranges, ["doc_id", "s", "e"]).select("doc_id", "s", "e", "score", "to_s", "to_e", "start_cs", "end_cs", "new_score")

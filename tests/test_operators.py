@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import greedy
-from tessera.operators.timed import nearest_other, range_windows, sampled_windows
+from tessera.operators.timed import nearest_other, range_windows
+from tessera.operators.transcript import ranges_ahead
 
 
 def test_nearest_other_with_ties(spark):
@@ -40,9 +41,9 @@ def test_sampled_windows_are_picked_from_all(spark):
         run = list(run)
         m = len(run)
         want |= set(run) if m <= 14 else {run[int(k * (m - 1) / 13 + 0.5)] for k in range(14)}
-    got = sampled_windows(frame, 2000, 6000, ["w"], ["w"]).collect()
-    assert len(got) == len(want) and {(r["doc_id"], r["s"], r["e"]) for r in got} == want
-    assert all(r["s_w"] == 7 * r["s"] and r["e_w"] == 7 * r["e"] and 2000 <= r["span_cs"] <= 6000 for r in got)
+    got = ranges_ahead(frame, 2000, 6000, ["w"]).select("doc_id", F.col("idx").alias("s"), "start_cs", F.explode("picks").alias("e")).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["s"], r["e"]["idx"]) for r in got} == want
+    assert all(r["e"]["w"] == 7 * r["e"]["idx"] and 2000 <= r["e"]["end_cs"] - r["start_cs"] <= 6000 for r in got)
 
 
 def test_non_overlapping_compares_all_that_can_meet(spark):
