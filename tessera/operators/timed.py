@@ -49,3 +49,25 @@ def nearest_other(rows: DataFrame, key: str, time: str, tie: str, label: str, as
     found = rows.withColumns({"before": before, "after": after}).where(asking)
     near = F.array_min(F.array_compact(F.array(side(F.col("before"), -1), side(F.col("after"), 1))))
     return found.withColumn("near", near).drop("before", "after").where("near IS NOT NULL")
+
+
+def onto_segments(words: DataFrame, segments: DataFrame, key: str, least: int) -> DataFrame:
+    """Words (key, id, start, end) on the time that is left when only ``segments`` (key, a, b, disjoint) are kept: out_start and out_end.
+
+    A time inside a segment moves back by all that was removed before it.  A word with neither end inside is dropped; one that starts
+    outside starts where it ends, one that ends outside (or before it starts) lasts as long as before, ``least`` at least.  The segment
+    that holds a time is the last one that begins by then: a running last over both in order of time, so no pair of words and segments is made.
+    """
+    order = Window.partitionBy(key).orderBy("a")
+    kept = segments.select(key, "a", "b", F.coalesce(F.sum(F.col("b") - F.col("a")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("out"))
+    edges = F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("t")), F.struct(F.lit(1).alias("side"), F.col("end").alias("t")))
+    asked = words.select(key, "id", (F.col("end") - F.col("start")).alias("lasts"), F.explode(edges).alias("x")).select(key, "id", "lasts", "x.side", "x.t")
+    both = asked.unionByName(kept.select(key, F.col("a").alias("t"), F.struct("a", "b", "out").alias("segment")), allowMissingColumns=True)
+    # at one time the segment comes first: its bounds are inside
+    running = Window.partitionBy(key).orderBy("t", F.col("side").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("held", F.last("segment", ignorenulls=True).over(running)).where("side IS NOT NULL")
+    there = F.when(F.col("t") <= F.col("held.b"), F.col("held.out") + F.col("t") - F.col("held.a"))
+    side = lambda k: F.max(F.when(F.col("side") == k, there))
+    rows = both.groupBy(key, "id", "lasts").agg(side(0).alias("s"), side(1).alias("e")).where("s IS NOT NULL OR e IS NOT NULL")
+    rows = rows.withColumn("out_start", F.coalesce("s", "e"))
+    return rows.select(key, "id", "out_start", F.when(F.col("e") >= F.col("out_start"), F.col("e")).otherwise(F.col("out_start") + F.greatest("lasts", F.lit(least))).alias("out_end"))

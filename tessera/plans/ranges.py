@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import greedy
-from tessera.operators.timed import by_sentence, nearest_other, range_windows, timed_sentences
+from tessera.operators.timed import by_sentence, nearest_other, onto_segments, range_windows, timed_sentences
 from tessera.plans.base import query, table
 from tessera.plans.text import TIMED_SQL
 
@@ -76,6 +76,27 @@ def coarsen_gaps(spark, sf_dir):
     return s.groupBy("user_id", "part").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
+@query("""WITH ev AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000000 AS t FROM events), p AS (SELECT user_id, event_id, t AS a, t + 200000 AS b FROM ev WHERE event_type = 'purchase'),
+m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM p), g AS (SELECT *, sum(CASE WHEN seen IS NULL OR a > seen THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, event_id) AS island FROM m),
+k AS (SELECT user_id, min(a) AS a, max(b) AS b FROM g GROUP BY user_id, island), seg AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM k),
+w AS (SELECT user_id, event_id AS id, t AS s, t + 3600 * (1 + event_id % 40) AS e FROM ev WHERE event_type <> 'purchase'),
+h AS (SELECT w.user_id, w.id, w.e - w.s AS lasts, x.o + w.s - x.a AS os, y.o + w.e - y.a AS oe FROM w LEFT JOIN seg x ON x.user_id = w.user_id AND w.s BETWEEN x.a AND x.b LEFT JOIN seg y ON y.user_id = w.user_id AND w.e BETWEEN y.a AND y.b),
+r AS (SELECT user_id, id, coalesce(os, oe) AS s, CASE WHEN oe >= coalesce(os, oe) THEN oe ELSE coalesce(os, oe) + greatest(lasts, 60) END AS e FROM h WHERE os IS NOT NULL OR oe IS NOT NULL)
+SELECT user_id, id, s::BIGINT AS out_start, (CASE WHEN e > lead(s) OVER o THEN greatest(s + 30, lead(s) OVER o) ELSE e END)::BIGINT AS out_end FROM r WINDOW o AS (PARTITION BY user_id ORDER BY s, id)""")
+def remapped_spans(spark, sf_dir):
+    """Each user's other events on the time left when only the spans of purchases are kept; what overlaps the next is cut there."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
+    own = Window.partitionBy("user_id")
+    kept = ev.where("event_type = 'purchase'").select("user_id", "event_id", F.col("t").alias("a"), (F.col("t") + 200_000).alias("b"))
+    kept = kept.withColumn("seen", F.max("b").over(own.orderBy("a", "event_id").rowsBetween(Window.unboundedPreceding, -1)))
+    kept = kept.withColumn("island", F.sum(F.when(F.col("seen").isNull() | (F.col("a") > F.col("seen")), 1).otherwise(0)).over(own.orderBy("a", "event_id")))
+    kept = kept.groupBy("user_id", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    words = ev.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("id"), F.col("t").alias("start"), (F.col("t") + 3600 * (1 + F.col("event_id") % 40)).alias("end"))
+    found = onto_segments(words, kept, "user_id", 60)
+    after = F.lead("out_start").over(own.orderBy("out_start", "id"))
+    return found.select("user_id", "id", "out_start", F.when(F.col("out_end") > after, F.greatest(F.col("out_start") + 30, after)).otherwise(F.col("out_end")).alias("out_end"))
+
+
 @query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t FROM events), p AS (SELECT user_id, event_id, t FROM e WHERE event_type = 'purchase'), o AS (SELECT * FROM e WHERE event_type <> 'purchase')
 SELECT p.user_id, p.event_id, arg_min(o.event_type, (abs(o.t - p.t), o.t, o.event_id)) AS near_type, min(abs(o.t - p.t)) AS distance FROM p JOIN o USING (user_id) GROUP BY ALL""")
 def nearest_asof(spark, sf_dir):
