@@ -173,9 +173,13 @@ def jaccard_adjacent(spark, sf_dir):
     return s.select("doc_id", "idx", T.per_myriad(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("similarity"))
 
 
-@query("""SELECT c, coalesce((CASE WHEN regexp_matches(c, p) THEN ((coalesce(nullif(regexp_extract(c, p, 1), ''), '0')::BIGINT * 60 + regexp_extract(c, p, 2)::BIGINT) * 60 + regexp_extract(c, p, 3)::BIGINT) * 1000
- + CASE WHEN regexp_extract(c, p, 4) = '' THEN 0 ELSE rpad(regexp_extract(c, p, 4), 3, '0')::BIGINT END ELSE 0 END), 0)::BIGINT AS ms
-FROM (VALUES ('00:01:02,5'), ('1:02'), ('10:00:00.250'), ('nonsense'), ('0:07.07'), ('1:2')) v(c), (SELECT '^(?:(\\d+):)?(\\d{1,2}):(\\d{2})(?:[,.](\\d{1,3}))?$' AS p)""")
+@query(f"""{TIMED_SQL}, o AS (SELECT doc_id, idx, printf('%02d:%02d:%02d,%03d', start_cs // 360000, (start_cs // 6000) % 60, (start_cs // 100) % 60, start_cs % 100 * 10) AS c FROM sent),
+f AS (SELECT doc_id, idx, unnest([0, 1, 2, 3, 4]) AS form, unnest([c, replace(c, ',', '.'), substr(c, 4), left(c, 8), substr(c, 8)]) AS c FROM o), v AS (SELECT *, '^(?:(\\d+):)?(\\d{{1,2}}):(\\d{{2}})(?:[,.](\\d{{1,3}}))?$' AS p FROM f)
+SELECT doc_id, idx, form, coalesce((CASE WHEN regexp_matches(c, p) THEN ((coalesce(nullif(regexp_extract(c, p, 1), ''), '0')::BIGINT * 60 + regexp_extract(c, p, 2)::BIGINT) * 60 + regexp_extract(c, p, 3)::BIGINT) * 1000
+ + CASE WHEN regexp_extract(c, p, 4) = '' THEN 0 ELSE rpad(regexp_extract(c, p, 4), 3, '0')::BIGINT END ELSE 0 END), 0)::BIGINT AS ms FROM v""")
 def clock_parse(spark, sf_dir):
-    rows = spark.createDataFrame([("00:01:02,5",), ("1:02",), ("10:00:00.250",), ("nonsense",), ("0:07.07",), ("1:2",)], "c string")
-    return rows.select("c", T.clock_to_ms(F.col("c")).alias("ms"))
+    """Every sentence's start as a clock in five spellings (the last is none), read back."""
+    opens = T.clock(F.col("start_cs"))
+    forms = F.array(opens, F.replace(opens, F.lit(","), F.lit(".")), F.substr(opens, F.lit(4)), F.substring(opens, 1, 8), F.substr(opens, F.lit(8)))
+    s = timed_sentences(table(spark, sf_dir, "documents")).select("doc_id", "idx", F.posexplode(forms).alias("form", "c"))
+    return s.select("doc_id", "idx", "form", T.clock_to_ms(F.col("c")).alias("ms"))

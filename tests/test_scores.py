@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lexicon import MARKERS, PENALTIES, STOPWORDS, WEIGHTS
 from tessera.functions.phrases import phrase_counts
-from tessera.operators import bounds, scoring, similarity
+from tessera.operators import bounds, chunks, scoring, similarity
 from tessera.operators import transcript as R
 from tessera.operators.duplicates import dropped_in_rounds
 from tessera.plans import catalog, scores
@@ -238,3 +238,32 @@ def test_optimised_bounds(spark):
         assert (r["to_s"], r["to_e"]) == plain_bounds(lines[r["doc_id"]], r["s"], r["e"], 2000, 6000)
         assert known.get((r["doc_id"], r["to_s"], r["to_e"]), r["new_score"]) == r["new_score"]
     assert any((r["s"], r["e"]) != (r["to_s"], r["to_e"]) for r in got)
+
+
+def plain_chunks(lines, most_chars, most=40):
+    """The packing of one document, a line at a time."""
+    budget = max(most_chars, sum(len(x["sentence"]) for x in lines) // most)
+    out, held, size, fresh = [], [], 0, 0
+    for i, x in enumerate(lines):
+        t = x["start_cs"]
+        text = f"[{t // 360000:02d}:{t // 6000 % 60:02d}:{t // 100 % 60:02d}] {x['sentence'].strip(' ')}"
+        if held and (size + len(text) > budget or (x["opens"] and size > budget * 0.55)):
+            out.append((held[0][0], i - 1, lines[fresh]["start_cs"], lines[i - 1]["end_cs"], "\n".join(h[1] for h in held)))
+            held, fresh = held[-2:], i
+            size = sum(len(h[1]) for h in held)
+        held.append((i, text))
+        size += len(text) + 1
+    out.append((held[0][0], len(lines) - 1, lines[fresh]["start_cs"], lines[-1]["end_cs"], "\n".join(h[1] for h in held)))
+    return out if len(out) <= most else [out[int(j * (len(out) / most))] for j in range(most)]
+
+
+@pytest.mark.parametrize(("most_chars", "most"), [(1500, 40), (120, 400), (100, 5)])
+def test_chunks(spark, most_chars, most):
+    rows = R.clocked(R.lines_of(scoring.opened(spark.read.parquet(f"{SF}/documents.parquet"), 6000), "opens"), [])
+    each = F.array_sort(F.collect_list(F.struct("idx", "sentence", "start_cs", "end_cs", "opens")))
+    docs = rows.groupBy("doc_id").agg(each.alias("lines")).withColumn("opens", F.transform("lines", lambda x: x["opens"])).cache()
+    want = {(d["doc_id"], k): c for d in docs.collect() for k, c in enumerate(plain_chunks(d["lines"], most_chars, most))}
+    got = {(r["doc_id"], r["chunk"]): (r["first"], r["last"], r["start_cs"], r["end_cs"], r["text"]) for r in chunks.chunks(docs, most_chars, most).collect()}
+    assert got == want
+    if most_chars == 1500:
+        assert {(r["doc_id"], r["chunk"]): r["text"] for r in catalog.QUERIES["prompt_chunks"](spark, SF).collect()} == {k: c[4] for k, c in want.items()}
