@@ -45,3 +45,12 @@ STOPWORDS = (
 WEIGHTS = {"hook": 20, "standalone": 20, "story": 10, "payoff": 10, "engagement": 15, "emotion": 10, "novelty": 10, "shareability": 5}
 PENALTIES = {"context_dependency": 30, "abrupt_start": 14, "abrupt_end": 12, "filler": 10, "low_confidence": 18, "repetition": 14, "weak_delivery": 12}
 CURVE = 0.8
+
+# What each factor and penalty is called where a choice is explained.
+LABELS = {
+    "hook": "Strong opening hook", "emotion": "High emotional intensity", "curiosity": "Open curiosity gap", "standalone": "Complete and understandable on its own",
+    "story": "Full story arc", "payoff": "Clear payoff", "novelty": "Fresh angle, not repeated elsewhere", "shareability": "Quotable and shareable", "controversy": "Opinionated - drives comments",
+    "practical": "Actionable advice", "humour": "Funny moment", "insight": "Explains the underlying reason", "unexpectedness": "Unexpected turn", "engagement": "Strong delivery and pacing",
+    "context_dependency": "Needs earlier context", "abrupt_start": "Starts mid-thought", "abrupt_end": "Ends mid-thought", "filler": "Rambling / filler-heavy", "low_confidence": "Unclear audio or wording",
+    "repetition": "Repeats earlier material", "weak_delivery": "Low speaking energy",
+}

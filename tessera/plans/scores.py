@@ -290,3 +290,56 @@ def prompt_chunks(spark, sf_dir):
     each = F.array_sort(F.collect_list(F.struct("idx", "sentence", "start_cs", "end_cs", "opens")))
     docs = rows.groupBy("doc_id").agg(each.alias("lines")).withColumn("opens", F.transform("lines", lambda x: x["opens"]))
     return chunks(docs, 1_500)
+
+
+#: A factor counts as a reason from 0.55 (as a signal from 0.45), a penalty from 0.35 (as a caveat from 0.4), and weighs 0.55 of a factor; a range must stand alone by 0.3, need less than 0.62 of context and be 0.3 sure.
+REASON, SIGNAL, AGAINST, CAVEAT, NEEDS, ALONE, UNSURE = 5_500, 4_500, 3_500, 4_000, 6_200, 3_000, 7_000
+REJECTED = f"CASE WHEN context_dependency >= {NEEDS} THEN 'context_dependency' WHEN standalone < {ALONE} THEN 'not_standalone' WHEN low_confidence >= {UNSURE} THEN 'low_confidence' ELSE '' END"
+
+
+def listed_sql(entries: list[tuple[str, str, int]], most: int, separator: str) -> str:
+    """The texts of (key, text, order) whose key is positive, by falling key."""
+    items = ", ".join(f"{{'k': -({k}), 'o': {o}, 'l': {t}}}" for k, t, o in entries)
+    return f"array_to_string(list_transform(list_sort(list_filter([{items}], lambda x: x.k < 0))[1:{most}], lambda x: x.l), '{separator}')"
+
+
+def listed(entries: list[tuple[str, str, int]], most: int, separator: str):
+    items = F.array(*[F.struct(F.expr(f"CAST(-({k}) AS BIGINT)").alias("k"), F.lit(o).alias("o"), F.expr(t).alias("l")) for k, t, o in entries])
+    return F.array_join(F.transform(F.slice(F.array_sort(F.filter(items, lambda x: x["k"] < 0)), 1, most), lambda x: x["l"]), separator)
+
+
+def from_least(name: str, least: int, weight: int = 1) -> str:
+    return f"CASE WHEN {name} >= {least} THEN {weight} * {name} ELSE 0 END"
+
+
+def with_value(name: str, call: str) -> str:
+    return f"concat('{name} ', {call}('%d.%02d', CAST(floor(({name} + 50) / 10000e0) AS BIGINT), CAST(floor(({name} + 50) / 100e0) AS BIGINT) % 100))"
+
+
+LABELLED = [(from_least(k, REASON, 100), quoted([L.LABELS[k]]), i) for i, k in enumerate(scoring.FACTORS)] + [(from_least(k, AGAINST, 55), quoted([L.LABELS[k] + " (penalty)"]), 50 + i) for i, k in enumerate(scoring.PENALTIES)]
+VALUED = lambda call: ([(from_least(k, SIGNAL), with_value(k, call), i) for i, k in enumerate(scoring.FACTORS)], [(from_least(k, CAVEAT), with_value(k, call), i) for i, k in enumerate(scoring.PENALTIES)])
+
+
+@query(f"{BEST_SQL} SELECT doc_id, s, e, {listed_sql(LABELLED, 9, '; ')} AS why, {listed_sql(VALUED('printf')[0], 3, ', ')} AS signals, {listed_sql(VALUED('printf')[1], 2, ', ')} AS caveats, {REJECTED} AS rejected FROM best")
+def range_reasons(spark, sf_dir):
+    """For the best range of each start: why it was chosen (strongest first, penalties after their weight), its three strongest signals, two caveats, and what rejects it."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "s").orderBy(F.desc("raw"), "e"))
+    rows = scored(spark, sf_dir).withColumn("r", first).where("r = 1")
+    signals, caveats = VALUED("format_string")
+    return rows.select("doc_id", "s", "e", listed(LABELLED, 9, "; ").alias("why"), listed(signals, 3, ", ").alias("signals"), listed(caveats, 2, ", ").alias("caveats"), F.expr(REJECTED).alias("rejected"))
+
+
+@query(f"""{BEST_SQL}, v AS (SELECT *, {REJECTED} AS code FROM best)
+SELECT doc_id, count(*) AS discovered, count(*) FILTER (code = 'context_dependency') AS rejected_context, count(*) FILTER (code NOT IN ('', 'context_dependency')) AS rejected_other, count(*) FILTER (code = '') AS valid, count(*) FILTER (score >= {NEEDED}) AS threshold_pass, count(*) FILTER (score < {NEEDED}) AS below_threshold,
+max(score)::BIGINT AS best_score, floor(sum(score) * 10 / count(*) + 5e-1)::BIGINT AS average_score, sum(span_cs)::BIGINT AS covered_cs, count(*) FILTER (score >= 700) AS above_70, count(*) FILTER (score >= 800) AS above_80, count(*) FILTER (score >= 900) AS above_90 FROM v GROUP BY doc_id""")
+def discovery_report(spark, sf_dir):
+    """Counters of each document's best ranges: found, rejected by code, above and below the needed score, and their scores."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "s").orderBy(F.desc("raw"), "e"))
+    rows = scored(spark, sf_dir).withColumn("r", first).where("r = 1").select("doc_id", "score", "span_cs", F.expr(REJECTED).alias("code"))
+    n = F.count_if
+    score = F.col("score")
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("discovered"), n(F.col("code") == "context_dependency").alias("rejected_context"), n(~F.col("code").isin("", "context_dependency")).alias("rejected_other"), n(F.col("code") == "").alias("valid"),
+        n(score >= NEEDED).alias("threshold_pass"), n(score < NEEDED).alias("below_threshold"), F.max("score").alias("best_score"), F.floor(F.sum("score") * 10 / F.count(F.lit(1)) + 0.5).cast("long").alias("average_score"), F.sum("span_cs").alias("covered_cs"),
+        n(score >= 700).alias("above_70"), n(score >= 800).alias("above_80"), n(score >= 900).alias("above_90"),
+    )
