@@ -18,6 +18,8 @@ WPM = "(tokens * 6000e0 / span_cs)"
 PACE = f"(CASE WHEN {WPM} <= 0e0 THEN 0e0 WHEN {WPM} < 120e0 THEN greatest(1e0 - (120e0 - {WPM}) / 110e0, 0e0) WHEN {WPM} <= 190e0 THEN 1e0 ELSE greatest(1e0 - ({WPM} - 190e0) / 160e0, 0e0) END)"
 #: Without confidences of words a transcript counts as 0.7 sure.
 SURE = "7e-1"
+#: A range that opens with a reference is thin if its first and last line have fewer words of content.
+THIN = 5
 
 
 def when(condition: str, value: str, other: str = "0e0") -> str:
@@ -95,6 +97,8 @@ def lines(docs: DataFrame, most: int) -> DataFrame:
     rows = R.clocked(rows, R.SUMS)
     gap = lambda a, b: (a - b).cast("long")
     return rows.withColumns({
+        # only lines of few words of content are ever counted together
+        "content": F.when(F.size("content") < THIN, F.col("content")),
         "feeling": F.col("emotion_pos") - F.col("emotion_neg"), "same_block": ~F.col("opens") & (F.col("idx") > 0),
         "gap_before": gap(F.col("start_cs"), F.lag("end_cs").over(R.by_line())), "gap_after": gap(F.lead("start_cs").over(R.by_line()), F.col("end_cs")),
     })
@@ -118,7 +122,7 @@ def range_rows(rows: DataFrame, low: int, high: int) -> DataFrame:
     firsts = [F.col(c).alias(f"f_{c}") for c in FIRST]
     rows = rows.select("doc_id", F.col("idx").alias("s"), "start_cs", "p", "alike", "content", "same_block", "gap_before", *firsts, F.explode_outer("lasts").alias("last")).where("last IS NOT NULL")
     at = (F.col("last.e") - F.col("s") - 1).cast("int")
-    thin = F.col("f_deictic") & (F.size(F.array_union("content", "last.content")) < 5)
+    thin = F.col("f_deictic") & F.coalesce(F.size(F.array_union("content", "last.content")) < THIN, F.lit(False))
     return rows.select(
         "doc_id", "s", "last.e", "start_cs", "last.end_cs", (F.col("last.end_cs") - F.col("start_cs")).alias("span_cs"), *[R.range_sum(x) for x in R.SUMS], *[f"f_{c}" for c in FIRST], *[F.col(f"last.{c}").alias(f"l_{c}") for c in LAST],
         "last.feelings", thin.alias("thin"), "same_block", "gap_before", "last.gap_after", F.get("alike.before", at).alias("before"), F.get("alike.earlier", at).alias("earlier"),
@@ -136,7 +140,7 @@ def rows_of(rows: DataFrame, ranges: DataFrame, high: int) -> DataFrame:
     rows = ranges.select("doc_id", "s", "e").join(firsts, ["doc_id", "s"]).join(lasts, ["doc_id", "e"])
     at = (F.col("e") - F.col("s") - 1).cast("int")
     feelings = F.transform(F.filter("felt", lambda z: z["idx"] <= F.col("e")), lambda z: z["feeling"])
-    thin = F.col("f_deictic") & (F.size(F.array_union("content", "last.content")) < 5)
+    thin = F.col("f_deictic") & F.coalesce(F.size(F.array_union("content", "last.content")) < THIN, F.lit(False))
     return rows.select(
         "doc_id", "s", "e", "start_cs", "last.end_cs", (F.col("last.end_cs") - F.col("start_cs")).alias("span_cs"), *[R.range_sum(x) for x in R.SUMS], *[f"f_{c}" for c in FIRST], *[F.col(f"last.{c}").alias(f"l_{c}") for c in LAST],
         feelings.alias("feelings"), thin.alias("thin"), "same_block", "gap_before", "last.gap_after", F.get("alike.before", at).alias("before"), F.coalesce(F.get("alike.earlier", at), F.lit(0)).alias("earlier"),
