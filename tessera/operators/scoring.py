@@ -125,7 +125,8 @@ def range_rows(rows: DataFrame, low: int, high: int) -> DataFrame:
     thin = F.col("f_deictic") & F.coalesce(F.size(F.array_union("content", "last.content")) < THIN, F.lit(False))
     return rows.select(
         "doc_id", "s", "last.e", "start_cs", "last.end_cs", (F.col("last.end_cs") - F.col("start_cs")).alias("span_cs"), *[R.range_sum(x) for x in R.SUMS], *[f"f_{c}" for c in FIRST], *[F.col(f"last.{c}").alias(f"l_{c}") for c in LAST],
-        "last.feelings", thin.alias("thin"), "same_block", "gap_before", "last.gap_after", F.get("alike.before", at).alias("before"), F.get("alike.earlier", at).alias("earlier"),
+        # as in ``scored``, a lambda keeps these many columns out of one fused method
+        F.filter("last.feelings", lambda x: x.isNotNull()).alias("feelings"), thin.alias("thin"), "same_block", "gap_before", "last.gap_after", F.get("alike.before", at).alias("before"), F.get("alike.earlier", at).alias("earlier"),
     )
 
 
