@@ -107,7 +107,7 @@ def test_score_of_a_talk(spark):
         feelings = [x["emotion_pos"] - x["emotion_neg"] for x in own]
         hook = 0.3 + 0.22 * bool(first["questions"] or first["asks"]) + (min(0.2 + 0.04 * first["m_curiosity"], 0.3) if first["m_curiosity"] else 0) + 0.08 * bool(first["m_intensity"]) + 0.07 * bool(first["second_person"]) + 0.06 * bool(first["numbers"])
         hook += (0.08 if 4 <= first["tokens"] <= 16 else -0.12 if first["tokens"] > 26 else 0) - 0.15 * bool(first["m_continuation"])
-        content = {w for x in (first, last) for w in x["content"] or "12345"}
+        content = {w for x in (first, last) for w in ("12345" if x["content"] is None else x["content"])}  # None: five or more
         alone = 0.65 - 0.12 * first["deictic"] - 0.08 * first["conjunction"] - 0.08 * (first["deictic"] and len(content) < 5) + (0.18 if last["terminal"] else -0.1) - 0.22 * bool(n["m_continuation"]) - (0.25 if minutes < 1 / 3 else 0)
         want = {
             "hook": hook, "standalone": alone,
