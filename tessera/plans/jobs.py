@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.lifecycle import transitions
 from tessera.plans.base import query, table
 
 
@@ -202,3 +203,36 @@ def owners_by_region(spark, sf_dir):
     dims = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
     c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.sum(F.floor(F.col("c_acctbal") * 100)).alias("cents"))
     return c.join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", "customers", F.floor(F.col("cents") / 100).cast("long").alias("balance"))
+
+
+ACTION = "CASE event_type WHEN 'signup' THEN 'claim' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'retry' WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'finish' ELSE 'claim' END WHEN 'view' THEN CASE event_id % 3 WHEN 0 THEN 'cancel' WHEN 1 THEN 'stop' ELSE 'recover' END END"
+#: The state after an action, or NULL where it is refused.
+AFTER_SQL = """CASE WHEN j.action = 'claim' AND r.after = 'queued' THEN 'running' WHEN j.action = 'finish' AND r.after IN ('running', 'cancelling') THEN 'succeeded' WHEN j.action = 'fail' AND r.after IN ('running', 'cancelling') THEN 'failed'
+WHEN j.action = 'cancel' THEN CASE r.after WHEN 'queued' THEN 'cancelled' WHEN 'running' THEN 'cancelling' ELSE r.after END WHEN j.action = 'stop' AND r.after = 'cancelling' THEN 'cancelled' WHEN j.action = 'retry' AND r.after IN ('failed', 'cancelled') THEN 'queued'
+WHEN j.action = 'recover' THEN CASE WHEN r.after = 'running' AND r.starts < 2 THEN 'queued' WHEN r.after IN ('running', 'cancelling') THEN 'failed' ELSE r.after END END"""
+LIVES_SQL = f"""WITH RECURSIVE j AS (SELECT user_id AS job, event_id, epoch_us(ts) AS us, {ACTION} AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND {ACTION} IS NOT NULL),
+r AS (SELECT job, 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS action, '' AS before, 'queued' AS after, true AS accepted, 0 AS starts FROM j WHERE i = 1
+UNION ALL SELECT j.job, j.i, j.event_id, j.action, r.after, coalesce({AFTER_SQL}, r.after), {AFTER_SQL} IS NOT NULL, r.starts + (j.action = 'claim' AND r.after = 'queued')::INT FROM r JOIN j ON j.job = r.job AND j.i = r.i + 1)"""
+
+
+def job_events(spark, sf_dir):
+    """Events as those of a job a user: the type stands for the action."""
+    return events(spark, sf_dir).select(F.col("user_id").alias("job"), "event_id", "ts", F.expr(ACTION).alias("action"))
+
+
+@query(f"{LIVES_SQL} SELECT job, event_id, action, before, after, accepted FROM r WHERE i > 0")
+def job_transitions(spark, sf_dir):
+    """What each event does to its job, in order of time: the state before and after, and whether it is accepted."""
+    return transitions(job_events(spark, sf_dir)).drop("at")
+
+
+@query(f"""{LIVES_SQL}, t AS (SELECT r.*, us FROM r JOIN j USING (job, event_id) WHERE r.i > 0)
+SELECT job, arg_max(after, (us, event_id)) AS state, count(*) FILTER (NOT accepted) AS refused, count(*) FILTER (action = 'claim' AND accepted) AS starts, count(*) FILTER (action = 'retry' AND accepted) AS retries, count(*) FILTER (before <> 'queued' AND action = 'recover' AND after = 'queued') AS resumed,
+arg_max(after, (us, event_id)) IN ('failed', 'cancelled') AS retryable, arg_max(after, (us, event_id)) IN ('succeeded', 'cancelled') AS purgeable, arg_max(after, (us, event_id)) IN ('queued', 'running', 'cancelling') AS active FROM t GROUP BY job""")
+def job_outcomes(spark, sf_dir):
+    """Each job's last state, what it was refused, how often it started, was retried and resumed, and what may be done with it."""
+    found = transitions(job_events(spark, sf_dir)).groupBy("job").agg(
+        F.max_by("after", F.struct("at", "event_id")).alias("state"), F.count_if(~F.col("accepted")).alias("refused"), F.count_if((F.col("action") == "claim") & F.col("accepted")).alias("starts"),
+        F.count_if((F.col("action") == "retry") & F.col("accepted")).alias("retries"), F.count_if((F.col("before") != "queued") & (F.col("action") == "recover") & (F.col("after") == "queued")).alias("resumed"),
+    )
+    return found.withColumns({"retryable": F.col("state").isin("failed", "cancelled"), "purgeable": F.col("state").isin("succeeded", "cancelled"), "active": F.col("state").isin("queued", "running", "cancelling")})
