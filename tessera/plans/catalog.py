@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import jobs, ranges, scores, services, text, vectors  # noqa: F401  (they register their queries)
+from tessera.plans import jobs, ranges, scores, services, tables, text, vectors  # noqa: F401  (they register their queries)
 from tessera.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "top_clips"
