@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.operators import transcript as R
 from tessera.operators.duplicates import checkpoints
-from tessera.operators.timed import timed_sentences
 from tessera.plans.base import query, table
 from tessera.plans.text import TIMED_SQL
 from tessera.sinks.keyed import KeyedTable, attach, delete_cascade
@@ -24,7 +24,7 @@ LINES_SQL = f"{TIMED_SQL}, bad AS (SELECT DISTINCT doc_id FROM labels WHERE toxi
 
 def _rewritten(spark, sf_dir) -> dict[str, KeyedTable]:
     """Lines, long lines and counts of all documents; toxic ones get a single line instead, those of low quality are deleted."""
-    lines = timed_sentences(table(spark, sf_dir, "documents")).select("doc_id", "idx", "sentence", "n")
+    lines = R.lines_of(R.spoken(table(spark, sf_dir, "documents"))).select("doc_id", "idx", "sentence", "n")
     tables = {name: fresh(spark, name, "doc_id") for name in ("lines", "long", "counts")}
     tables["lines"].create(lines)
     held = tables["lines"].read(spark)

@@ -16,7 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.duplicates import checkpoints
+
 BUCKET = "key_bucket"
+#: Keys of at most this many bytes are sent to every task; more are joined by a shuffle.
+BROADCAST = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -30,10 +34,12 @@ class KeyedTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, buckets: DataFrame) -> None:
-        markers = buckets.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != BUCKET], BUCKET)
-        # a rebalance splits a bucket of many rows over tasks and joins small ones
-        rows.unionByName(markers).hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+    def _write(self, new: DataFrame, buckets: DataFrame, held: DataFrame | None = None) -> None:
+        markers = buckets.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema.fields if f.name != BUCKET], BUCKET)
+        # a rebalance splits a bucket of many rows over tasks and joins small ones; what was held comes in its buckets and is not moved
+        rows = new.unionByName(markers).hint("rebalance", BUCKET)
+        rows = rows if held is None else held.unionByName(rows)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def create(self, rows: DataFrame) -> None:
         """Write all of ``rows``; those without a key belong to nobody and are left out."""
@@ -48,14 +54,16 @@ class KeyedTable:
 
         Repeated and null keys count for nothing; rows of other keys are refused by being left out.
         """
-        keys = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct()
+        spark = keys.sparkSession
+        checkpoints(spark)
+        keys = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct().checkpoint()
         touched = keys.select(self._bucket().alias(BUCKET)).distinct()  # at most ``buckets`` rows
-        held = keys.sparkSession.read.parquet(self.path).join(F.broadcast(touched), BUCKET, "left_semi").where(F.col(self.key).isNotNull())
-        stay = held.join(keys, self.key, "left_anti")
-        if rows is not None:
-            columns = [c for c in held.columns if c != BUCKET]
-            stay = stay.unionByName(rows.select(*columns).join(keys, self.key, "left_semi").withColumn(BUCKET, self._bucket()))
-        self._write(stay, touched)
+        size = keys.agg(F.sum(F.octet_length(F.col(self.key).cast("string")) + 16)).first()[0] or 0
+        named = F.broadcast(keys) if size <= BROADCAST else keys
+        held = spark.read.parquet(self.path).join(F.broadcast(touched), BUCKET, "left_semi").where(F.col(self.key).isNotNull())
+        columns = [c for c in held.columns if c != BUCKET]
+        new = held.limit(0) if rows is None else rows.select(*columns).join(named, self.key, "left_semi").withColumn(BUCKET, self._bucket())
+        self._write(new.select(*columns, BUCKET), touched, held.join(named, self.key, "left_anti"))
 
 
 def delete_cascade(keys: DataFrame, tables: list[KeyedTable]) -> None:
@@ -68,7 +76,8 @@ def delete_cascade(keys: DataFrame, tables: list[KeyedTable]) -> None:
 def attach(children: KeyedTable, derived: list[KeyedTable], headers: KeyedTable, rows: DataFrame, counted: dict[str, Column]) -> None:
     """Replace the children of all keys in ``rows``, delete what was derived from the old ones and write their counts into ``headers``.
 
-    ``counted`` names the header's columns that are aggregates over the new children; its other columns stay.
+    ``counted`` names the header's columns that are aggregates over the new children; its other columns stay.  ``rows`` are read more
+    than once and must not come from these tables.
     """
     spark = rows.sparkSession
     keys = rows.select(children.key).distinct()
