@@ -68,9 +68,8 @@ def plain_cues(files: DataFrame) -> DataFrame:
     return _valid(rows.withColumn("end_ms", F.coalesce("given", later)).drop("given", "both"))
 
 
-def read_cues(spark: SparkSession, path: str) -> DataFrame:
-    """All cue files under ``path``, each read by its suffix, without a byte-order mark."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+def cues_of(files: DataFrame) -> DataFrame:
+    """Cues of ``files`` (path, value), each read by its suffix."""
     suffix: Column = F.lower(F.substring_index("path", ".", -1))
     return (
         arrow_cues(files.where(suffix.isin("srt", "vtt")))
@@ -79,6 +78,12 @@ def read_cues(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_cues(spark: SparkSession, path: str) -> DataFrame:
+    """All cue files under ``path``, each read by its suffix, without a byte-order mark."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    return cues_of(files)
+
+
 def srt_lines(cues: DataFrame) -> DataFrame:
     """path, idx, block: each cue as a block of an SRT file."""
     at = lambda c: F.format_string("%02d:%02d:%02d,%03d", F.floor(F.col(c) / 3_600_000), F.floor(F.col(c) / 60_000) % 60, F.floor(F.col(c) / 1000) % 60, F.col(c) % 1000)
