@@ -1,6 +1,7 @@
 """Jobs as a state machine: blocks against a plain loop, and on a stream with a restart."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,17 @@ def test_stream_with_restart_late_rows_and_heartbeat(spark, tmp_path):
     }
     assert {1, 2} <= beats <= {1, 2, 9}
     assert (2, None, at(16)) in got and got[2, None, at(16)] == ("running", "running", "heartbeat")
+
+
+def test_stream_by_the_machines_clock_with_expiring_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(1, 1, NOON, "claim"), (1, 2, NOON, "retry"), (2, 3, NOON, "claim"), (2, 4, NOON + dt.timedelta(seconds=1), "fail")]
+    spark.createDataFrame(rows, "job long, event_id long, ts timestamp, action string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job long, event_id long, ts timestamp, action string").parquet(str(tmp_path / "in"))
+    # by this clock a query never runs out of batches, as timers may be due: it is stopped once its rows are there
+    q = followed(stream, 3_600_000, None, 3_600_000).writeStream.format("memory").queryName("by_machine").outputMode("append").start()
+    until = time.time() + 60
+    while time.time() < until and spark.table("by_machine").count() < 4:
+        time.sleep(1)
+    q.stop()
+    assert {(r["event_id"], r["after"], r["outcome"]) for r in spark.table("by_machine").collect()} == {(1, "running", "accepted"), (2, "running", "refused"), (3, "running", "accepted"), (4, "failed", "accepted")}
