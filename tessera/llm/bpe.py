@@ -1,8 +1,8 @@
 """Byte-level BPE with a transducer of frequent words.
 
 1.  Words (the pieces of the byte-level pattern) are counted over all
-    documents: each task counts its own, a shuffle by word adds up, and the
-    ``lexicon_size`` most frequent (a parameter; ties by the word's bytes) are
+    documents, each occurrence: each task counts its own, a shuffle by word adds
+    up, and the ``lexicon_size`` most frequent (a parameter; ties by the word's bytes) are
     taken to the driver.
 2.  Their ids are found by exact merging and the words, in byte order, are
     compiled into a minimal acyclic automaton: equal suffixes share states, and
@@ -13,7 +13,8 @@
 3.  A text is cut before every space that a non-space follows (no piece of the
     pattern crosses such a place).  A worker remembers the ids of chunks it has
     met; of new ones, all words walk the automaton at once, and those that it
-    does not have are merged exactly, again all at once.
+    does not have are merged exactly, again all at once.  The ids of many texts
+    are gathered in one step.
 4.  Decoding gathers the bytes of the ids and reads them as UTF-8.
 
 The result does not depend on which words are in the lexicon.
@@ -31,9 +32,9 @@ import hashlib
 import json
 import os
 import tempfile
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, whole_text
-from tessera.llm.encoding import Remembered, byte_letters
+from tessera.llm.encoding import Numbered, byte_letters, parts_ending, runs, sums_to
+from tessera.llm.shingles import portions
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,7 +54,8 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WHITE = "\t-\r \x85\xa0\u1680 - \u2028\u2029\u202f\u205f\u3000"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 CHUNK = regex.compile(rf"(?= [^{WHITE}])")
-UNEVEN = regex.compile(r" (?:\s|$)|[\x1c-\x1f]")
+#: Where there is one of these, a space may have no other character than a white one behind it.
+UNEVEN = [*(" " + x for x in map(chr, range(0x3001)) if x.isspace()), *"\x1c\x1d\x1e\x1f"]
 
 NO_RANK = np.int64(1 << 40)
 
@@ -159,13 +162,10 @@ class Merges:
         word, symbol = np.concatenate(done_word), np.concatenate(done_symbol)
         return symbol[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
-    def parts(self, ids: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """For each run of ids: them as little-endian u32, and their decimals each with a comma behind."""
-        ends = np.cumsum(counts)
-        packed, decimals = ids.astype("<u4").tobytes(), gather(self.decimals, self.decimal_starts[ids], self.decimal_lengths[ids])
-        to = np.concatenate([[0], np.cumsum(self.decimal_lengths[ids])])[np.concatenate([[0], ends])].tolist()
-        at = (4 * np.concatenate([[0], ends])).tolist()
-        return [(packed[a:b], decimals[c:d]) for a, b, c, d in zip(at[:-1], at[1:], to[:-1], to[1:], strict=True)]
+    def decimal(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The decimals of the ids, each with a comma behind, and how long each is."""
+        lengths = self.decimal_lengths[ids]
+        return gather(self.decimals, self.decimal_starts[ids], lengths), lengths
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.spelling, self.starts[ids], self.lengths[ids])
@@ -253,50 +253,69 @@ class Lexicon:
         return out
 
 
+def chunks_of(text: str) -> list[str]:
+    """The text cut before every space that a non-space follows."""
+    if not text:
+        return []
+    if "\0" in text or text[0] == " " or text[-1] == " " or any(x in text for x in UNEVEN):
+        return [x for x in CHUNK.split(text) if x]
+    return text.replace(" ", "\0 ").split("\0")
+
+
+def words_of(chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words of the chunks, in an order of its own; where each chunk is in it; how many words lie up to its end).
+
+    Chunks of a space and what is not white may follow each other in one text: no word crosses
+    from one to the next.  Only the others are cut one by one.
+    """
+    alone = np.array([x[0] != " " or len(x) == 1 or x[1].isspace() for x in chunks], bool)
+    order = np.argsort(alone, kind="stable")
+    dealt = [chunks[i] for i in order.tolist()]
+    n = len(chunks) - int(alone.sum())
+    words = [*PIECE.findall("".join(dealt[:n])), *chain.from_iterable(map(PIECE.findall, dealt[n:]))]
+    return words, np.argsort(order), parts_ending(words, dealt)
+
+
 class TransducerEncoder:
     """ids of texts: remembered chunks, else the lexicon, else exact merges."""
 
     def __init__(self, path: str, lexicon: str, limit: int = 200_000):
-        self.merges, self.lexicon, self.known = merges(path), Lexicon(lexicon), Remembered(limit)
+        self.merges, self.lexicon, self.known = merges(path), Lexicon(lexicon), Numbered(limit, "<u4")
         special = sorted(map(regex.escape, self.merges.special), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(special) + ")") if special else None
 
-    def _learn(self, new: set[str]) -> None:
-        marked = {x for x in new if x.startswith(SPECIAL)}
-        for x in marked:
-            self.known[x] = self.merges.parts(np.array([self.merges.special[x.removeprefix(SPECIAL)]]), np.ones(1, np.int64))[0]
-        chunks = list(new - marked)
-        pieces = [PIECE.findall(x) for x in chunks]
-        words = list(set(chain.from_iterable(pieces)))
-        data = [x.encode() for x in words]
-        rank = self.lexicon.find(data)
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        marked = np.array([x[0] == SPECIAL for x in new], bool)
+        flat, place, ends = words_of([x for x in new if x[0] != SPECIAL])
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        of = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        words = [x.encode() for x in number]
+        rank = self.lexicon.find(words)
         seen, unseen = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
-        starts = self.lexicon.starts[rank[seen]]
-        counts = self.lexicon.starts[rank[seen] + 1] - starts
-        ends = np.cumsum(counts)
-        ids = self.lexicon.ids[np.repeat(starts - (ends - counts), counts) + np.arange(counts.sum())]
-        packed = dict(zip([words[i] for i in seen.tolist()], self.merges.parts(ids, counts), strict=True))
-        packed.update(zip([words[i] for i in unseen.tolist()], self.merges.parts(*self.merges.merge([data[i] for i in unseen.tolist()])), strict=True))
-        for chunk, own in zip(chunks, pieces, strict=True):
-            if len(own) == 1:
-                self.known[chunk] = packed[own[0]]
-            else:
-                found = [packed[w] for w in own]
-                self.known[chunk] = (b"".join([a for a, _ in found]), b"".join([b for _, b in found]))
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian u32, their decimals each with a comma behind) of each text."""
-        return [(b"".join([a for a, _ in x]), b"".join([b for _, b in x])) for x in self.known.look_up(map(self._chunks, texts), self._learn)]
+        merged, sizes = self.merges.merge([words[i] for i in unseen.tolist()])
+        starts, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[seen] = self.lexicon.starts[rank[seen]]
+        counts[seen] = self.lexicon.starts[rank[seen] + 1] - starts[seen]
+        starts[unseen], counts[unseen] = len(self.lexicon.ids) + np.cumsum(sizes) - sizes, sizes
+        special = np.array([self.merges.special[x[1:]] for x in new if x[0] == SPECIAL], np.int64)
+        ids = np.concatenate([runs(np.concatenate([self.lexicon.ids, merged]), starts[of], counts[of]), special])
+        own = np.concatenate([sums_to(ends, counts[of]), np.ones(len(special), np.int64)])
+        at = np.zeros(len(new), np.int64)
+        at[~marked], at[marked] = place, len(place) + np.arange(len(special))
+        return runs(ids, (np.cumsum(own) - own)[at], own[at]), own[at]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has."""
+        flat: list[str] = []
+        ends = [len(flat) for text in texts if not flat.extend(self._chunks(text))]
+        ids, counts = self.known.ids(self.known.look_up(flat, self._learn))
+        return ids, sums_to(np.array(ends, np.int64), counts)
 
     def _chunks(self, text: str) -> list[str]:
         if self.special and self.special.search(text):
             parts = self.special.split(text)
-            return [x for i, part in enumerate(parts) for x in ([SPECIAL + part] if i % 2 else CHUNK.split(part)) if x]
-        if not text:
-            return []
-        if UNEVEN.search(text) or text[0] == " ":
-            return [x for x in CHUNK.split(text) if x]
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [x for x in CHUNK.split(text) if x]
+            return [x for i, part in enumerate(parts) for x in ([SPECIAL + part] if i % 2 else chunks_of(part))]
+        return chunks_of(text)
 
 
 @functools.lru_cache(maxsize=2)
@@ -305,32 +324,38 @@ def transducer_encoder(path: str, lexicon: str) -> TransducerEncoder:
 
 
 def word_counts(docs: DataFrame, text: str = "text", flush: int = 400_000) -> DataFrame:
-    """word, n: occurrences of the words of the pattern over all documents, by lossy counting.
+    """word, n: how often each word of the pattern occurs, exactly, over all documents.
 
-    A task hands on its counts when it holds ``flush`` chunks and at its end.  Chunks met only
-    once since then are dropped, so n is short by at most one for each such hand-over.
+    A task hands on its counts when it holds ``flush`` chunks and at its end.
     """
 
-    def emit(chunks: Counter) -> pd.DataFrame:
-        words: Counter = Counter()
-        for chunk, n in chunks.items():
-            if n > 1:
-                for word in PIECE.findall(chunk):
-                    words[word] += n
-        return pd.DataFrame({"word": pd.Series(list(words), dtype=object), "n": pd.Series(list(words.values()), dtype=np.int64)})
+    def emit(chunks: list[str], n: np.ndarray) -> pd.DataFrame:
+        flat, place, ends = words_of(chunks)
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        of = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        dealt = np.zeros(len(n), np.int64)
+        dealt[place] = n
+        total = np.zeros(len(number), np.int64)
+        np.add.at(total, of, np.repeat(dealt, np.diff(ends, prepend=0)))
+        return pd.DataFrame({"word": pd.Series(list(number), dtype=object), "n": total})
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks: Counter = Counter()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        n = np.zeros(0, np.int64)
         for batch in batches:
-            for t in batch["t"]:
-                chunks.update(t.replace(" ", "\0 ").split("\0") if not UNEVEN.search(t) else CHUNK.split(t))
-            if len(chunks) > flush:
-                yield emit(chunks)
-                chunks.clear()
-        yield emit(chunks)
+            texts = list(batch["t"])
+            for some in portions(texts, 1 << 21):
+                flat = list(chain.from_iterable(map(chunks_of, texts[some])))
+                met = np.bincount(np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)), minlength=len(number))
+                met[: len(n)] += n
+                n = met
+                if len(n) > flush:
+                    yield emit(list(number), n)
+                    number, n = defaultdict(count().__next__), n[:0]
+        yield emit(list(number), n)
 
     rows = docs.select(whole_text(text).alias("t"))
-    return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, path: str, lexicon_size: int = 50_000, text: str = "text") -> str:
@@ -354,8 +379,11 @@ def encode_decode(docs: DataFrame, path: str, lexicon: str, key: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = transducer_encoder(path, SparkFiles.get(lexicon))
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4") for x, _ in encoder.encode(list(batch["t"]))]
-            yield pd.DataFrame({key: batch[key], "ids": [x.astype(np.int64) for x in ids], "decoded": [encoder.merges.decode(x).decode("utf-8", "replace") for x in ids]})
+            texts = list(batch["t"])
+            for some in portions(texts, 1 << 21):
+                flat, counts = encoder.encode(texts[some])
+                ids = np.split(flat.astype(np.int64), np.cumsum(counts)[:-1])
+                yield pd.DataFrame({key: batch[key].iloc[some], "ids": ids, "decoded": [encoder.merges.decode(x).decode("utf-8", "replace") for x in ids]})
 
     rows = docs.select(F.col(key).cast("long"), whole_text(text).alias("t"))
     return rows.mapInPandas(run, f"{key} long, ids array<int>, decoded string")
@@ -363,17 +391,23 @@ def encode_decode(docs: DataFrame, path: str, lexicon: str, key: str = "doc_id",
 
 def encode_digest(docs: DataFrame, path: str, lexicon: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 (and ids): digests of the same ids and texts, made where they arise."""
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = transducer_encoder(path, SparkFiles.get(lexicon))
         for batch in batches:
-            out = []
-            for ids, decimals in encoder.encode(list(batch["t"])):
-                decoded = encoder.merges.decode(np.frombuffer(ids, "<u4")).decode("utf-8", "replace")
-                own = (len(ids) // 4, hashlib.sha256(decimals[:-1]).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                out.append((*own, np.frombuffer(ids, "<i4")) if with_ids else own)
-            yield pd.concat([batch[[key]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+            texts = list(batch["t"])
+            for some in portions(texts, 1 << 21):
+                ids, counts = encoder.encode(texts[some])
+                ends = np.cumsum(counts)
+                decimals, lengths = encoder.merges.decimal(ids)
+                to = np.cumsum(sums_to(ends, lengths)).tolist()
+                spelled, until = encoder.merges.decode(ids), np.cumsum(sums_to(ends, encoder.merges.lengths[ids])).tolist()
+                decoded = [spelled[a:b].decode("utf-8", "replace").encode() for a, b in zip([0, *until], until)]  # noqa: B905
+                out = {key: batch[key].iloc[some], "n_tokens": counts}
+                out["ids_sha256"] = [hashlib.sha256(decimals[a : max(a, b - 1)]).hexdigest() for a, b in zip([0, *to], to)]  # noqa: B905
+                out["decoded_sha256"] = [hashlib.sha256(x).hexdigest() for x in decoded]
+                if with_ids:
+                    out["ids"] = np.split(ids.astype("<i4"), ends[:-1])
+                yield pd.DataFrame(out)
 
     rows = docs.select(F.col(key).cast("long"), whole_text(text).alias("t"))
     return rows.mapInPandas(run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

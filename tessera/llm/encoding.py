@@ -2,12 +2,12 @@
 
 A tokenizer that drops white space treats the pieces between it independently,
 so a worker asks the tokenizers library only for pieces that it has not met
-lately and joins the stored bytes of the rest.  New pieces of Latin-1
+lately and gathers the stored ids of all others at once.  New pieces of Latin-1
 characters are normalised and cut by the tokenizer's own rules here, and all
 words that are new in a batch go to the library's model in one call, which skips
 its costly per-text set-up; all others take the library's whole way.  The
-memories of pieces and of words are bounded by ``limit``; a full one becomes the
-older half, from which entries still in use come back.
+memories of pieces and of words are bounded by ``limit``; of a full one the half
+that was met most stays.
 """
 
 from __future__ import annotations
@@ -15,11 +15,15 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import public_tokenizers
 
+from tessera.llm.shingles import portions
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 #: str.split() also splits at these, which are not white space to the tokenizer.
@@ -79,6 +83,68 @@ class Remembered(dict):
             yield parts[begin:end]
 
 
+def runs(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts[i]`` entries of ``pool`` from ``starts[i]`` on, run after run."""
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    at += np.arange(len(at))
+    return pool[at]
+
+
+def sums_to(ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of ``counts`` between one end (an index behind the last) and the next."""
+    return np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], ends])])
+
+
+def parts_ending(parts: list[str], wholes: list[str]) -> np.ndarray:
+    """How many of ``parts`` lie before the end of each of ``wholes``, which are the same characters."""
+    part_ends, ends = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (parts, wholes))
+    behind = np.searchsorted(part_ends, ends) + 1
+    if len(part_ends) != (behind[-1] if len(behind) else 0) or (part_ends[behind - 1] != ends).any():
+        raise ValueError("parts that are not cut from the wholes")
+    return behind
+
+
+class Numbered:
+    """Pieces by number, and the ids that each becomes, in one pool.
+
+    A piece that is not there gets the next number; all new ones of a call are
+    learnt together.  Above ``limit`` pieces, the half that was met most stays.
+    """
+
+    def __init__(self, limit: int, dtype):
+        self.limit = limit
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.pool = np.zeros(0, dtype)
+        self.starts = self.counts = self.met = np.zeros(0, np.int64)
+
+    def look_up(self, pieces: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each piece; ``learn`` gives the ids of new ones, one after the other, and how many each has."""
+        if len(self.number) > self.limit:
+            self._shrink()
+        before = len(self.number)
+        found = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.number) > before:
+            ids, counts = learn(list(islice(self.number, before, None)))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts])
+            self.met = np.concatenate([self.met, np.zeros(len(counts), np.int64)])
+            self.pool = np.concatenate([self.pool, ids.astype(self.pool.dtype)])
+        self.met += np.bincount(found, minlength=len(self.met))
+        return found
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pieces, one after the other, and how many each has."""
+        counts = self.counts[numbers]
+        return runs(self.pool, self.starts[numbers], counts), counts
+
+    def _shrink(self) -> None:
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: self.limit // 2])
+        pieces = list(self.number)
+        self.pool, self.counts = self.ids(keep)
+        self.starts, self.met = np.cumsum(self.counts) - self.counts, self.met[keep] // 2
+        self.number = defaultdict(count(len(keep)).__next__, zip(map(pieces.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+
+
 class PieceEncoder:
     """ids of texts as little-endian unsigned bytes, ``width`` bytes an id."""
 
@@ -91,7 +157,8 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = special_as_text
-        self.dtype, self.known, self.words = np.dtype(f"<u{width}"), Remembered(limit), Remembered(limit)
+        self.dtype = np.dtype(f"<u{width}")
+        self.known, self.words = Numbered(limit, self.dtype), Numbered(limit, self.dtype)
         # the same model behind a cut at white space, for words in the letters of a byte-level vocabulary
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = WhitespaceSplit()
@@ -105,42 +172,58 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in found]
 
-    def _learn_words(self, new: set[str]) -> None:
+    def _learn_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All new words in one text for the model; every word ends with the one id that ends a word."""
-        words = list(new)
         spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(LETTERS) for w in words]
         ids = np.array(self.model.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.dtype.itemsize
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(words):
             raise ValueError("the model left out a letter")
-        data, cuts = ids.tobytes(), ends.tolist()
-        self.words.update(zip(words, (data[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))  # noqa: B905
-
-    def _learn(self, new: set[str]) -> None:
-        hard, easy = [], []
-        for piece in new:
-            try:
-                piece.encode("latin-1")
-            except UnicodeEncodeError:
-                hard.append(piece)
-                continue
-            (hard if self.special and self.special.search(piece) else easy).append(piece)
-        cut = (WORDS.findall(piece.lower()) for piece in easy)
-        self.known.update(zip(easy, map(b"".join, self.words.look_up(cut, self._learn_words)), strict=True))
-        self.known.update(zip(hard, self._ask(hard), strict=True))
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hard = {i for i, x in enumerate(new) if not x.isascii() and not latin(x)}
+        if self.special and self.special.search("\n".join(new)):
+            hard |= {i for i, x in enumerate(new) if self.special.search(x)}
+        easy = [x.lower() for i, x in enumerate(new) if i not in hard]
+        words = WORDS.findall("\n".join(easy))
+        ids, counts = self.words.ids(self.words.look_up(words, self._learn_words))
+        counts = sums_to(parts_ending(words, easy), counts)
+        if not hard:
+            return ids, counts
+        asked = self._ask([new[i] for i in sorted(hard)])
+        ids = np.concatenate([ids, np.frombuffer(b"".join(asked), self.dtype)])
+        counts = np.concatenate([counts, np.array([len(x) // self.dtype.itemsize for x in asked], np.int64)])
+        place = np.argsort(np.argsort([i in hard for i in range(len(new))], kind="stable"))
+        return runs(ids, (np.cumsum(counts) - counts)[place], counts[place]), counts[place]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [x for some in portions(texts, 1 << 21) for x in self._encode(texts[some])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         odd = [i for i, x in enumerate(texts) if NOT_WHITE.search(x)]
         for i, ids in zip(odd, self._ask([texts[i] for i in odd]), strict=True):
             out[i] = ids
         aside = set(odd)
         plain = [i for i in range(len(texts)) if i not in aside]
-        for i, parts in zip(plain, self.known.look_up((texts[i].split() for i in plain), self._learn), strict=True):
-            out[i] = b"".join(parts)
+        flat: list[str] = []
+        ends = [len(flat) for i in plain if not flat.extend(texts[i].split())]
+        ids, counts = self.known.ids(self.known.look_up(flat, self._learn))
+        data, cuts = ids.tobytes(), (np.cumsum(sums_to(np.array(ends, np.int64), counts)) * self.dtype.itemsize).tolist()
+        for i, a, b in zip(plain, [0, *cuts], cuts):  # noqa: B905
+            out[i] = data[a:b]
         return out
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @functools.lru_cache(maxsize=4)
 def piece_encoder(path: str, width: int = 4, special_as_text: bool = False) -> PieceEncoder:
     """One encoder for each Python worker."""

@@ -120,6 +120,15 @@ def test_bpe(spark, hostile, nothing, size):
     assert bpe.encode_digest(nothing, bpe.BYTE_BPE, bpe.build_lexicon(nothing, bpe.BYTE_BPE)).count() == 0
 
 
+@pytest.mark.parametrize("flush", [10, 400_000])
+def test_word_counts(spark, hostile, nothing, flush):
+    """Every occurrence counts, also of words met once, however often a task hands on its counts."""
+    got = [(x["word"], x["n"]) for x in bpe.word_counts(hostile, flush=flush).collect()]
+    want = Counter(w for _, t in texts() for w in bpe.PIECE.findall(t or ""))
+    assert len(got) == len(want) and dict(got) == want
+    assert bpe.word_counts(nothing).count() == 0
+
+
 def test_bpe_real_outputs(spark, hostile):
     lexicon = bpe.build_lexicon(hostile, bpe.BYTE_BPE)
     rows = {(r["doc_id"], len(r["ids"])) for r in bpe.encode_decode(hostile, bpe.BYTE_BPE, lexicon).collect()}
