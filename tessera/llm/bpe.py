@@ -3,7 +3,7 @@
 1.  Words (the pieces of the byte-level pattern) are counted over all
     documents, each occurrence: each task counts its own, a shuffle by word adds
     up, and the ``lexicon_size`` most frequent (a parameter; ties by the word's bytes) are
-    taken to the driver.
+    taken to the driver, which learns first how many words have each count.
 2.  Their ids are found by exact merging and the words, in byte order, are
     compiled into a minimal acyclic automaton: equal suffixes share states, and
     each transition carries how many words precede those behind it, so that
@@ -34,7 +34,7 @@ import os
 import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -44,7 +44,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, whole_text
+from tessera.llm.common import discard, documents, stored, whole_text
 from tessera.llm.encoding import Numbered, byte_letters, parts_ending, runs, sums_to
 from tessera.llm.shingles import portions
 
@@ -358,10 +358,23 @@ def word_counts(docs: DataFrame, text: str = "text", flush: int = 400_000) -> Da
     return rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, size: int) -> list[str]:
+    """The ``size`` most frequent words, ties by the word; the driver gets these and one row for each n."""
+    n = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toPandas()
+    fits = int((n["words"].cumsum() <= size).sum())
+    least, rest = (int(n["n"][fits - 1]) if fits else None), size - int(n["words"][:fits].sum())
+    found = counts.where(F.col("n") >= least).select("word").toPandas()["word"].tolist() if fits else []
+    if rest and fits < len(n):  # of the next n only as many as fit, read in order
+        tied = counts.where(F.col("n") == int(n["n"][fits])).select("word").orderBy("word")
+        found += [x["word"] for x in islice(tied.toLocalIterator(), rest)]
+    return found
+
+
 def build_lexicon(docs: DataFrame, path: str, lexicon_size: int = 50_000, text: str = "text") -> str:
     """Compile the most frequent words and ship the file; its name for ``SparkFiles.get``."""
-    rows = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(lexicon_size).toPandas()
-    words = sorted({x.encode() for x in rows["word"] if x})
+    counts = stored(word_counts(docs, text), "word-counts")
+    words = sorted({x.encode() for x in most_frequent(counts, lexicon_size)})
+    discard(counts)
     data = compile_lexicon(words, *merges(path).merge(words))
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
     if any(x.endswith(name) for x in docs.sparkSession.sparkContext.listFiles):

@@ -129,6 +129,15 @@ def test_word_counts(spark, hostile, nothing, flush):
     assert bpe.word_counts(nothing).count() == 0
 
 
+def test_most_frequent(spark):
+    rows = [(f"w{i:03d}", n) for i, n in enumerate([9, 9, 5, 1, 5, 1, 5, 1, 2])]
+    counts = spark.createDataFrame(rows[::-1], "word string, n long")
+    order = [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    for size in range(1, 12):
+        assert sorted(bpe.most_frequent(counts, size)) == sorted(order[:size])
+    assert bpe.most_frequent(counts.where("n > 9"), 3) == []
+
+
 def test_bpe_real_outputs(spark, hostile):
     lexicon = bpe.build_lexicon(hostile, bpe.BYTE_BPE)
     rows = {(r["doc_id"], len(r["ids"])) for r in bpe.encode_decode(hostile, bpe.BYTE_BPE, lexicon).collect()}
