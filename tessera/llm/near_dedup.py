@@ -1,13 +1,14 @@
 """Near-duplicate documents by consistent weighted sampling.
 
-1.  Document frequencies.  Shingles are five words.  The texts with each of
-    ``2**DF_BITS`` cells of hashed shingles are counted (task sums, then a shuffle by
-    cell); a shingle in one of ``HEAVY`` texts or more can only be in a cell of as
-    many, and the shingles of such cells are counted exactly in a second pass.  So
-    the frequency of every heavy shingle is exact, over all documents; there are at
-    most ``HEAVY`` times the mean number of shingles of a text of them, which is
-    what is broadcast.  Their idf falls with the logarithm of the frequency to 1
-    (in every text); all others weigh 1 + ``IDF_SPAN``.
+1.  Document frequencies, exact for every shingle (five words), over all
+    documents.  Of heavy ones, in one ``HEAVY``-th of the texts or more: the texts
+    with each of ``2**DF_BITS`` cells of hashed shingles are counted, and the shingles
+    of cells of so many exactly in a second pass; there are at most ``HEAVY`` times
+    the mean number of shingles of a text of them, which is broadcast.  Of all
+    others: runs of texts (portions) ask each of ``RANGES`` ranges of hashes for
+    the frequencies of their shingles in it; a group is one range, and the answers
+    go back to their portion.  The idf falls with the logarithm of the frequency, to
+    1 in every text.
 2.  Signatures: improved consistent weighted sampling (Ioffe) of the weights
     tf x idf.  Sample k takes from each text the shingle with the least
     ``ln c - r (t - beta) - r``, ``t = floor(ln w / r + beta)``, with r, c ~ Gamma(2, 1)
@@ -59,6 +60,8 @@ from tessera.llm.shingles import mix, multisets, portions
 
 BANDS, ROWS = 12, 4
 DF_BITS, HEAVY, IDF_SPAN = 16, 64, 0.5
+#: Characters of a portion; ranges of hashes, each of which one task holds at once (1/2048 of the shingles met in a portion).
+PORTION, RANGES = 1 << 22, 1 << 11
 GROUP = 512
 #: What float32 sums of weights may be off by.
 SLACK = 1e-5
@@ -82,13 +85,19 @@ LN_C = np.log(_gamma2_quantiles(1 << 14)).astype(np.float32)
 
 @dataclass
 class Idf:
-    """The heavy shingles in ascending order, and what they and all others weigh."""
+    """The heavy shingles in ascending order, and what they weigh; all others by their frequency in ``texts``.
+
+    Without their frequencies they weigh 1 + ``IDF_SPAN``, what a shingle weighs that is just not heavy.
+    """
 
     heavy: np.ndarray
     value: np.ndarray
+    texts: int = 0
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, hashes: np.ndarray, df: np.ndarray | None = None) -> np.ndarray:
         out = np.full(len(hashes), 1 + IDF_SPAN, np.float32)
+        if df is not None:
+            out = (1 + IDF_SPAN * np.log(np.maximum(self.texts / np.maximum(df, 1), 1)) / np.log(HEAVY)).astype(np.float32)
         if len(self.heavy):
             at = np.minimum(np.searchsorted(self.heavy, hashes), len(self.heavy) - 1)
             known = self.heavy[at] == hashes
@@ -96,8 +105,14 @@ class Idf:
         return out
 
 
-def weights(hashes: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
-    return tf.astype(np.float32) * idf.of(hashes)
+def weights(hashes: np.ndarray, tf: np.ndarray, idf: Idf, df: np.ndarray | None = None) -> np.ndarray:
+    return tf.astype(np.float32) * idf.of(hashes, df)
+
+
+def stored_weights(data: bytes, df: bytes, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a stored text and their weights."""
+    hashes, tf = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+    return hashes, weights(hashes, tf, idf, np.frombuffer(df, "<u4"))
 
 
 def signatures(hashes: np.ndarray, w: np.ndarray, counts: np.ndarray, samples: int, part: int = 1 << 16) -> np.ndarray:
@@ -138,7 +153,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(rows: DataFrame) -> Idf:
-    """idf of the shingles of all rows (t), by exact frequencies of the heavy ones."""
+    """The heavy shingles of all rows (t), by exact frequencies; ``light_frequencies`` has those of the others."""
     size = 1 << DF_BITS
     cell_of = np.uint32(size - 1)
 
@@ -162,7 +177,7 @@ def document_frequencies(rows: DataFrame) -> Idf:
     full = np.zeros(size, bool)
     full[cells.loc[(cells["cell"] >= 0) & (cells["n"] >= least), "cell"].to_numpy(np.int64)] = True
     if not full.any():
-        return Idf(np.zeros(0, np.uint32), np.zeros(0, np.float32))
+        return Idf(np.zeros(0, np.uint32), np.zeros(0, np.float32), texts)
 
     def count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,7 +190,70 @@ def document_frequencies(rows: DataFrame) -> Idf:
     df = rows.select("t").mapInPandas(count_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     df = df.where(F.col("n") >= least).toPandas().sort_values("shingle")  # at most HEAVY x the mean number of shingles of a text
     share = np.log(np.maximum(texts / df["n"].to_numpy(np.float64), 1.0)) / np.log(HEAVY)
-    return Idf(df["shingle"].to_numpy(np.uint32), (1 + IDF_SPAN * np.minimum(share, 1)).astype(np.float32))
+    return Idf(df["shingle"].to_numpy(np.uint32), (1 + IDF_SPAN * np.minimum(share, 1)).astype(np.float32), texts)
+
+
+def shingled(named: DataFrame, key: str) -> DataFrame:
+    """One row for each portion of the rows (key, t, node): portion, keys, nodes, counts, hashes, tf.
+
+    The distinct hashes of every text and how often each occurs are 32-bit numbers, text after text.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, number, size, held = TaskContext.get().partitionId(), 0, 0, []
+
+        def row() -> pd.DataFrame:
+            nonlocal number, size, held
+            keys, nodes, counts, hashes, tf = zip(*held, strict=True)
+            out = {
+                "portion": [task << 32 | number], "keys": [[x for k in keys for x in k]], "nodes": [[x for n in nodes for x in n]], "counts": [np.concatenate(counts)],
+                "hashes": [np.concatenate(hashes).astype("<u4").tobytes()], "tf": [np.concatenate(tf).astype("<u4").tobytes()],
+            }
+            number, size, held = number + 1, 0, []
+            return pd.DataFrame(out)
+
+        for batch in batches:
+            texts = list(batch["t"])
+            for some in portions(texts, min(PORTION, 1 << 18)):
+                hashes, tf, counts = multisets(texts[some])
+                part = batch.iloc[some]
+                held.append(([None if pd.isna(k) else int(k) for k in part[key]], list(part["node"]), counts, hashes, tf))
+                size += sum(map(len, texts[some]))
+                if size >= PORTION:
+                    yield row()
+        if held:
+            yield row()
+
+    schema = "portion long, keys array<long>, nodes array<binary>, counts array<int>, hashes binary, tf binary"
+    return named.select(key, "t", "node").mapInPandas(cut, schema)
+
+
+def light_frequencies(table: DataFrame, idf) -> DataFrame:
+    """portion, dfs: for each portion of ``shingled``, the number of rows that have each of its shingles that are not heavy.
+
+    dfs holds (range, df) in order of the ranges: 32-bit numbers, one for each such shingle of the portion in ascending order.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for portion, data in zip(batch["portion"], batch["hashes"], strict=True):
+                own, n = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
+                light = ~np.isin(own, idf.value.heavy, assume_unique=True)
+                own, n = own[light], n[light].astype("<u4")
+                used, starts = np.unique(own.astype(np.int64) * RANGES >> 32, return_index=True)
+                ends = [*starts[1:], len(own)]
+                yield pd.DataFrame({"range": used, "portion": portion, "hashes": [own[a:b].tobytes() for a, b in zip(starts, ends)], "n": [n[a:b].tobytes() for a, b in zip(starts, ends)]})  # noqa: B905
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        hashes, n = (np.frombuffer(b"".join(group[c]), "<u4") for c in ("hashes", "n"))
+        _, of = np.unique(hashes, return_inverse=True)
+        df = np.bincount(of, n).astype("<u4")[of]
+        ends = np.cumsum([len(x) // 4 for x in group["hashes"]])
+        return pd.DataFrame({"portion": group["portion"], "range": group["range"], "df": [x.tobytes() for x in np.split(df, ends[:-1])]})
+
+    asked = table.select("portion", "hashes").mapInPandas(ask, "range int, portion long, hashes binary, n binary")
+    told = asked.groupBy("range").applyInPandas(answer, "portion long, range int, df binary")
+    return told.groupBy("portion").agg(F.array_sort(F.collect_list(F.struct("range", "df"))).alias("dfs"))
 
 
 def similar_pairs(pairs: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
@@ -186,13 +264,11 @@ def similar_pairs(pairs: DataFrame, payload: DataFrame, idf, similarity: float)
     rows = members.unionByName(leaders).join(payload, "node").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "part")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = idf.value
         own = own_w = own_sum = group = None
         for batch in batches:
             found = []
-            for leader, salt, node, part, data in zip(batch["leader"], batch["salt"], batch["node"], batch["part"], batch["hashes"], strict=True):
-                hashes, tf = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
-                w = weights(hashes, tf, table)
+            for leader, salt, node, part, data, df in zip(batch["leader"], batch["salt"], batch["node"], batch["part"], batch["hashes"], batch["df"], strict=True):
+                hashes, w = stored_weights(data, df, idf.value)
                 if part == 0:
                     group, own, own_w, own_sum = (leader, salt), hashes, w, float(w.sum())
                     continue
@@ -205,7 +281,7 @@ def similar_pairs(pairs: DataFrame, payload: DataFrame, idf, similarity: float)
                     found.append((leader, node, shared / total))
             yield pd.DataFrame(found, columns=["leader", "node", "similarity"])
 
-    return rows.select("leader", "salt", "node", "part", "hashes").mapInPandas(verify, "leader binary, node binary, similarity double")
+    return rows.select("leader", "salt", "node", "part", "hashes", "df").mapInPandas(verify, "leader binary, node binary, similarity double")
 
 
 def open_links(open_nodes: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
@@ -217,9 +293,8 @@ def open_links(open_nodes: DataFrame, payload: DataFrame, idf, similarity: float
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for node, c, data in zip(batch["node"], batch["c"], batch["hashes"], strict=True):
-                hashes, tf = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
-                w = weights(hashes, tf, idf.value)
+            for node, c, data, df in zip(batch["node"], batch["c"], batch["hashes"], batch["df"], strict=True):
+                hashes, w = stored_weights(data, df, idf.value)
                 yield pd.DataFrame({"node": node, "c": c, "shingle": hashes.view(np.int32), "w": w, "total": float(w.sum(dtype=np.float64))})
 
     # a component is told by a 64-bit hash: only whether all holders of one shingle are of one component matters
@@ -282,22 +357,33 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
     idf = spark.sparkContext.broadcast(document_frequencies(rows))
     named = rows.withColumn("node", F.unhex(F.md5(F.encode("t", "UTF-8"))))
 
+    table = stored(shingled(named, key), "shingled")
+    answered = table.join(light_frequencies(table, idf), "portion", "left")
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, seen = TaskContext.get().partitionId(), set()
         for batch in batches:
-            texts = list(batch["t"])
-            for some in portions(texts):
-                hashes, tf, counts = multisets(texts[some])
-                keys = band_keys(signatures(hashes, weights(hashes, tf, idf.value), counts, BANDS * ROWS))
-                part, held, at = batch.iloc[some], [], 0
-                for node, n in zip(part["node"], counts.tolist(), strict=True):
+            for row in batch.itertuples(index=False):
+                hashes, tf = np.frombuffer(row.hashes, "<u4"), np.frombuffer(row.tf, "<u4")
+                counts = np.array(row.counts, np.int64)
+                df = np.zeros(len(hashes), "<u4")
+                light = np.flatnonzero(~np.isin(hashes, idf.value.heavy))
+                if len(light):
+                    _, of = np.unique(hashes[light], return_inverse=True)
+                    df[light] = np.frombuffer(b"".join(x["df"] for x in row.dfs), "<u4")[of]
+                keys = band_keys(signatures(hashes, weights(hashes, tf, idf.value, df), counts, BANDS * ROWS))
+                held, dfs, seen, at = [], [], set(), 0
+                for node, n in zip(row.nodes, counts.tolist(), strict=True):
                     new = n > 0 and node not in seen
-                    held.append(np.repeat(hashes[at : at + n], tf[at : at + n]).astype("<u4").tobytes() if new else None)
+                    held.append(np.repeat(hashes[at : at + n], tf[at : at + n]).tobytes() if new else None)
+                    dfs.append(df[at : at + n].tobytes() if new else None)
                     seen.add(node)
                     at += n
-                yield pd.DataFrame({key: part[key].astype("Int64"), "node": part["node"], "bands": [k if c else k[:0] for k, c in zip(keys, counts, strict=True)], "task": task, "hashes": held})
+                bands = [k if c else k[:0] for k, c in zip(keys, counts, strict=True)]
+                yield pd.DataFrame({key: pd.array(row.keys, "Int64"), "node": row.nodes, "bands": bands, "task": row.portion, "hashes": held, "df": dfs})
 
-    signed = stored(named.mapInPandas(sign, f"{key} long, node binary, bands array<long>, task int, hashes binary"), "signatures")
+    schema = f"{key} long, node binary, bands array<long>, task long, hashes binary, df binary"
+    signed = stored(answered.select("portion", "keys", "nodes", "counts", "hashes", "tf", "dfs").mapInPandas(sign, schema), "signatures")
+    discard(table)
     members = signed.where("hashes is not null").select("node", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stored(members.join(shared, "band"), "buckets")
@@ -306,7 +392,7 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
     pairs = stored(buckets.join(leaders, "band").where("node <> leader").select("leader", "node").distinct(), "pairs")
 
     holders = signed.where("hashes is not null").select("node", "task").join(buckets, "node", "left_semi").groupBy("node").agg(F.min("task").alias("task"))
-    payload = stored(signed.where("hashes is not null").select("node", "task", "hashes").join(holders, ["node", "task"]).select("node", "hashes"), "shingles")
+    payload = stored(signed.where("hashes is not null").select("node", "task", "hashes", "df").join(holders, ["node", "task"]).select("node", "hashes", "df"), "shingles")
     links = stored(similar_pairs(pairs, payload, idf, similarity).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
 
     of = components(links)

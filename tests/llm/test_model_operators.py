@@ -295,6 +295,26 @@ def test_document_frequencies(spark):
     assert np.allclose(idf.value, want, atol=1e-6) and set(idf.of(np.array([h for h, n in seen.items() if n < 4], np.uint32)).tolist()) == {1.5}
 
 
+def test_frequencies_of_light_shingles(spark, monkeypatch):
+    """Shingles that are not heavy have their own frequency too, over portions and tasks, and weigh more the rarer they are."""
+    monkeypatch.setattr(near_dedup, "PORTION", 5000)
+    rows = [(i, f"{PASSAGE} {prose(20 + i // 2, 40)} {prose(700 + i, 50)}") for i in range(400)] + [(400, None), (401, ""), (402, None)]
+    named = frame(spark, rows).repartition(3).select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.md5(F.coalesce("text", F.lit(""))).cast("binary").alias("node"))
+    idf = near_dedup.document_frequencies(named)
+    seen = Counter(h for _, t in rows for h in shingles.multisets([t or ""])[0].tolist())
+    table = near_dedup.shingled(named, "doc_id").cache()
+    assert table.count() > 10
+    found = {}
+    for row in table.join(near_dedup.light_frequencies(table, spark.sparkContext.broadcast(idf)), "portion").collect():
+        light = np.setdiff1d(np.frombuffer(row["hashes"], "<u4"), idf.heavy)
+        for h, n in zip(light.tolist(), np.frombuffer(b"".join(x["df"] for x in row["dfs"]), "<u4").tolist(), strict=True):
+            assert found.setdefault(h, n) == n
+    assert found == {h: n for h, n in seen.items() if h not in set(idf.heavy.tolist())} and {1, 2} <= set(found.values())
+    h = np.array(sorted(seen), np.uint32)
+    got = idf.of(h, np.array([found.get(x, 0) for x in h.tolist()], np.uint32))
+    assert np.allclose(got, [1 + 0.5 * np.log(403 / seen[x]) / np.log(64) for x in h.tolist()], atol=1e-6)
+
+
 def test_near_classes_with_shared_passages_and_large_groups(spark):
     """Unlike texts that share a long passage, copies edited more and more, and templates, all in common buckets."""
     r = random.Random(17)
