@@ -34,6 +34,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``stored``, in buckets by ``column``: what is joined or grouped by it is not shuffled once more.
+
+    A task writes one file for each bucket that it has rows of, so its rows should have few values.
+    """
+    spark = df.sparkSession
+    folder, table = f"{shared_dir(spark)}/tables", f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{folder}/{table}").bucketBy(buckets, column).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name alone; the files stay until ``discard``
+    return found
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``stored`` that nothing reads any more."""
     for table in tables:

@@ -35,8 +35,8 @@
 
 With 12 bands of 4 samples a single pair at exactly 0.8 shares a band with
 probability 0.998.  What the steps keep in between (32-bit shingles of one text
-in each task of its equals, beside the signatures) is shuffled for nodes in shared
-buckets; texts are not shuffled.
+in each portion of its equals, beside the signatures) lies in buckets by portion and
+is shuffled for nodes in shared buckets alone; texts are not shuffled.
 
 Defined cases: null counts as empty; equal texts, empty ones too, are one
 class; a text without words is near no other text; repeated rows are each
@@ -54,7 +54,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, documents, stored, whole_text
+from tessera.llm.common import discard, documents, stored, stored_by, whole_text
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, multisets, portions
 
@@ -152,6 +152,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def planes(numbers: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """32-bit numbers, each run between two cuts by itself: all lowest bytes, then all second ones and so on.
+
+    High bytes are mostly 0, which Spark's compression of shuffles then takes away.
+    """
+    data = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4)
+    return [data[a:b].T.tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def document_frequencies(rows: DataFrame) -> Idf:
     """The heavy shingles of all rows (t), by exact frequencies; ``light_frequencies`` has those of the others."""
     size = 1 << DF_BITS
@@ -241,17 +254,20 @@ def light_frequencies(table: DataFrame, idf) -> DataFrame:
                 light = ~np.isin(own, idf.value.heavy, assume_unique=True)
                 own, n = own[light], n[light].astype("<u4")
                 used, starts = np.unique(own.astype(np.int64) * RANGES >> 32, return_index=True)
-                ends = [*starts[1:], len(own)]
-                yield pd.DataFrame({"range": used, "portion": portion, "hashes": [own[a:b].tobytes() for a, b in zip(starts, ends)], "n": [n[a:b].tobytes() for a, b in zip(starts, ends)]})  # noqa: B905
+                gaps = np.diff(own, prepend=own[:1])
+                gaps[starts] = own[starts]  # the first of a range is itself, the others are told by their distance
+                cuts = np.append(starts, len(own))
+                yield pd.DataFrame({"range": used, "portion": portion, "gaps": planes(gaps, cuts), "n": planes(n, cuts)})
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, n = (np.frombuffer(b"".join(group[c]), "<u4") for c in ("hashes", "n"))
+        hashes = np.concatenate([np.cumsum(from_planes(x), dtype="<u4") for x in group["gaps"]])
+        n = np.concatenate([from_planes(x) for x in group["n"]])
         _, of = np.unique(hashes, return_inverse=True)
         df = np.bincount(of, n).astype("<u4")[of]
-        ends = np.cumsum([len(x) // 4 for x in group["hashes"]])
-        return pd.DataFrame({"portion": group["portion"], "range": group["range"], "df": [x.tobytes() for x in np.split(df, ends[:-1])]})
+        cuts = np.cumsum([0, *(len(x) // 4 for x in group["gaps"])])
+        return pd.DataFrame({"portion": group["portion"], "range": group["range"], "df": [df[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    asked = table.select("portion", "hashes").mapInPandas(ask, "range int, portion long, hashes binary, n binary")
+    asked = table.select("portion", "hashes").mapInPandas(ask, "range int, portion long, gaps binary, n binary")
     told = asked.groupBy("range").applyInPandas(answer, "portion long, range int, df binary")
     return told.groupBy("portion").agg(F.array_sort(F.collect_list(F.struct("range", "df"))).alias("dfs"))
 
@@ -357,7 +373,7 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
     idf = spark.sparkContext.broadcast(document_frequencies(rows))
     named = rows.withColumn("node", F.unhex(F.md5(F.encode("t", "UTF-8"))))
 
-    table = stored(shingled(named, key), "shingled")
+    table = stored_by(shingled(named, key), "shingled", "portion")
     answered = table.join(light_frequencies(table, idf), "portion", "left")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -379,10 +395,10 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
                     seen.add(node)
                     at += n
                 bands = [k if c else k[:0] for k, c in zip(keys, counts, strict=True)]
-                yield pd.DataFrame({key: pd.array(row.keys, "Int64"), "node": row.nodes, "bands": bands, "task": row.portion, "hashes": held, "df": dfs})
+                yield pd.DataFrame({key: pd.array(row.keys, "Int64"), "node": row.nodes, "bands": bands, "portion": row.portion, "hashes": held, "df": dfs})
 
-    schema = f"{key} long, node binary, bands array<long>, task long, hashes binary, df binary"
-    signed = stored(answered.select("portion", "keys", "nodes", "counts", "hashes", "tf", "dfs").mapInPandas(sign, schema), "signatures")
+    schema = f"{key} long, node binary, bands array<long>, portion long, hashes binary, df binary"
+    signed = stored_by(answered.select("portion", "keys", "nodes", "counts", "hashes", "tf", "dfs").mapInPandas(sign, schema), "signatures", "portion")
     discard(table)
     members = signed.where("hashes is not null").select("node", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -391,8 +407,16 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
     leaders = central.groupBy("band").agg(F.max(F.struct("centre", "node"))["node"].alias("leader"))
     pairs = stored(buckets.join(leaders, "band").where("node <> leader").select("leader", "node").distinct(), "pairs")
 
-    holders = signed.where("hashes is not null").select("node", "task").join(buckets, "node", "left_semi").groupBy("node").agg(F.min("task").alias("task"))
-    payload = stored(signed.where("hashes is not null").select("node", "task", "hashes", "df").join(holders, ["node", "task"]).select("node", "hashes", "df"), "shingles")
+    own = signed.where("hashes is not null").select("node", "portion", "hashes", "df")
+    holders = own.select("node", "portion").join(buckets, "node", "left_semi").groupBy("node").agg(F.min("portion").alias("p")).select(F.col("node").alias("wanted"), F.col("p").alias("portion"))
+
+    def chosen(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:  # of one portion
+        names = set(wanted["wanted"])  # not isin, to which bytes that end in zeros are shorter ones
+        return texts.loc[[x in names for x in texts["node"]], ["node", "hashes", "df"]]
+
+    # texts lie in buckets by portion, so of these groups only the names are shuffled
+    payload = own.groupBy("portion").cogroup(holders.groupBy("portion")).applyInPandas(chosen, "node binary, hashes binary, df binary")
+    payload = stored(payload, "shingles")
     links = stored(similar_pairs(pairs, payload, idf, similarity).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
 
     of = components(links)

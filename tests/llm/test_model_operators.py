@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import near_dedup, pii, shingles, toxicity
+from tessera.llm import common, near_dedup, pii, shingles, toxicity
 from tests.conftest import SF, SF_LARGER
 from tests.llm.conftest import PASSAGE, frame, prose, texts
 
@@ -315,6 +315,34 @@ def test_frequencies_of_light_shingles(spark, monkeypatch):
     assert np.allclose(got, [1 + 0.5 * np.log(403 / seen[x]) / np.log(64) for x in h.tolist()], atol=1e-6)
 
 
+def test_shingles_are_not_shuffled_whole(spark):
+    """Besides what is asked of the ranges and told back, shingles stay where they lie; so all shuffles take about three copies of them, with what is asked and told."""
+    jvm, status = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rows = [(i, prose(5000 + i, 1500)) for i in range(300)]
+    before, docs = shuffled(), frame(spark, [*rows, (300, rows[7][1] + " more")]).coalesce(2)  # which shuffles no text
+    found = {x["doc_id"]: x["class_id"] for x in near_dedup.near_classes(docs).collect()}
+    assert found == {i: i for i in range(300)} | {300: 7}
+    written = shuffled() - before
+    assert written < 12.5 * sum(len(shingles.multisets([t])[0]) for _, t in rows)
+
+
+def test_numbers_by_planes_and_texts_by_their_exact_names(spark, tmp_path):
+    numbers, cuts = np.array([0, 1, 255, 256, 70_000, 2**32 - 1], np.uint32), np.array([0, 2, 2, 6])
+    parts = near_dedup.planes(numbers, cuts)
+    assert [near_dedup.from_planes(x).tolist() for x in parts] == [[0, 1], [], numbers[2:].tolist()]
+    table = common.stored_by(spark.range(100).selectExpr("id", "id % 7 AS part"), "by-part", "part")
+    assert table.count() == 100 and not spark.sql("SHOW TABLES LIKE 'by_part*'").count()
+    plan = table.groupBy("part").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and len(table.groupBy("part").count().collect()) == 7
+    common.discard(table)
+
+
 def test_near_classes_with_shared_passages_and_large_groups(spark):
     """Unlike texts that share a long passage, copies edited more and more, and templates, all in common buckets."""
     r = random.Random(17)
