@@ -21,12 +21,14 @@ from itertools import count, islice
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.shingles import portions
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
-#: str.split() also splits at these, which are not white space to the tokenizer.
+#: utf8_split_whitespace also splits at these, which are not white space to the tokenizer.
 NOT_WHITE = re.compile("[\x1c-\x1f]")
 
 # The word pattern of the word-level tokenizer, its classes within Latin-1 (in lower case).
@@ -104,6 +106,15 @@ def parts_ending(parts: list[str], wholes: list[str]) -> np.ndarray:
     return behind
 
 
+def put_in(array: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """``array``, of which ``at`` entries are used, with ``new`` behind them; a full one is copied to twice its room."""
+    if at + len(new) > len(array):
+        old, array = array, np.zeros(max(2 * len(array), at + len(new)), array.dtype)
+        array[:at] = old[:at]
+    array[at : at + len(new)] = new
+    return array
+
+
 class Numbered:
     """Pieces by number, and the ids that each becomes, in one pool.
 
@@ -114,22 +125,26 @@ class Numbered:
     def __init__(self, limit: int, dtype):
         self.limit = limit
         self.number: defaultdict[str, int] = defaultdict(count().__next__)
-        self.pool = np.zeros(0, dtype)
+        self.pool, self.used = np.zeros(0, dtype), 0  # all arrays have room to spare
         self.starts = self.counts = self.met = np.zeros(0, np.int64)
 
-    def look_up(self, pieces: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The number of each piece; ``learn`` gives the ids of new ones, one after the other, and how many each has."""
+    def look_up(self, pieces: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], times: np.ndarray | None = None) -> np.ndarray:
+        """The number of each piece; ``learn`` gives the ids of new ones, one after the other, and how many each has.
+
+        ``times`` has how often each of different pieces was met.
+        """
         if len(self.number) > self.limit:
             self._shrink()
         before = len(self.number)
         found = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         if len(self.number) > before:
-            ids, counts = learn(list(islice(self.number, before, None)))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
-            self.counts = np.concatenate([self.counts, counts])
-            self.met = np.concatenate([self.met, np.zeros(len(counts), np.int64)])
-            self.pool = np.concatenate([self.pool, ids.astype(self.pool.dtype)])
-        self.met += np.bincount(found, minlength=len(self.met))
+            ids, counts = learn(list(islice(reversed(self.number), len(self.number) - before))[::-1])
+            self.starts = put_in(self.starts, before, self.used + np.cumsum(counts) - counts)
+            self.counts = put_in(self.counts, before, counts)
+            self.met = put_in(self.met, before, np.zeros(len(counts), np.int64))
+            self.pool, self.used = put_in(self.pool, self.used, ids), self.used + len(ids)
+        times = np.bincount(found, times).astype(np.int64)
+        self.met[: len(times)] += times
         return found
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +153,10 @@ class Numbered:
         return runs(self.pool, self.starts[numbers], counts), counts
 
     def _shrink(self) -> None:
-        keep = np.sort(np.argsort(-self.met, kind="stable")[: self.limit // 2])
         pieces = list(self.number)
+        keep = np.sort(np.argsort(-self.met[: len(pieces)], kind="stable")[: self.limit // 2])
         self.pool, self.counts = self.ids(keep)
+        self.used = len(self.pool)
         self.starts, self.met = np.cumsum(self.counts) - self.counts, self.met[keep] // 2
         self.number = defaultdict(count(len(keep)).__next__, zip(map(pieces.__getitem__, keep.tolist()), range(len(keep)), strict=True))
 
@@ -182,11 +198,14 @@ class PieceEncoder:
         return ids, np.diff(ends, prepend=0)
 
     def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        hard = {i for i, x in enumerate(new) if not x.isascii() and not latin(x)}
-        if self.special and self.special.search("\n".join(new)):
+        lines = "\n".join(new)
+        hard = set() if latin(lines) else {i for i, x in enumerate(new) if not latin(x)}
+        if self.special and self.special.search(lines):
             hard |= {i for i, x in enumerate(new) if self.special.search(x)}
-        easy = [x.lower() for i, x in enumerate(new) if i not in hard]
-        words = WORDS.findall("\n".join(easy))
+        if "" in new:  # of white space at an end of a text
+            hard.add(new.index(""))
+        easy = [x for i, x in enumerate(new) if i not in hard] if hard else new
+        words = WORDS.findall("\n".join(easy).lower())  # as long as before: Latin-1 letters have one small letter
         ids, counts = self.words.ids(self.words.look_up(words, self._learn_words))
         counts = sums_to(parts_ending(words, easy), counts)
         if not hard:
@@ -207,16 +226,20 @@ class PieceEncoder:
             out[i] = ids
         aside = set(odd)
         plain = [i for i in range(len(texts)) if i not in aside]
-        flat: list[str] = []
-        ends = [len(flat) for i in plain if not flat.extend(texts[i].split())]
-        ids, counts = self.known.ids(self.known.look_up(flat, self._learn))
-        data, cuts = ids.tobytes(), (np.cumsum(sums_to(np.array(ends, np.int64), counts)) * self.dtype.itemsize).tolist()
+        cut = pc.utf8_split_whitespace(pa.array([texts[i] for i in plain], pa.string()))
+        pieces, ends = cut.values.dictionary_encode(), cut.offsets.to_numpy()[1:]
+        of = pieces.indices.to_numpy()
+        different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, counts = self.known.ids(self.known.look_up(different, self._learn, np.bincount(of, minlength=len(different)))[of])
+        data, cuts = ids.tobytes(), (np.cumsum(sums_to(ends, counts)) * self.dtype.itemsize).tolist()
         for i, a, b in zip(plain, [0, *cuts], cuts):  # noqa: B905
             out[i] = data[a:b]
         return out
 
 
 def latin(text: str) -> bool:
+    if text.isascii():
+        return True
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:

@@ -109,15 +109,17 @@ def unpack(parts: list[tuple[bytes, bytes, int]], code: Code) -> np.ndarray:
         counts.append(np.minimum(STEP, n - STEP * np.arange(len(lanes[-1]))))
         base += len(bits)
     at, left = np.concatenate(lanes), np.concatenate(counts)
-    out = np.zeros((len(at), STEP), np.uint32)
+    out = np.zeros((STEP, len(at)), np.uint32)
     shift = np.uint64(64 - code.bits)
     last = len(words) - 2
+    wide = words[:-1] << np.uint64(32) | words[1:]
+    table = code.symbols.astype(np.int64) << 8 | code.steps  # one look at a table gives both
     for i in range(int(left.max(initial=0))):
         w = np.minimum(at >> 5, last)
-        look = ((words[w] << np.uint64(32)) | words[w + 1]) << (at & 31).astype(np.uint64) >> shift
-        out[:, i] = code.symbols[look]
-        at += code.steps[look]
-    return out[np.arange(STEP)[None, :] < left[:, None]]
+        found = table[wide[w] << (at & 31).view(np.uint64) >> shift]
+        out[i] = found >> 8
+        at += found & 255
+    return out.T[np.arange(STEP)[None, :] < left[:, None]]
 
 
 def encode_documents(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,11 +4,12 @@ import hashlib
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, decontamination, media, sharding, suffix_dedup, token_counts, token_files
+from tessera.llm import bpe, decontamination, encoding, media, sharding, suffix_dedup, token_counts, token_files
 from tessera.llm.encoding import WORD_BPE
 from tests.conftest import SF
 from tests.llm.conftest import PASSAGE, frame, prose, texts
@@ -332,3 +333,17 @@ def test_piece_encoder_is_the_library(special):
     got = [np.frombuffer(x, "<u2").tolist() for i in range(0, len(some), 500) for x in encoder.encode(some[i : i + 500])]
     want = [x.ids for x in t.encode_batch_fast(some, add_special_tokens=False)]
     assert [(x, a, b) for x, a, b in zip(some, got, want, strict=True) if a != b] == []
+
+
+def test_encoder_looks_each_different_piece_up_once(monkeypatch):
+    """However often a piece is in a batch, and with white space of all kinds at both ends of texts."""
+    asked, look_up = [], encoding.Numbered.look_up
+    monkeypatch.setattr(encoding.Numbered, "look_up", lambda self, pieces, *rest: (asked.append(pieces), look_up(self, pieces, *rest))[1])
+    given = ["a word, a word", "", " \n", "　word a ", "\x85word\x1ca", "word İstanbul ẞ É's\t"]
+    encoder = encoding.PieceEncoder(encoding.WORD_BPE, 2, special_as_text=False, limit=4)
+    tokenizer = Tokenizer.from_file(encoding.WORD_BPE)
+    for _ in range(2):  # the second time from memory, which has been cut down to the limit
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(given)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in given]
+        assert len(asked[0]) == len(set(asked[0])) and {"a", "word", "word,"} <= set(asked[0])
+        asked.clear()
+    assert encoder.encode([]) == []
