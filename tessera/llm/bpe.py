@@ -44,7 +44,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, documents, stored, whole_text
+from tessera.llm.common import discard, documents, lean, stored, whole_text
 from tessera.llm.encoding import Numbered, byte_letters, parts_ending, runs, sums_to
 from tessera.llm.shingles import portions
 
@@ -355,7 +355,7 @@ def word_counts(docs: DataFrame, text: str = "text", flush: int = 400_000) -> Da
         yield emit(list(number), n)
 
     rows = docs.select(whole_text(text).alias("t"))
-    return rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(counts: DataFrame, size: int) -> list[str]:
@@ -399,7 +399,7 @@ def encode_decode(docs: DataFrame, path: str, lexicon: str, key: str = "doc_id",
                 yield pd.DataFrame({key: batch[key].iloc[some], "ids": ids, "decoded": [encoder.merges.decode(x).decode("utf-8", "replace") for x in ids]})
 
     rows = docs.select(F.col(key).cast("long"), whole_text(text).alias("t"))
-    return rows.mapInPandas(run, f"{key} long, ids array<int>, decoded string")
+    return rows.mapInPandas(lean(run), f"{key} long, ids array<int>, decoded string")
 
 
 def encode_digest(docs: DataFrame, path: str, lexicon: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -423,7 +423,7 @@ def encode_digest(docs: DataFrame, path: str, lexicon: str, key: str = "doc_id",
                 yield pd.DataFrame(out)
 
     rows = docs.select(F.col(key).cast("long"), whole_text(text).alias("t"))
-    return rows.mapInPandas(run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInPandas(lean(run), f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, lean
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -226,7 +226,7 @@ def find_leaks(
                 keys = batch[key].iloc[[x[0] for x in found]].reset_index(drop=True)
                 yield pd.concat([keys, pd.DataFrame([x[1:] for x in found], columns=[item, "start_word", "score", "overlap", "question_overlap", "answer_overlap"])], axis=1)
 
-        part = rows.mapInPandas(search, schema)
+        part = rows.mapInPandas(lean(search), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -248,7 +248,7 @@ def drop_leaks(
                 keep[[x[0] for x in shared.value.leaks(texts, similarity)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs
 
 

@@ -54,7 +54,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, documents, stored, stored_by, whole_text
+from tessera.llm.common import discard, documents, lean, stored, stored_by, whole_text
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, multisets, portions
 
@@ -184,7 +184,7 @@ def document_frequencies(rows: DataFrame) -> Idf:
         used = np.flatnonzero(total)
         yield pd.DataFrame({"cell": np.append(used, -1), "n": np.append(total[used], n)})
 
-    cells = rows.select("t").mapInPandas(count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = rows.select("t").mapInPandas(lean(count_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     texts = int(cells.loc[cells["cell"] < 0, "n"].sum())
     least = max(2, -(-texts // HEAVY))
     full = np.zeros(size, bool)
@@ -200,7 +200,7 @@ def document_frequencies(rows: DataFrame) -> Idf:
                 own, n = np.unique(hashes[full[hashes & cell_of]], return_counts=True)
                 yield pd.DataFrame({"shingle": own.astype(np.int64), "n": n})
 
-    df = rows.select("t").mapInPandas(count_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    df = rows.select("t").mapInPandas(lean(count_shingles), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     df = df.where(F.col("n") >= least).toPandas().sort_values("shingle")  # at most HEAVY x the mean number of shingles of a text
     share = np.log(np.maximum(texts / df["n"].to_numpy(np.float64), 1.0)) / np.log(HEAVY)
     return Idf(df["shingle"].to_numpy(np.uint32), (1 + IDF_SPAN * np.minimum(share, 1)).astype(np.float32), texts)
@@ -238,7 +238,7 @@ def shingled(named: DataFrame, key: str) -> DataFrame:
             yield row()
 
     schema = "portion long, keys array<long>, nodes array<binary>, counts array<int>, hashes binary, tf binary"
-    return named.select(key, "t", "node").mapInPandas(cut, schema)
+    return named.select(key, "t", "node").mapInPandas(lean(cut), schema)
 
 
 def light_frequencies(table: DataFrame, idf) -> DataFrame:
@@ -267,7 +267,7 @@ def light_frequencies(table: DataFrame, idf) -> DataFrame:
         cuts = np.cumsum([0, *(len(x) // 4 for x in group["gaps"])])
         return pd.DataFrame({"portion": group["portion"], "range": group["range"], "df": [df[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
-    asked = table.select("portion", "hashes").mapInPandas(ask, "range int, portion long, gaps binary, n binary")
+    asked = table.select("portion", "hashes").mapInPandas(lean(ask), "range int, portion long, gaps binary, n binary")
     told = asked.groupBy("range").applyInPandas(answer, "portion long, range int, df binary")
     return told.groupBy("portion").agg(F.array_sort(F.collect_list(F.struct("range", "df"))).alias("dfs"))
 
@@ -297,7 +297,7 @@ def similar_pairs(pairs: DataFrame, payload: DataFrame, idf, similarity: float)
                     found.append((leader, node, shared / total))
             yield pd.DataFrame(found, columns=["leader", "node", "similarity"])
 
-    return rows.select("leader", "salt", "node", "part", "hashes", "df").mapInPandas(verify, "leader binary, node binary, similarity double")
+    return rows.select("leader", "salt", "node", "part", "hashes", "df").mapInPandas(lean(verify), "leader binary, node binary, similarity double")
 
 
 def open_links(open_nodes: DataFrame, payload: DataFrame, idf, similarity: float) -> DataFrame:
@@ -315,7 +315,7 @@ def open_links(open_nodes: DataFrame, payload: DataFrame, idf, similarity: float
 
     # a component is told by a 64-bit hash: only whether all holders of one shingle are of one component matters
     held = open_nodes.select("node", F.xxhash64("component").alias("c")).join(payload, "node")
-    held = held.mapInPandas(_gathered(spread), "node binary, c long, shingle int, w float, total double")
+    held = held.mapInPandas(lean(_gathered(spread)), "node binary, c long, shingle int, w float, total double")
     held = stored(held, "open-shingles")
     live = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("shingle", "n")
     own = Window.partitionBy("node")  # the shingles of one text
@@ -398,7 +398,7 @@ def near_links(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", te
                 yield pd.DataFrame({key: pd.array(row.keys, "Int64"), "node": row.nodes, "bands": bands, "portion": row.portion, "hashes": held, "df": dfs})
 
     schema = f"{key} long, node binary, bands array<long>, portion long, hashes binary, df binary"
-    signed = stored_by(answered.select("portion", "keys", "nodes", "counts", "hashes", "tf", "dfs").mapInPandas(sign, schema), "signatures", "portion")
+    signed = stored_by(answered.select("portion", "keys", "nodes", "counts", "hashes", "tf", "dfs").mapInPandas(lean(sign), schema), "signatures", "portion")
     discard(table)
     members = signed.where("hashes is not null").select("node", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

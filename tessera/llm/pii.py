@@ -73,6 +73,10 @@ CYCLE, CYCLE_A, CYCLE_B, FIRST_DAY = 146_097, 189, 773, "1800-01-01"
 EARLY, EDGE_A, EDGE_B = 72_683, 3, 48_577
 #: Signs of a string that are permuted at once: two halves of base 26 fit 64 bits.
 BLOCK = 26
+A_TO_Z, IN_BASE_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+IN_ACCESS, IN_BASE_32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuv"
+#: Where a text is cut into pieces, and what a \x01 of its own becomes meanwhile; to CANDIDATE all three signs are alike.
+CUT, OWN = "\x01\x03", "\x01\x02"
 
 
 def draw(key: str, kind: str, i: Column, side: str, value: Column) -> Column:
@@ -102,6 +106,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def lower(x: Column) -> Column:
+    """ASCII letters in lower case, without the case tables of all of Unicode."""
+    return F.translate(x, A_TO_Z.upper(), A_TO_Z)
+
+
+def upper(x: Column) -> Column:
+    return F.translate(x, A_TO_Z, A_TO_Z.upper())
+
+
 def power(base: int, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(base**i).cast("long") for i in range(BLOCK // 2 + 1)]), n + 1)
 
@@ -115,7 +128,7 @@ def permuted_block(key: str, kind: str, s: Column, base: int, tweak: Column) ->
     n = F.length(s)
     u = (n / 2).cast("int")
     number = lambda x: F.conv(x, base, 10).cast("long")
-    spell = lambda x, w: F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), w, "0")
+    spell = lambda x, w: F.lpad(lower(F.conv(x.cast("string"), 10, base)), w, "0")
     one = feistel(key, kind, (number(s) / 2).cast("long"), number(s) % 2, F.lit(base // 2), F.lit(2), tweak)
     more = feistel(key, kind, number(F.substr(s, F.lit(1), u)), number(F.substr(s, u + 1, n - u)), power(base, u), power(base, n - u), tweak)
     return F.when(n == 1, let(one, lambda x: spell(x["a"] * 2 + x["b"], F.lit(1)))).otherwise(let(more, lambda x: F.concat(spell(x["a"], u), spell(x["b"], n - u))))
@@ -123,25 +136,33 @@ def permuted_block(key: str, kind: str, s: Column, base: int, tweak: Column) ->
 
 def permuted_string(key: str, kind: str, s: Column, base: int) -> Column:
     """A string over the first ``base`` signs (an even number) of 0-9a-z, permuted among those of its length."""
-    n = F.length(s)
 
-    def step(out: Column, i: Column) -> Column:
-        rest = F.when(i == 0, F.substr(s, F.lit(BLOCK + 1))).otherwise("")
-        part = F.substr(s, i * BLOCK + 1, F.lit(BLOCK))
-        return F.concat(out, permuted_block(key, kind, part, base, F.concat_ws("/", n.cast("string"), out, rest)))
+    def permuted(s: Column) -> Column:
+        n = F.length(s)
 
-    return F.when(n == 0, "").otherwise(F.aggregate(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1), F.lit(""), step))
+        def step(out: Column, i: Column) -> Column:
+            rest = F.when(i == 0, F.substr(s, F.lit(BLOCK + 1))).otherwise("")
+            part = F.substr(s, i * BLOCK + 1, F.lit(BLOCK))
+            tweak = F.concat_ws("/", n.cast("string"), out, rest)
+            return F.concat(out, let(part, lambda x: let(tweak, lambda w: permuted_block(key, kind, x, base, w))))
+
+        return F.when(n == 0, "").otherwise(F.aggregate(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1), F.lit(""), step))
+
+    return let(s, permuted)
 
 
 def refill(shape: Column, signs: str, new: Column) -> Column:
     """``shape`` with its characters of class ``signs`` replaced, in order, by those of ``new``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def step(x: Column, c: Column) -> Column:
-        own = c.rlike(f"^[{signs}]$")
-        return F.struct(F.concat(x["out"], F.when(own, F.substr(new, x["at"], F.lit(1))).otherwise(c)).alias("out"), F.when(own, x["at"] + 1).otherwise(x["at"]).alias("at"))
+    def filled(new: Column) -> Column:
+        def step(x: Column, c: Column) -> Column:
+            own = c.rlike(f"^[{signs}]$")
+            return F.struct(F.concat(x["out"], F.when(own, F.substr(new, x["at"], F.lit(1))).otherwise(c)).alias("out"), F.when(own, x["at"] + 1).otherwise(x["at"]).alias("at"))
 
-    return F.aggregate(F.split(shape, "", -1), start, step, lambda x: x["out"])
+        return F.aggregate(F.split(shape, "", -1), start, step, lambda x: x["out"])
+
+    return let(new, filled)  # else ``new`` would be worked out for every character
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -266,17 +287,13 @@ def date(key: str, m: Column) -> Column:
     return let(read, lambda d: F.when(d.isNotNull(), change(d)))
 
 
-A_TO_Z, IN_BASE_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
-IN_ACCESS, IN_BASE_32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuv"
-
-
 def email(key: str, m: Column) -> Column:
     def change(local: Column) -> Column:
         letters = F.translate(permuted_string(key, "letters", F.translate(F.regexp_replace(local, "[^a-z]", ""), A_TO_Z, IN_BASE_26), 26), IN_BASE_26, A_TO_Z)
         digits = permuted_string(key, "digits", F.regexp_replace(local, "[^0-9]", ""), 10)
         return F.concat(refill(refill(local, "a-z", letters), "0-9", digits), F.lit("@"), F.substring_index(m, "@", -1))
 
-    return let(F.lower(F.substring_index(m, "@", 1)), change)
+    return let(lower(F.substring_index(m, "@", 1)), change)
 
 
 def remainder_97(s: Column) -> Column:
@@ -293,7 +310,7 @@ def iban(key: str, m: Column) -> Column:
     def change(s: Column) -> Column:
         head, account = F.left(s, F.lit(2)), F.substr(s, F.lit(5))
         digits = permuted_string(key, "iban digits", only_digits(account), 10)
-        letters = F.upper(F.translate(permuted_string(key, "iban letters", F.translate(F.lower(F.regexp_replace(account, "[0-9]", "")), A_TO_Z, IN_BASE_26), 26), IN_BASE_26, A_TO_Z))
+        letters = upper(F.translate(permuted_string(key, "iban letters", F.translate(lower(F.regexp_replace(account, "[0-9]", "")), A_TO_Z, IN_BASE_26), 26), IN_BASE_26, A_TO_Z))
         moved = refill(refill(account, "A-Z", letters), "0-9", digits)
         full = let(moved, lambda x: F.concat(head, digits_of(98 - remainder_97(F.concat(x, head, F.lit("00"))), F.lit(2)), x))
         valid = (remainder_97(F.concat(account, head, F.substr(s, F.lit(3), F.lit(2)))) == 1) & F.length(s).between(15, 34)
@@ -311,7 +328,7 @@ def abroad(key: str, m: Column) -> Column:
 
 
 def ip6(key: str, m: Column) -> Column:
-    full = F.array_join(F.transform(F.split(F.lower(m), ":"), lambda x: F.lpad(x, 4, "0")), "")
+    full = F.array_join(F.transform(F.split(lower(m), ":"), lambda x: F.lpad(x, 4, "0")), "")
     new = permuted_string(key, "ip6", full, 16)
     return let(new, lambda x: F.concat_ws(":", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(x, i * 4 + 1, F.lit(4)))))
 
@@ -322,7 +339,7 @@ def access(key: str, m: Column) -> Column:
     def change(s: Column) -> Column:
         size = F.lit(32**8)
         number = lambda x: F.conv(x, 32, 10).cast("long")
-        spell = lambda x: F.lpad(F.lower(F.conv(x.cast("string"), 10, 32)), 8, "0")
+        spell = lambda x: F.lpad(lower(F.conv(x.cast("string"), 10, 32)), 8, "0")
         new = feistel(key, "access", number(F.left(s, F.lit(8))), number(F.right(s, F.lit(8))), size, size)
         return F.concat(F.lit("AKIA"), F.translate(let(new, lambda x: F.concat(spell(x["a"]), spell(x["b"]))), IN_BASE_32, IN_ACCESS))
 
@@ -365,12 +382,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | Non
     held = unused(docs, "__pieces")
     t = F.col(text)
     some = t.rlike(r"[@0-9]|AKIA") & t.rlike(CANDIDATE)
-    matches = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
     one = lambda k, m: F.array(F.struct(k.alias("kind"), m.alias("old"), pseudonym(key, k, m).alias("new")).cast(PIECE))
-    changed = F.transform(matches, lambda m: let(kind_of(m), lambda k: F.when(k == "card", cards(key, m)).otherwise(one(k, m))))
+    changed = lambda m: let(kind_of(m), lambda k: F.when(k == "card", cards(key, m)).otherwise(one(k, m)))
     gap = lambda x: F.array(F.struct(F.lit(None).cast("string").alias("kind"), x.alias("old"), F.lit(None).cast("string").alias("new")).cast(PIECE))
-    between = F.split(t, CANDIDATE, -1)
-    pieces = let(between, lambda x: F.concat(gap(F.get(x, F.lit(0))), F.flatten(F.zip_with(changed, F.slice(x, F.lit(2), F.size(x)), lambda c, rest: F.concat(c, gap(rest))))))
+    marked = F.regexp_replace(F.replace(t, F.lit(CUT[0]), F.lit(OWN)), F.lit(CANDIDATE), F.lit(f"{CUT}$0{CUT}"))
+    own = lambda x: F.replace(x, F.lit(OWN), F.lit(CUT[0]))
+    # of the parts of a text every second one is a match
+    pieces = F.flatten(F.transform(F.split(marked, CUT, -1), lambda x, i: F.when(i % 2 == 0, gap(own(x))).otherwise(changed(x))))
     out = docs.withColumn(held, F.when(some, pieces))
     start = F.struct(F.array().cast("array<struct<kind:string,start:int,new:string>>").alias("all"), F.lit(1).alias("at"))
 

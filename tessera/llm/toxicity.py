@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, stored, whole_text
+from tessera.llm.common import documents, lean, stored, whole_text
 from tessera.llm.encoding import Remembered
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, precision: f
         names = list(counts[0].keys() | counts[1].keys())
         yield pd.DataFrame({"f": pd.Series(names, dtype=object), "n1": [counts[1][x] for x in names], "n0": [counts[0][x] for x in names]})
 
-    counts = sample.mapInPandas(count, "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = sample.mapInPandas(lean(count), "f string, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     total = counts.where("f = ''").first()
     n1, n0 = (total["n1"], total["n0"]) if total else (0, 0)
     if not n1 or not n0:
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, precision: f
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], "on": [sorted(index[f] for f in features(t) if f in index) for t in batch["t"]]})
 
-    rows = sample.mapInPandas(active, "y int, on array<int>").toPandas()  # at most max_rows short lists
+    rows = sample.mapInPandas(lean(active), "y int, on array<int>").toPandas()  # at most max_rows short lists
     on = [np.asarray(x, np.int64) for x in rows["on"]]
     y = rows["y"].to_numpy()
     votes = [np.array([place[i] for i in x.tolist() if i in place] or [len(place)], np.int64) for x in on]  # the last voter: none of the others
@@ -270,7 +270,7 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
             yield batch[[key, "held_out"]].assign(score=list(model.scores(list(batch["t"]))))
 
     rows = docs.select(F.col(key).cast("long").alias(key), held_out(F.col(key)).alias("held_out"), whole_text(text).alias("t"))
-    return rows.mapInPandas(run, f"{key} long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInPandas(lean(run), f"{key} long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -286,7 +286,7 @@ def drop_toxic(docs: DataFrame, scorer: Scorer, text: str = "text", threshold: f
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield batch.filter(pa.array([s < threshold for s in model.scores(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
