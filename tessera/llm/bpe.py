@@ -323,6 +323,10 @@ def transducer_encoder(path: str, lexicon: str) -> TransducerEncoder:
     return TransducerEncoder(path, lexicon)
 
 
+#: Characters that are encoded at once, and chunks whose words are told at once: their arrays stay small.
+ENCODED, TOLD = 1 << 19, 1 << 17
+
+
 def word_counts(docs: DataFrame, text: str = "text", flush: int = 400_000) -> DataFrame:
     """word, n: how often each word of the pattern occurs, exactly, over all documents.
 
@@ -339,20 +343,26 @@ def word_counts(docs: DataFrame, text: str = "text", flush: int = 400_000) -> Da
         np.add.at(total, of, np.repeat(dealt, np.diff(ends, prepend=0)))
         return pd.DataFrame({"word": pd.Series(list(number), dtype=object), "n": total})
 
+    def told(number: dict[str, int], n: np.ndarray) -> Iterator[pd.DataFrame]:
+        chunks = list(number)
+        number.clear()
+        for at in range(0, len(chunks), TOLD):
+            yield emit(chunks[at : at + TOLD], n[at : at + TOLD])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number: defaultdict[str, int] = defaultdict(count().__next__)
         n = np.zeros(0, np.int64)
         for batch in batches:
             texts = list(batch["t"])
-            for some in portions(texts, 1 << 21):
+            for some in portions(texts, ENCODED):
                 flat = list(chain.from_iterable(map(chunks_of, texts[some])))
                 met = np.bincount(np.fromiter(map(number.__getitem__, flat), np.int64, len(flat)), minlength=len(number))
                 met[: len(n)] += n
                 n = met
                 if len(n) > flush:
-                    yield emit(list(number), n)
-                    number, n = defaultdict(count().__next__), n[:0]
-        yield emit(list(number), n)
+                    yield from told(number, n)
+                    number, n = defaultdict(count().__next__), np.zeros(0, np.int64)
+        yield from told(number, n)
 
     rows = docs.select(whole_text(text).alias("t"))
     return rows.mapInPandas(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -393,7 +403,7 @@ def encode_decode(docs: DataFrame, path: str, lexicon: str, key: str = "doc_id",
         encoder = transducer_encoder(path, SparkFiles.get(lexicon))
         for batch in batches:
             texts = list(batch["t"])
-            for some in portions(texts, 1 << 21):
+            for some in portions(texts, ENCODED):
                 flat, counts = encoder.encode(texts[some])
                 ids = np.split(flat.astype(np.int64), np.cumsum(counts)[:-1])
                 yield pd.DataFrame({key: batch[key].iloc[some], "ids": ids, "decoded": [encoder.merges.decode(x).decode("utf-8", "replace") for x in ids]})
@@ -408,7 +418,7 @@ def encode_digest(docs: DataFrame, path: str, lexicon: str, key: str = "doc_id",
         encoder = transducer_encoder(path, SparkFiles.get(lexicon))
         for batch in batches:
             texts = list(batch["t"])
-            for some in portions(texts, 1 << 21):
+            for some in portions(texts, ENCODED):
                 ids, counts = encoder.encode(texts[some])
                 ends = np.cumsum(counts)
                 decimals, lengths = encoder.merges.decimal(ids)
