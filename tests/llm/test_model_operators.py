@@ -368,6 +368,27 @@ def test_near_classes_with_shared_passages_and_large_groups(spark):
     assert {frozenset(Counter(x).items()) for x in got.values()} == brute_classes(rows, idf)
 
 
+def test_edited_copies_in_larger_groups(spark, tmp_path):
+    """Copies with up to one word in fourteen replaced are one class, in pairs and in groups of 60; unlike texts with a common passage stay apart."""
+    r = random.Random(23)
+    shared, rows = prose(62, 40), [(i, f"{prose(62, 40)} {prose(3000 + i, 160)}") for i in range(200)]
+    groups = [set(range(1000 * g, 1000 * g + (2 if g > 3 else 60))) for g in range(1, 24)]
+    for group in groups:
+        words = f"{shared} {prose(9000 + min(group), 220)}".split()
+        for i in group:
+            changed = list(words)
+            for at in r.sample(range(len(words)), r.randrange(len(words) // 14) if i > min(group) else 0):
+                changed[at] = f"edit{r.randrange(99_999)}"
+            rows.append((i, " ".join(changed)))
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for x in near_dedup.op10_near_dedup(spark, str(tmp_path)).collect():
+        got.setdefault(x["class_id"], set()).add(x["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted([[i] for i in range(200)] + [sorted(g) for g in groups])
+    kept = pytest.importorskip("corpus_pipeline").drop_near_copies(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(got)
+
+
 def test_equal_rows_with_other_columns(spark):
     """Of rows with equal key and text one is kept, whichever way they come."""
     rows = [(1, prose(5, 40), "b"), (1, prose(5, 40), "a"), (None, prose(5, 40), "c"), (2, "other", "z"), (2, "other", "y")]
