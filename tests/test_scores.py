@@ -3,13 +3,14 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.lexicon import MARKERS, PENALTIES, STOPWORDS, WEIGHTS
 from tessera.functions.phrases import phrase_counts
-from tessera.operators import bounds, chunks, scoring, similarity
+from tessera.operators import bounds, chunks, duplicates, scoring, similarity
 from tessera.operators import transcript as R
 from tessera.operators.duplicates import dropped_in_rounds
 from tessera.plans import catalog, scores
@@ -167,6 +168,43 @@ def test_rounds_drop_what_the_greedy_loop_drops(spark):
     assert dropped_in_rounds(table.limit(0), ["doc_id"]).count() == 0
 
 
+def test_kept_first_is_the_greedy_loop():
+    r = random.Random(9)
+    for n in (0, 1, 50, 200):
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, min(n, a + 12)) if r.random() < 0.4]
+        kept = []
+        for b in range(n):
+            kept += [] if any((a, b) in pairs for a in kept) else [b]
+        hi, lo = (np.array([p[i] for p in pairs * 2], np.int64) for i in (0, 1))
+        assert np.flatnonzero(duplicates.kept_first(hi, lo, n)).tolist() == kept
+
+
+def odd_documents(spark, folder):
+    odd = [None, "", "One line only.", TALK, " ".join([TALK] * 4), "Same words again here today. " * 60, "- . - ? " * 50, "Über ähnliche x. " * 90]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["duplicate_pairs", "deduplicated_ranges"])
+def test_conflicts_stay_on_their_documents_row(spark, tmp_path, name):
+    """Nothing runs before it is asked for, no pair is shuffled or joined, and odd documents give what the SQL gives."""
+    folder = odd_documents(spark, tmp_path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLE_SQL["duplicate_pairs"]).fetchall()
+    got = catalog.QUERIES[name](spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange hashpartitioning") <= 2 and plan.count("Join") == 1 and "ExistingRDD" not in plan
+    rows = got.collect()
+    if name == "duplicate_pairs":
+        assert want and sorted(tuple(r) for r in rows) == sorted(want)
+    else:
+        kind = {(d, hi, lo): k for d, hi, lo, *_, k in want}
+        kept = {(r["doc_id"], r["s"]) for r in rows if r["status"] == "kept"}
+        assert all(((r["doc_id"], r["duplicate_of"]) in kept and kind[r["doc_id"], r["duplicate_of"], r["s"]] == r["code"]) if r["code"] else r["duplicate_of"] is None for r in rows)
+        assert not any((d, hi) in kept and (d, lo) in kept for d, hi, lo in kind) and len(rows) == scores.best(spark, folder).count()
+
+
 def test_deduplicated_ranges(spark):
     pairs, pool = scores.duplicate_pairs(spark, SF).toPandas(), scores.best(spark, SF).toPandas()
     kind = {(d, a, b): k for d, a, b, k in zip(pairs["doc_id"], pairs["hi"], pairs["lo"], pairs["kind"], strict=True)}
