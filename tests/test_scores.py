@@ -278,6 +278,15 @@ def test_optimised_bounds(spark):
     assert any((r["s"], r["e"]) != (r["to_s"], r["to_e"]) for r in got)
 
 
+def test_optimised_bounds_keep_their_buckets(spark, tmp_path):
+    """What is written once is read by document: no window or join on it shuffles lines again."""
+    got = catalog.QUERIES["optimised_bounds"](spark, odd_documents(spark, tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "ExistingRDD" not in plan
+    pool = scores.best(spark, str(tmp_path)).count()
+    assert pool and got.count() == got.select("doc_id", "s").distinct().count() == pool
+
+
 def plain_chunks(lines, most_chars, most=40):
     """The packing of one document, a line at a time."""
     budget = max(most_chars, sum(len(x["sentence"]) for x in lines) // most)
